@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import table
+from tarn.llm import langid, toxicity
+from tarn.llm.common import held_out, table
 from tarn.llm.decontam import contamination, is_contaminated
 from tarn.llm.simhash import hex_fingerprint, near_duplicates
 from tarn.llm.suffixes import repeated_passages
 from tarn.llm.superkmer import substring_dedup
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -25,6 +32,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_repeated", F.sha2("kept", 256).alias("kept_sha256"))
@@ -35,7 +46,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op5_simhash, op9_suffix_array, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op3_decontamination, op5_simhash, op8_toxicity, op9_suffix_array, op10_substring_dedup)}
 
 
 #: Words, then the windows of 13 words of both tables joined on their text.
