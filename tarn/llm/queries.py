@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import langid, toxicity
+from tarn.llm import langid, pii, toxicity
 from tarn.llm.common import held_out, table
 from tarn.llm.decontam import contamination, is_contaminated
 from tarn.llm.simhash import hex_fingerprint, near_duplicates
@@ -21,6 +21,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long) as n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.digest("base"), 256).alias("base_sha256"), pii.digest("spans").alias("spans"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -46,7 +52,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_decontamination, op5_simhash, op8_toxicity, op9_suffix_array, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_pii, op3_decontamination, op5_simhash, op8_toxicity, op9_suffix_array, op10_substring_dedup)}
 
 
 #: Words, then the windows of 13 words of both tables joined on their text.
