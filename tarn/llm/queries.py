@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import langid, pii, toxicity
+from tarn.llm import langid, pieces, pii, tokens, topk, toxicity
 from tarn.llm.common import held_out, table
 from tarn.llm.decontam import contamination, is_contaminated
 from tarn.llm.simhash import hex_fingerprint, near_duplicates
@@ -34,10 +34,23 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), tokens.read_ranks())
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encoded(table(spark, sf_dir, "documents"), pieces.read_model(), with_ids=False)
+    return found.select("doc_id", F.explode_outer("samples").alias("s")).select("doc_id", "s.rank", "s.n_pieces", "s.log_prob", "s.perturbed", "s.inclusion", "s.ids_sha256")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,7 +65,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_pii, op3_decontamination, op5_simhash, op8_toxicity, op9_suffix_array, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_pii, op3_decontamination, op4_topk, op5_simhash, op6_token_counts, op7_sentencepiece, op8_toxicity, op9_suffix_array, op10_substring_dedup)}
 
 
 #: Words, then the windows of 13 words of both tables joined on their text.
@@ -86,9 +99,20 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+#: Sign bits of every query against those of every row.
+OP4 = """
+WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS neighbour_id, CAST(list_sum(list_transform(range(1, len(c.b) + 1), lambda i: CASE WHEN q.b[i] <> c.b[i] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+      FROM c AS q JOIN c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS INTEGER) AS rank, neighbour_id, distance FROM p)
+SELECT query_id, rank, neighbour_id, distance FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontamination": OP3,
+        "op4_topk": OP4,
         "op9_suffix_array": REPEATS.format(gone="n_repeated"),
         "op10_substring_dedup": REPEATS.format(gone="n_removed"),
     }
