@@ -113,7 +113,7 @@ class _Parser:
         return Term(words, name) if words else None
 
 
-_TOKEN = re.compile(r'\s*(?:(?P<phrase>"[^"]*")|(?P<paren>[()])|(?P<sign>[+-](?=\S))|\^(?P<boost>\d+(?:\.\d+)?)|(?P<word>[^\s()"^]+)|(?P<bad>["^+-]))')
+_TOKEN = re.compile(r'\s*(?:(?P<phrase>"[^"]*")|(?P<paren>[()])|(?P<sign>[+-](?=\S))|\^(?P<boost>\d+(?:\.\d+)?)|(?P<word>[^\s()"^+-][^\s()"^]*)|(?P<bad>["^+-]))')
 
 
 def rewrite_site(query: str) -> str:
