@@ -20,6 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of one Arrow batch between Spark and a Python worker. Spark's own 64 MB, times the copies that a step makes,
+#: times the workers of an executor, would not leave room beside the heap.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_BYTES, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a checkpoint in the folder named by spark.checkpoint.dir (a new one only where it is unset)."""
     spark = df.sparkSession

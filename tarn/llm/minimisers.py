@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import SPACED, Words, mix, span_hash, text_parts
+from tarn.llm.common import SPACED, Words, checkpointed, mix, small_batches, span_hash, text_parts
 
 WINDOW = 50
 #: Words in a minimiser.
@@ -87,7 +87,7 @@ def shared_map(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, bi
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id() - (1 << 62)), F.col("text").cast("string"))
     seen = rows.mapInArrow(scan, "slot long, low long, high long").groupBy("slot").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     shared = seen.filter("low <> high").select("slot")
-    parts = max(1, min(1 << (bits - _PAGE), 64))
+    parts = min(1 << max(0, bits - _PAGE), 64)
     by_page = shared.repartition(parts, F.shiftright("slot", _PAGE)).mapInArrow(pages, "page long, bits binary")
     out = np.zeros(1 << max(0, bits - 3), np.uint8)
     step = 1 << (_PAGE - 3)
@@ -102,17 +102,18 @@ def in_map(packed: np.ndarray, slot: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- repeated windows
 #
-# Both repeat finders ship pieces of text (words joined by one space) that hold windows around a shared minimiser:
-#   pieces: h1 h2 (hash of the piece), key (its minimiser), lead (words before the minimiser), doc, rid, start (first
-#           word in its text), packed (the piece; null where the same task batch has sent the same piece already)
+# Both repeat finders look at pieces of text (words joined by one space) that hold windows around a shared minimiser.
+# Occurrences name each piece of each row by its hashes; carriers hold the text, now and again in each task:
+#   key (the piece's minimiser), h1 h2 (its hashes), lead (words before the minimiser), doc, rid, start (first word)
 # A verdict gives the smallest document of each window of a piece: h1 h2 mins array<long>.
 
-PIECES = "h1 long, h2 long, key long, lead int, doc long, rid long, start int, packed binary"
+OCCURRENCES = "key long, h1 long, h2 long, doc long, rid long, start int, carries int"
+CARRIERS = "key long, h1 long, h2 long, lead int, doc long, packed binary"
 VERDICTS = "h1 long, h2 long, mins array<long>"
 #: Distinct pieces of one minimiser that one step holds (about 0.5 KB each); fuller groups are summed up window by window.
-GROUP_MOST = 1 << 16
+GROUP_MOST = 1 << 15
 #: Pieces that are worked on together, whole groups at a time.
-STEP_PIECES = 1 << 14
+STEP_PIECES = 1 << 13
 _NO_ID = (1 << 63) - 1
 
 
@@ -122,45 +123,77 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(ids.alias("doc_id"), text.alias("text"), F.coalesce(ids, F.lit(_NO_ID)).alias("doc"), F.xxhash64(ids, text).alias("rid"))
 
 
-def pieces_of(docs: DataFrame, spans, window: int, seed: int, bits: int, packed_map: np.ndarray) -> DataFrame:
-    """The pieces whose minimiser the map lets through. spans(words, window, seed) gives key, minimiser, first word, end word."""
-    sent = docs.sparkSession.sparkContext.broadcast(packed_map)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs_, rids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            seen: set[tuple[int, int]] = set()
-            for i, _, data, offsets in text_parts(batch.column(2)):
-                words = Words(data, offsets, SPACED)
-                keys, at, first, end = spans(words, window, seed)
-                if not len(keys):
-                    continue
-                go = in_map(sent.value, slots(keys, bits))
-                keys, at, first, end = keys[go], at[go], first[go], end[go]
-                h1, h2 = span_hash(words.hashes, first, end), span_hash(mix(~words.hashes), first, end)
-                row = np.searchsorted(words.first, first, side="right") - 1
-                raw, texts = data.tobytes(), []
-                left, right = words.starts[first].tolist(), words.ends[end - 1].tolist()
-                doc, rid = docs_[i + row], rids[i + row]
-                order = np.argsort(doc, kind="stable")  # the row that carries the piece is the one with its smallest document
-                pairs = list(zip(h1.tolist(), h2.tolist(), strict=True))
-                texts = [None] * len(pairs)
-                for k in order.tolist():
-                    if pairs[k] not in seen:
-                        seen.add(pairs[k])
-                        texts[k] = b" ".join(raw[left[k] : right[k]].split())
-                    elif len(seen) > 1 << 20:
-                        seen.clear()
-                start = first - words.first[row]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(keys.view(np.int64)), pa.array((at - first).astype(np.int32)), pa.array(doc), pa.array(rid), pa.array(start.astype(np.int32)), pa.array(texts, pa.binary())],
-                    ["h1", "h2", "key", "lead", "doc", "rid", "start", "packed"],
-                )
-
-    return identified(docs).select("doc", "rid", "text").mapInArrow(run, PIECES)
+class Pieces:
+    """The pieces of docs whose minimiser the map of shared ones lets through.
 
+    spans(words, window, seed) gives the key, the minimiser's place, the first word and the end word of each piece.
+    """
 
-def _window_hashes(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __init__(self, docs: DataFrame, spans, window: int, seed: int, bits: int):
+        small_batches(docs.sparkSession)
+        self.docs, self.spans, self.window, self.seed, self.bits = docs, spans, window, seed, bits
+        self.map = docs.sparkSession.sparkContext.broadcast(shared_map(docs, window, seed, bits))
+
+    def _run(self, text: bool, skip: np.ndarray, only: bool):
+        sent, spans, window, seed, bits = self.map, self.spans, self.window, self.seed, self.bits
+
+        def find(data: np.ndarray, offsets: np.ndarray) -> tuple | None:
+            words = Words(data, offsets, SPACED)
+            keys, at, first, end = spans(words, window, seed)
+            if not len(keys):
+                return None
+            go = in_map(sent.value, slots(keys, bits))
+            keys, at, first, end = keys[go], at[go], first[go], end[go]
+            h1, h2 = span_hash(words.hashes, first, end), span_hash(mix(~words.hashes), first, end)
+            return words, keys, at, first, end, h1, h2, np.searchsorted(words.first, first, side="right") - 1
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: dict[tuple[int, int], int] = {}
+            for batch in batches:
+                docs, rids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                for i, _, data, offsets in text_parts(batch.column(2)):
+                    if (got := find(data, offsets)) is None:
+                        continue
+                    words, keys, at, first, end, h1, h2, row = got
+                    doc = docs[i + row]
+                    carries = np.zeros(len(keys), bool)
+                    pairs, ids = list(zip(h1.tolist(), h2.tolist(), strict=True)), doc.tolist()
+                    for k in np.argsort(doc, kind="stable").tolist():
+                        if ids[k] < seen.get(pairs[k], ids[k] + 1):  # a piece comes again only with a smaller document
+                            seen[pairs[k]] = ids[k]
+                            carries[k] = True
+                    if len(seen) > 1 << 17:
+                        seen.clear()
+                    if not text:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(keys.view(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(doc), pa.array(rids[i + row]), pa.array((first - words.first[row]).astype(np.int32)), pa.array(carries.astype(np.int32))],
+                            ["key", "h1", "h2", "doc", "rid", "start", "carries"],
+                        )
+                        continue
+                    if len(skip) or only:
+                        carries &= np.isin(keys.view(np.int64), skip) == only
+                    pick, raw = np.flatnonzero(carries), data.tobytes()
+                    left, right = words.starts[first[pick]].tolist(), words.ends[end[pick] - 1].tolist()
+                    texts = [b" ".join(raw[a:b].split()) for a, b in zip(left, right, strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[pick].view(np.int64)), pa.array(h1[pick].view(np.int64)), pa.array(h2[pick].view(np.int64)), pa.array((at - first)[pick].astype(np.int32)), pa.array(doc[pick]), pa.array(texts, pa.binary())],
+                        ["key", "h1", "h2", "lead", "doc", "packed"],
+                    )
+
+        return run
+
+    def _rows(self) -> DataFrame:
+        return identified(self.docs).select("doc", "rid", "text")
+
+    def occurrences(self) -> DataFrame:
+        return self._rows().mapInArrow(self._run(False, np.zeros(0, np.int64), False), OCCURRENCES)
+
+    def carriers(self, crowded: np.ndarray, only: bool = False) -> DataFrame:
+        """Those whose minimiser is not (or: only those whose minimiser is) among the crowded ones."""
+        return self._rows().mapInArrow(self._run(True, crowded, only), CARRIERS)
+
+
+def _window_hashes(words: Packed, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, hash, second hash) of each window."""
     counts = np.diff(words.first)
     fits = np.maximum(counts - window + 1, 0)
@@ -169,10 +202,20 @@ def _window_hashes(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, n
     return row, span_hash(words.hashes, starts, starts + window), span_hash(mix(~words.hashes), starts, starts + window)
 
 
-def packed_words(column: pa.Array) -> Words:
-    column = column.cast(pa.large_binary())
-    _, _, data, offsets = next(text_parts(column, 1 << 62))
-    return Words(data, offsets, SPACED)
+class Packed:
+    """The words of packed pieces as hashes, gathered in steps of bounded size; first has rows + 1 numbers."""
+
+    __slots__ = ("first", "hashes")
+
+    def __init__(self, column: pa.Array):
+        hashes, first, n = [], [np.zeros(1, np.int64)], 0
+        for _, _, data, offsets in text_parts(column):
+            words = Words(data, offsets, SPACED)
+            hashes.append(words.hashes)
+            first.append(words.first[1:] + n)
+            n += len(words)
+        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.first = np.concatenate(first)
 
 
 def run_minima(order: np.ndarray, new: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -183,7 +226,7 @@ def run_minima(order: np.ndarray, new: np.ndarray, values: np.ndarray) -> np.nda
     return out
 
 
-def sorted_minima(words: Words, docs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def sorted_minima(words: Packed, docs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, smallest document) of each window, by sorting the windows and comparing neighbours."""
     row, a, b = _window_hashes(words, window)
     doc = docs[row]
@@ -192,20 +235,22 @@ def sorted_minima(words: Words, docs: np.ndarray, window: int) -> tuple[np.ndarr
     return row, run_minima(order, new, doc)
 
 
-def verdicts_of(pieces: DataFrame, minima, window: int, most: int = GROUP_MOST) -> DataFrame:
-    """A verdict for each distinct piece. Groups of one minimiser are worked on whole; those of over `most` pieces by windows.
+def repeated_windows(pieces: Pieces, minima, most: int = GROUP_MOST) -> DataFrame:
+    """(rid, at array<int>): the first words of windows that also start in a document with a smaller id.
 
-    minima(words, leads, docs, keys, window) gives (piece, smallest document) of each window, in order of pieces.
+    Groups of one minimiser are worked on whole; of those with over `most` pieces (at most all pieces / `most` keys,
+    which are sent along) each window is summed up by itself. minima(words, leads, docs, keys, window) gives (piece,
+    smallest document) of each window, in order of pieces.
     """
-    carried = pieces.filter("packed is not null").select("key", "h1", "h2", "lead", "doc", "packed")
-    full = carried.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key")
-    usual, crowded = carried.join(full, "key", "left_anti"), carried.join(full, "key", "left_semi")
-    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    window = pieces.window
+    found = checkpointed(pieces.occurrences())
+    full = found.groupBy("key").agg(F.sum("carries").alias("n")).filter(F.col("n") > most).select("key").toArrow().column("key").to_numpy()
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
         col = {n: rows.column(n).to_numpy() for n in ("key", "h1", "h2", "lead", "doc")}
-        words = packed_words(rows.column("packed").combine_chunks())
+        words = Packed(rows.column("packed").combine_chunks())
         row, least = minima(words, col["lead"], col["doc"], col["key"], window)
         first = np.searchsorted(row, np.arange(len(rows) + 1))
         pick = np.unique(np.stack([col["h1"], col["h2"]]), axis=1, return_index=True)[1]
@@ -233,27 +278,24 @@ def verdicts_of(pieces: DataFrame, minima, window: int, most: int = GROUP_MOST)
         if held:
             yield settle(pa.concat_tables(held))
 
-    by_group = usual.repartition(parts, "key").sortWithinPartitions("key", "packed").mapInArrow(run, VERDICTS)
+    verdicts = pieces.carriers(full).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, VERDICTS)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            row, a, b = _window_hashes(packed_words(batch.column(2)), window)
+            row, a, b = _window_hashes(Packed(batch.column(2)), window)
             at = np.arange(len(row)) - np.searchsorted(row, row)
             take = lambda k: pa.array(batch.column(k).to_numpy()[row])
             yield pa.RecordBatch.from_arrays([take(0), take(1), pa.array(at.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), take(3)], ["h1", "h2", "at", "a", "b", "doc"])
 
-    windows = crowded.select("h1", "h2", "packed", "doc").mapInArrow(split, "h1 long, h2 long, at int, a long, b long, doc long")
-    least = windows.groupBy("a", "b").agg(F.min("doc").alias("least"))
-    by_window = windows.select("h1", "h2", "at", "a", "b").distinct().join(least, ["a", "b"]).groupBy("h1", "h2").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "least"))), lambda x: x["least"]).alias("mins"))
-    return by_group.unionByName(by_window)
-
-
-def repeated_windows(pieces: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """(rid, at array<int>): the first words of windows that also start in a document with a smaller id."""
+    if len(full):
+        windows = pieces.carriers(full, only=True).select("h1", "h2", "packed", "doc").mapInArrow(split, "h1 long, h2 long, at int, a long, b long, doc long")
+        least = windows.groupBy("a", "b").agg(F.min("doc").alias("least"))
+        by_window = windows.select("h1", "h2", "at", "a", "b").distinct().join(least, ["a", "b"])
+        verdicts = verdicts.unionByName(by_window.groupBy("h1", "h2").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "least"))), lambda x: x["least"]).alias("mins")))
     at = F.expr("filter(transform(mins, (m, i) -> if(m < doc, start + i, null)), x -> x is not null)")
-    hit = pieces.select("h1", "h2", "doc", "rid", "start").join(verdicts, ["h1", "h2"]).select("rid", at.alias("at")).filter(F.size("at") > 0)
+    hit = found.select("h1", "h2", "doc", "rid", "start").join(verdicts, ["h1", "h2"]).select("rid", at.alias("at")).filter(F.size("at") > 0)
     return hit.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
 
 

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tarn.llm.common import Words, checkpointed, span_hash
-from tarn.llm.minimisers import GROUP_MOST, MAP_BITS, SEED_WORDS, WINDOW, covered_spans, identified, pieces_of, repeated_windows, run_minima, shared_map, super_runs, verdicts_of
+from tarn.llm.common import Words, span_hash
+from tarn.llm.minimisers import GROUP_MOST, MAP_BITS, SEED_WORDS, WINDOW, Packed, Pieces, covered_spans, identified, repeated_windows, run_minima, super_runs
 
 
 def contexts(words: Words, window: int, seed: int) -> tuple[np.ndarray, ...]:
@@ -22,7 +22,7 @@ def contexts(words: Words, window: int, seed: int) -> tuple[np.ndarray, ...]:
     return key[pick], at, np.maximum(words.first[row], at - (window - seed)), np.minimum(words.first[row + 1], at + window)
 
 
-def neighbour_minima(words: Words, leads: np.ndarray, docs: np.ndarray, keys: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def neighbour_minima(words: Packed, leads: np.ndarray, docs: np.ndarray, keys: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffix, smallest document) of each window around a retained suffix.
 
     Suffixes are sorted by the words from their minimiser on; `reach` is how many words each shares with its neighbour
@@ -66,8 +66,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WO
     copy stays. Null, empty and short texts have none. A row without an id counts after all ids; rows that repeat an
     id do not make each other's passages repeated. Extra columns are ignored.
     """
-    pieces = checkpointed(pieces_of(docs, contexts, window, seed, bits, shared_map(docs, window, seed, bits)))
-    hits = repeated_windows(pieces, verdicts_of(pieces, neighbour_minima, window, most))
+    hits = repeated_windows(Pieces(docs, contexts, window, seed, bits), neighbour_minima, most)
     rows = identified(docs).select("doc_id", "rid", "text").join(hits, "rid", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tarn.llm.common import Words, checkpointed
-from tarn.llm.minimisers import GROUP_MOST, MAP_BITS, SEED_WORDS, WINDOW, covered_spans, identified, pieces_of, repeated_windows, shared_map, sorted_minima, super_runs, verdicts_of
+from tarn.llm.common import Words
+from tarn.llm.minimisers import GROUP_MOST, MAP_BITS, SEED_WORDS, WINDOW, Packed, Pieces, covered_spans, identified, repeated_windows, sorted_minima, super_runs
 
 
 def super_kmers(words: Words, window: int, seed: int) -> tuple[np.ndarray, ...]:
@@ -18,7 +18,7 @@ def super_kmers(words: Words, window: int, seed: int) -> tuple[np.ndarray, ...]:
     return key, at, first, first + windows + window - 1
 
 
-def bucket_minima(words: Words, leads: np.ndarray, docs: np.ndarray, keys: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_minima(words: Packed, leads: np.ndarray, docs: np.ndarray, keys: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows of the super-k-mers of whole buckets, sorted and counted; equal windows always share a bucket."""
     return sorted_minima(words, docs, window)
 
@@ -31,8 +31,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORD
     texts of fewer words lose nothing. A row without an id counts after all ids: it loses to them, they never to it.
     Rows that repeat an id do not remove from each other. Kept words are joined by one space. Extra columns are ignored.
     """
-    pieces = checkpointed(pieces_of(docs, super_kmers, window, seed, bits, shared_map(docs, window, seed, bits)))
-    hits = repeated_windows(pieces, verdicts_of(pieces, bucket_minima, window, most))
+    hits = repeated_windows(Pieces(docs, super_kmers, window, seed, bits), bucket_minima, most)
     rows = identified(docs).select("doc_id", "rid", "text").join(hits, "rid", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
