@@ -160,7 +160,11 @@ def redacted(text: Column, spans: Column, generalise: bool = True) -> Column:
 
 def sanitised(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa: B008
     """docs, all rows and columns, with personal data in text generalised; a null text stays null."""
-    found = find(docs, policy).filter(F.size("spans") > 0).select(F.col("rid").alias("_rid"), F.col("spans").alias("_spans")).dropDuplicates(["_rid"])
-    rid = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    new = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_spans"), policy.generalise))
-    return docs.withColumn("_rid", rid).join(found, "_rid", "left").withColumn("text", new).select(*docs.columns)
+    names = {"rid": "_rid", "spans": "_spans"}
+    while set(names.values()) & set(docs.columns):
+        names = {k: f"_{v}" for k, v in names.items()}
+    rid, spans = names.values()
+    found = find(docs, policy).filter(F.size("spans") > 0).select(F.col("rid").alias(rid), F.col("spans").alias(spans)).dropDuplicates([rid])
+    own = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    new = F.when(F.col(spans).isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col(spans), policy.generalise))
+    return docs.withColumn(rid, own).join(found, rid, "left").withColumn("text", new).select(*docs.columns)
