@@ -101,26 +101,21 @@ def frontier(seeds: DataFrame, links: DataFrame, max_pages: int = PAGES_PER_RUN,
     first = lambda df, order: df.groupBy("url").agg(F.min(order).alias("_o"))
 
     def numbered(df: DataFrame, level: int, base: int) -> DataFrame:
-        """Ranks without a single sorting task: range partitions first, then offsets of the partitions."""
-        ranged = df.repartitionByRange(F.col("_o")).sortWithinPartitions("_o").withColumn("_p", F.spark_partition_id())
-        ranged = checkpointed(ranged)
-        sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-        before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
-        rank = F.row_number().over(Window.partitionBy("_p").orderBy("_o"))
-        return ranged.join(F.broadcast(before), "_p").select("url", F.lit(level).alias("level"), (F.lit(base - 1) + F.col("_b") + rank).cast("long").alias("ord"))
-
-    seen = level_rows = checkpointed(numbered(first(seeds.select("url", F.col("pos").alias("p")), F.struct("p")), 0, 0).filter(F.col("ord") < max_pages))
+        """The next pages in order, no more than the run may still visit: a bounded top-k, so one task may number it."""
+        top = df.orderBy("_o").limit(max_pages - base)
+        return top.select("url", F.lit(level).alias("level"), (F.lit(base - 1) + F.row_number().over(Window.orderBy("_o"))).cast("long").alias("ord"))
+
+    seen = level_rows = checkpointed(numbered(first(seeds.select("url", F.col("pos").alias("p")), F.struct("p")), 0, 0))
     count = seen.count()
     for level in range(1, max_levels):
         if count >= max_pages:
             break
         out = links.join(level_rows.select(F.col("url").alias("source_url"), "ord"), "source_url").select(F.col("target_url").alias("url"), "ord", "pos")
-        new = first(out.join(seen, "url", "left_anti"), F.struct("ord", "pos"))
-        level_rows = checkpointed(numbered(new, level, count).filter(F.col("ord") < max_pages))
+        level_rows = checkpointed(numbered(first(out.join(seen, "url", "left_anti"), F.struct("ord", "pos")), level, count))
         added = level_rows.count()
         if not added:
             break
-        seen, count = checkpointed(seen.unionByName(level_rows)), count + added
+        seen, count = seen.unionByName(level_rows), count + added
     return seen
 
 

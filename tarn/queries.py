@@ -73,15 +73,15 @@ def _found(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {fx.TOKENIZED}, w AS (SELECT doc_id, unnest(bt) AS t FROM tok) SELECT count(*) AS n_tokens, count(DISTINCT t) AS n_terms, count(DISTINCT doc_id) AS n_docs FROM w")
 def tokenize_stats(spark: SparkSession, d: str) -> DataFrame:
-    words = fx.docs(spark, d).select("doc_id", F.explode(text.tokens("body")).alias("t"))
+    words = search.spread(fx.docs(spark, d)).select("doc_id", F.explode(text.tokens("body")).alias("t"))
     per = words.groupBy("t").agg(F.count("*").alias("n"))
-    docs = fx.docs(spark, d).agg(F.count_if(F.size(text.tokens("body")) > 0).alias("n_docs"))
+    docs = search.spread(fx.docs(spark, d)).agg(F.count_if(F.size(text.tokens("body")) > 0).alias("n_docs"))
     return per.agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_terms")).crossJoin(docs)
 
 
 @query(f"WITH {fx.TOKENIZED}, w AS (SELECT doc_id, unnest(bt) AS t FROM tok), p AS (SELECT t, doc_id, count(*) AS tf FROM w GROUP BY ALL) SELECT t AS term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY t HAVING count(*) >= 3")
 def term_statistics(spark: SparkSession, d: str) -> DataFrame:
-    words = fx.docs(spark, d).select("doc_id", F.explode(text.tokens("body")).alias("term"))
+    words = search.spread(fx.docs(spark, d)).select("doc_id", F.explode(text.tokens("body")).alias("term"))
     return words.groupBy("term", "doc_id").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter("df >= 3")
 
 
