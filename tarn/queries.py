@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tarn import fixtures as fx
 from tarn.fixtures import NOW
 from tarn.functions import html, scalars, text, urls
-from tarn.operators import admin, crawl, federation, index, limits, outlinks, ranking, search
+from tarn.operators import admin, crawl, federation, index, limits, outlinks, ranking, schedule, search
 from tarn.operators.ranking import RankingConfig
 from tarn.sources import envelopes, exchange, robots
 from tarn.streaming import indexer, limiter
@@ -601,3 +601,106 @@ def search_events(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def search_json(spark: SparkSession, d: str) -> DataFrame:
     return envelopes.json_answer(search.search(fx.docs(spark, d), " ".join(WORDS), NOW, config=CONFIG), 0)
+
+
+# ---------------------------------------------------------------- schedules and changes
+
+
+@query(f"WITH {fx.TARGETS}, {fx.COLLECTIONS} SELECT t.id, c.name AS collection FROM targets t JOIN collections c ON t.collection_id = c.id WHERE enabled AND (last_crawled_at IS NULL OR last_crawled_at + recrawl_interval_s <= {NOW}) AND CAST(t.id AS INTEGER) % 4 <> 0")
+def scheduler_tick(spark: SparkSession, d: str) -> DataFrame:
+    """What starts while every fourth target is running."""
+    t = fx.targets(spark, d)
+    return schedule.tick(t, fx.collections(spark, d), t.filter("cast(id as int) % 4 = 0"), NOW).select("id", "collection")
+
+
+@query(f"WITH {fx.TARGETS} SELECT id, CASE WHEN CAST(id AS INTEGER) % 4 = 0 THEN CAST({NOW} AS BIGINT) ELSE last_crawled_at END AS last_crawled_at FROM targets")
+def crawl_finish(spark: SparkSession, d: str) -> DataFrame:
+    t = fx.targets(spark, d)
+    return schedule.finished(t, t.filter("cast(id as int) % 4 = 0"), NOW).select("id", "last_crawled_at")
+
+
+@query(f"WITH {fx.ENGINES} SELECT CAST((SELECT count(*) FROM lo) * 2 AS BIGINT) AS sent, CAST((SELECT count(*) FROM inc) * 2 AS BIGINT) AS received, 2 AS synced")
+def gossip_counts(spark: SparkSession, d: str) -> DataFrame:
+    inc = fx.engines(spark, d, "incoming")
+    return schedule.gossip_round(fx.engines(spark, d, "local"), [inc, inc], 2500)[1]
+
+
+@query(f"WITH {fx.ENGINES} {_MERGE}")
+def gossip_round(spark: SparkSession, d: str) -> DataFrame:
+    """Hearing the same list twice changes nothing more."""
+    inc = fx.engines(spark, d, "incoming")
+    return schedule.gossip_round(fx.engines(spark, d, "local"), [inc, inc], 2500)[0]
+
+
+@query(f"WITH {fx.PEERS}, r AS (SELECT user_id, 'peer' || (user_id % 97) || '.example.org' AS host FROM events) SELECT host, r.user_id, CAST(CASE WHEN n.url IS NULL THEN 30 ELSE 120 END AS INTEGER) AS \"limit\" FROM r LEFT JOIN nodes n ON n.enabled AND n.url = 'https://' || host")
+def request_limit_class(spark: SparkSession, d: str) -> DataFrame:
+    hosts = fx.table(spark, d, "events").select("user_id", F.concat(F.lit("peer"), (F.col("user_id") % 97).cast("string"), F.lit(".example.org")).alias("host"))
+    return schedule.request_limits(hosts, fx.nodes(spark, d)).select("host", "user_id", "limit")
+
+
+@query("WITH f AS (SELECT page_id, html, CASE WHEN page_id % 3 = 0 THEN 404 ELSE 200 END AS status FROM pages) SELECT page_id, CASE WHEN status = 200 THEN length(html) > 0 END AS has_text, CASE WHEN status = 200 THEN least(strlen(html), 100) END AS bytes FROM f")
+def raw_text(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies cut at 100 bytes of ASCII."""
+    status = F.when(F.col("page_id") % 3 == 0, 404).otherwise(200)
+    ascii_body = F.regexp_replace("html", r"[^\x00-\x7F]", "??")
+    full = fx.table(spark, d, "pages").withColumn("t", schedule.raw_text(F.encode(ascii_body, "UTF-8"), status, 100)).withColumn("s", status)
+    return full.select("page_id", F.when(F.col("s") == 200, F.length("t") > 0).alias("has_text"), F.when(F.col("s") == 200, F.length("t").cast("long")).alias("bytes"))
+
+
+@query(f"WITH {fx.CRAWLED} SELECT target_id, url, last_status FROM crawled WHERE target_id = '3' AND url = 'https://p.example.org/2'")
+def page_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return fx.crawled(spark, d).filter((F.col("target_id") == "3") & (F.col("url") == "https://p.example.org/2")).select("target_id", "url", "last_status")
+
+
+@query(f"WITH {fx.PEERS} SELECT id, enabled OR (NOT enabled AND CAST(id AS INTEGER) % 2 = 0) AS enabled FROM nodes")
+def peer_reenable(spark: SparkSession, d: str) -> DataFrame:
+    """Disabled peers with an even id answer their probe."""
+    n = fx.nodes(spark, d).withColumn("consecutive_failures", F.lit(5)).withColumn("disabled_at", F.lit(1))
+    return federation.reenabled(n, n.select("url", (F.col("id").cast("int") % 2 == 0).alias("healthy"))).select("id", "enabled")
+
+
+@query(f"""WITH {fx.PEERS}, new AS (SELECT * REPLACE (source_weight + 10 AS source_weight) FROM subs WHERE CAST(node_peer_id AS INTEGER) % 2 = 0)
+SELECT local_collection, node_peer_id, remote_collection, source_weight FROM new UNION ALL SELECT local_collection, node_peer_id, remote_collection, source_weight FROM subs WHERE CAST(node_peer_id AS INTEGER) % 2 = 1""")
+def subscription_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Subscriptions renewed with another weight; one to an unknown node is left out."""
+    subs = fx.subscriptions(spark, d)
+    new = subs.filter("cast(node_peer_id as int) % 2 = 0").withColumn("source_weight", F.col("source_weight") + 10)
+    stray = new.limit(1).withColumn("node_peer_id", F.lit("none"))
+    return admin.add_subscriptions(subs, new.unionByName(stray), fx.nodes(spark, d)).select("local_collection", "node_peer_id", "remote_collection", "source_weight")
+
+
+@query("SELECT CAST(r_regionkey AS VARCHAR) AS key, CASE WHEN r_regionkey < 2 THEN 'new' ELSE r_name END AS value FROM region UNION ALL SELECT '99', 'new'")
+def settings_merge(spark: SparkSession, d: str) -> DataFrame:
+    old = fx.table(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("key"), F.col("r_name").alias("value"))
+    new = old.filter("key < '2'").select("key", F.lit("new").alias("value")).unionByName(spark.createDataFrame([("99", "new")], "key string, value string"))
+    return admin.set_values(old, new)
+
+
+@query(f"WITH {_OUT}, r AS (SELECT host, count(*) AS n FROM o GROUP BY host) SELECT host, CASE WHEN n >= 12 THEN 'promoted' ELSE 'pending' END AS status, CASE WHEN n >= 12 THEN 'https://' || host || '/' END AS url_prefix FROM r")
+def outlink_promote(spark: SparkSession, d: str) -> DataFrame:
+    rows = outlinks.rollup(_outlinks(spark, d)).withColumn("status", F.lit("pending"))
+    keys = rows.filter("link_count >= 12").select("collection_id", "host")
+    added = outlinks.promoted_targets(rows, keys).select("url_prefix", urls.index_host("url_prefix").alias("host"))
+    return outlinks.decide(rows, keys, "promoted").join(added, "host", "left").select("host", "status", "url_prefix")
+
+
+@query(f"WITH {fx.DOCS}, {fx.COLLECTIONS}, {fx.TARGETS} SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM collections) AS collections, (SELECT count(*) FROM targets) AS targets, CAST(0 AS BIGINT) AS pending_outlinks, 5 AS index_bytes, FALSE AS index_full")
+def status_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    none = spark.createDataFrame([], "status string")
+    return admin.status_snapshot(fx.docs(spark, d), fx.collections(spark, d), fx.targets(spark, d), none, 5, 10)
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN '10.0.0.' || user_id % 9 WHEN event_id % 3 = 1 THEN 'socket' ELSE 'unknown' END AS ip FROM events")
+def client_ips(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id") % 3
+    forwarded = F.when(k == 0, F.concat(F.lit(" 10.0.0."), (F.col("user_id") % 9).cast("string"), F.lit(" , 10.9.9.9"))).when(k == 1, " ")
+    return fx.table(spark, d, "events").select(F.col("event_id").alias("id"), scalars.client_ip(forwarded, F.when(k == 1, "socket")).alias("ip"))
+
+
+@query(f"WITH {fx.TARGETS}, m AS (SELECT *, CASE WHEN CAST(id AS INTEGER) % 3 = 0 THEN 'https://www.t' || id || '.example.org/' ELSE url_prefix END AS moved FROM targets) SELECT id, moved AS url_prefix FROM m")
+def retarget(spark: SparkSession, d: str) -> DataFrame:
+    """Prefixes that redirect to a host with www. are moved there."""
+    t = fx.targets(spark, d)
+    seen = t.filter("cast(id as int) % 3 = 0").select("url_prefix", F.replace("url_prefix", F.lit("https://"), F.lit("https://www.")).alias("final"))
+    redirects = seen.select("url_prefix", urls.canonical_prefix("url_prefix", "final", F.lit(200)).alias("canonical"))
+    return crawl.retargeted(t, redirects).select("id", "url_prefix")

@@ -106,3 +106,21 @@ def test_snapshots_are_whole(spark, tmp_path):
     assert [(r.title, r.host) for r in store.read().collect()] == [("t2", "a.b")]
     assert store.commit(index.delete(store.read(), batch)) == 2 and store.read().count() == 0
     assert [tuple(r) for r in index.journal(batch).collect()] == [("c", "https://a.b/1", "h2")]
+
+
+def test_raw_text_is_lossy_and_cut(spark):
+    from pyspark.sql import functions as F
+
+    from tarn.operators.schedule import raw_text
+
+    df = spark.createDataFrame([(bytearray(b"ab\xffcdef"), 200), (bytearray(b"x"), 404), (None, 200)], "b binary, s int")
+    assert [r[0] for r in df.select(raw_text(F.col("b"), F.col("s"), 4)).collect()] == ["ab�c", None, None]
+
+
+def test_a_tick_waits(spark):
+    from tarn.operators.schedule import tick
+
+    targets = spark.createDataFrame([("1", "c", 1, None, True), ("2", "c", 1, None, True)], "id string, collection_id string, recrawl_interval_s long, last_crawled_at long, enabled boolean")
+    names, running = spark.createDataFrame([("c", "n")], "id string, name string"), targets.filter("id = '2'")
+    assert [r.id for r in tick(targets, names, running, 5).collect()] == ["1"]
+    assert tick(targets, names, running, 5, paused=True).count() == tick(targets, names, running, 5, full=True).count() == 0
