@@ -13,13 +13,9 @@ from tarn.llm.minimisers import GROUP_MOST, MAP_BITS, SEED_WORDS, WINDOW, Packed
 
 
 def contexts(words: Words, window: int, seed: int) -> tuple[np.ndarray, ...]:
-    """The retained suffixes: each minimiser's position with the words that a window around it can reach on either side."""
-    key, at, _, _ = super_runs(words, window, seed)
-    if not len(at):
-        return key, at, at, at
-    at, pick = np.unique(at, return_index=True)
-    row = np.searchsorted(words.first, at, side="right") - 1
-    return key[pick], at, np.maximum(words.first[row], at - (window - seed)), np.minimum(words.first[row + 1], at + window)
+    """The retained suffixes: each minimiser's position, with as much to either side as the windows that selected it span."""
+    key, at, first, windows = super_runs(words, window, seed)
+    return key, at, first, first + windows + window - 1
 
 
 def neighbour_minima(words: Packed, leads: np.ndarray, docs: np.ndarray, keys: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
