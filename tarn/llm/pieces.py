@@ -22,13 +22,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import SortedHashes, mix, span_hash
+from tarn.llm.common import SortedHashes, mix, small_batches, span_hash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 3
 SEED = 1
 #: Characters of whole texts that one step works on.
-STEP_CHARS = 1 << 20
+STEP_CHARS = 3 << 18
 SPACE = "▁"
 SAMPLE = "struct<rank:int,n_pieces:long,log_prob:double,perturbed:double,inclusion:double,ids_sha256:string,ids:array<int>>"
 _SAMPLE = pa.struct([("rank", pa.int32()), ("n_pieces", pa.int64()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64()), ("ids_sha256", pa.string()), ("ids", pa.list_(pa.int32()))])
@@ -152,12 +152,11 @@ class Lattices:
             out[offset[at] + k] = edge
         return out, count
 
-    def siblings(self, edge: int) -> np.ndarray:
-        head = int(self.head[self.src[edge]])
-        stop = head
+    def siblings(self, edge: int) -> range:
+        head = stop = int(self.head[self.src[edge]])
         while self.cum[stop] != np.inf:
             stop += 1
-        return np.arange(head, stop + 1)
+        return range(head, stop + 1)
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -175,54 +174,60 @@ def below(value: np.ndarray | float, log_mass: np.ndarray, noise: np.ndarray) ->
         return -np.logaddexp(-value, -(log_mass + noise))
 
 
-class Search:
-    """The open nodes of one text: for each path found, the siblings left at each of its steps."""
-
-    def __init__(self, seed: int, top: float):
-        self.seed, self.top = seed, top
-        self.paths: list[dict] = []
-        self.found: list[tuple[float, float]] = []
-
-    def add(self, edges: np.ndarray, units: np.ndarray, q: np.ndarray, value: float, fixed: int) -> None:
-        """A path whose first `fixed` steps are open in another path already."""
-        logs = np.log(q)
-        sums = np.cumsum(logs)
-        before = sums - logs
-        bound = np.full(len(edges), -np.inf)
-        if len(edges) > fixed:
-            noise = gumbel(_states(self.seed, 2 * len(self.paths) + 1, np.arange(fixed, len(edges))))
-            with np.errstate(divide="ignore"):
-                bound[fixed:] = below(value, before[fixed:] + np.log1p(-np.minimum(q[fixed:], 1.0)), noise)
-        self.paths.append({"edges": edges, "units": units, "before": before, "bound": bound, "gone": {}})
-        self.found.append((float(sums[-1]) if len(sums) else 0.0, value))
-
-    def best(self) -> tuple[float, int, int]:
-        """(value, path, step) of the largest open node; -inf if the tree is spent."""
-        out = (-np.inf, -1, -1)
-        for k, p in enumerate(self.paths):
-            if len(p["bound"]):
-                m = int(p["bound"].argmax())
-                if p["bound"][m] > out[0]:
-                    out = (float(p["bound"][m]), k, m)
-        return out
-
-    def split(self, value: float, k: int, m: int, lattices: Lattices) -> int:
-        """The sibling that holds the open node's maximum; the rest of them stay open under it."""
-        p = self.paths[k]
-        gone = p["gone"].setdefault(m, [int(p["edges"][m])])
-        others = np.setdiff1d(lattices.siblings(gone[0]), gone)
-        share = lattices.q[others]
-        state = _states(self.seed, 2 * len(self.paths), np.array([m]))
-        edge = int(others[min(np.searchsorted(np.cumsum(share), uniform(state)[0] * share.sum(), side="right"), len(others) - 1)])
-        gone.append(edge)
-        rest = share.sum() - lattices.q[edge]
-        p["bound"][m] = below(value, p["before"][m] + np.log(rest), gumbel(state ^ np.uint64(0x5555)))[0] if len(others) > 1 and rest > 0 else -np.inf
-        return edge
-
-
-def _states(seed: int, stream: int, at: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(np.array([seed ^ (stream * 0x9FB21C651E98DF25 & ((1 << 64) - 1))], np.uint64)) + at.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+class Path:
+    """A segmentation that was found, with what is open beside each of its steps."""
+
+    __slots__ = ("before", "best", "bound", "edges", "gone", "log_prob", "units", "value")
+
+    def __init__(self, edges: np.ndarray, units: np.ndarray, before: np.ndarray, bound: np.ndarray, log_prob: float, value: float):
+        self.edges, self.units, self.before, self.bound = edges, units, before, bound
+        self.log_prob, self.value = log_prob, value
+        self.gone: dict[int, list[int]] = {}
+        self.look()
+
+    def look(self) -> None:
+        """The largest open node beside the path: (value, step)."""
+        m = int(self.bound.argmax()) if len(self.bound) else -1
+        self.best = (float(self.bound[m]), m) if m >= 0 else (-np.inf, -1)
+
+
+def _stream(seeds: np.ndarray, stream: int) -> np.ndarray:
+    return mix(seeds ^ np.uint64(stream * 0x9FB21C651E98DF25 & ((1 << 64) - 1)))
+
+
+_STEP = 0xC2B2AE3D27D4EB4F
+
+
+def open_paths(lattices: Lattices, edges: np.ndarray, units: np.ndarray, first: np.ndarray, fixed: np.ndarray, seeds: np.ndarray, stream: int, values: np.ndarray) -> list[Path]:
+    """Paths of many texts at once; the first `fixed` steps of each are open in another path already."""
+    logs = np.log(lattices.q[edges])
+    sums = np.r_[0.0, np.cumsum(logs)]
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    before = sums[:-1] - sums[first[:-1]][row]
+    at = np.arange(len(edges)) - first[:-1][row]
+    noise = gumbel(_stream(seeds, 2 * stream + 1)[row] + at.astype(np.uint64) * np.uint64(_STEP))
+    with np.errstate(divide="ignore"):
+        bound = below(values[row], before + np.log1p(-np.minimum(lattices.q[edges], 1.0)), noise)
+    bound[at < fixed[row]] = -np.inf
+    total = sums[first[1:]] - sums[first[:-1]]
+    return [Path(edges[a:b], units[a:b], before[a:b], bound[a:b], t, v) for a, b, t, v in zip(first[:-1].tolist(), first[1:].tolist(), total.tolist(), values.tolist(), strict=True)]
+
+
+def split(path: Path, value: float, m: int, state: int, lattices: Lattices) -> int:
+    """The sibling that holds the open node's maximum; the rest of them stay open under it."""
+    gone = path.gone.setdefault(m, [int(path.edges[m])])
+    others = [e for e in lattices.siblings(gone[0]) if e not in gone]
+    shares = [float(lattices.q[e]) for e in others]
+    draws = np.array([state, state ^ 0x5555], np.uint64) + np.uint64(m * _STEP & ((1 << 64) - 1))
+    u, k = float(uniform(draws[:1])[0]) * sum(shares), 0
+    while k < len(others) - 1 and u >= shares[k]:
+        u -= shares[k]
+        k += 1
+    gone.append(others[k])
+    rest = sum(shares) - shares[k]
+    path.bound[m] = below(value, path.before[m] + np.log(rest), gumbel(draws[1:]))[0] if len(others) > 1 and rest > 0 else -np.inf
+    path.look()
+    return others[k]
 
 
 def sample_block(texts: list[str], seeds: np.ndarray, pieces: Pieces, samples: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -256,46 +261,49 @@ def sample_block(texts: list[str], seeds: np.ndarray, pieces: Pieces, samples: i
     edges, count = lattices.walk(nodes, streams(every, 0))
     bounds = np.r_[0, np.cumsum(count)][row_units]
     units = np.repeat(every, count)
-    q = lattices.q[edges]
-    tops = gumbel(seeds)
-    searches = []
-    for r in range(len(texts)):
-        a, b = bounds[r], bounds[r + 1]
-        s = Search(int(seeds[r]), float(tops[r]))
-        s.add(edges[a:b], units[a:b], q[a:b], s.top, 0)
-        searches.append(s)
+    found = [[p] for p in open_paths(lattices, edges, units, bounds, np.zeros(len(texts), np.int64), seeds, 0, gumbel(seeds))]
+
+    def best(paths: list[Path]) -> Path:
+        return max(paths, key=lambda p: p.best[0])
+
     for k in range(1, samples):
-        todo = []
-        for r, s in enumerate(searches):
-            value, p, m = s.best()
+        todo, states = [], _stream(seeds, 2 * k).tolist()
+        for r, paths in enumerate(found):
+            p = best(paths)
+            value, m = p.best
             if value > -np.inf:
-                edge = s.split(value, p, m, lattices)
-                todo.append((r, value, s.paths[p], m, edge))
+                todo.append((r, value, p, m, split(p, value, m, states[r], lattices)))
         if not todo:
             break
-        at = [t[2]["units"][t[3]] for t in todo]
+        at = [int(t[2].units[t[3]]) for t in todo]
         spans = [np.arange(u, row_units[t[0] + 1]) for u, t in zip(at, todo, strict=True)]
         which = np.concatenate(spans)
         begins = np.cumsum([0, *map(len, spans)])
         from_nodes = nodes[which]
         from_nodes[begins[:-1]] = lattices.dst[[t[4] for t in todo]]
         tail, tail_count = lattices.walk(from_nodes, streams(which, k))
-        tail_bounds = np.r_[0, np.cumsum(tail_count)][begins]
+        tail_bounds = np.r_[0, np.cumsum(tail_count)][begins].tolist()
         tail_units = np.repeat(which, tail_count)
-        for i, (r, value, p, m, edge) in enumerate(todo):
+        new_edges, new_units, sizes = [], [], [0]
+        for i, (_, _, p, m, edge) in enumerate(todo):
             a, b = tail_bounds[i], tail_bounds[i + 1]
-            new = np.concatenate([p["edges"][:m], [edge], tail[a:b]])
-            searches[r].add(new, np.concatenate([p["units"][: m + 1], tail_units[a:b]]), lattices.q[new], value, m + 1)
+            new_edges += [p.edges[:m], [edge], tail[a:b]]
+            new_units += [p.units[: m + 1], tail_units[a:b]]
+            sizes.append(m + 1 + b - a)
+        rows = [t[0] for t in todo]
+        more = open_paths(lattices, np.concatenate(new_edges).astype(np.int64), np.concatenate(new_units), np.cumsum(sizes), np.array([t[3] + 1 for t in todo]), seeds[rows], k, np.array([t[1] for t in todo]))
+        for r, p in zip(rows, more, strict=True):
+            found[r].append(p)
     out = []
-    for s in searches:
-        limit = s.best()[0]
+    for paths in found:
+        limit = best(paths).best[0]
         got = []
-        for p, (log_prob, value) in zip(s.paths, s.found, strict=True):
-            ids = lattices.ids[p["edges"]]
+        for p in paths:
+            ids = lattices.ids[p.edges]
             if len(ids) and ids.min() < 0:
                 ids = np.array([x for i in ids.tolist() for x in ([i] if i >= 0 else [int(pieces.bytes[c]) if pieces.bytes[c] >= 0 else pieces.unknown for c in chr(-1 - i).encode()])], np.int64)
-            inclusion = 1.0 if limit == -np.inf else float(-np.expm1(-np.exp(min(log_prob - limit, 50.0))))
-            got.append((ids.astype(np.int32), log_prob, value, inclusion))
+            inclusion = 1.0 if limit == -np.inf else float(-np.expm1(-np.exp(min(p.log_prob - limit, 50.0))))
+            got.append((ids.astype(np.int32), p.log_prob, p.value, inclusion))
         out.append(got)
     return out
 
@@ -313,6 +321,7 @@ def encoded(docs: DataFrame, model: bytes, samples: int = SAMPLES, seed: int = S
     row key and the seed only; repeated rows get the same ones, and a null key counts as a key of its own. A null text
     has no samples, an empty text the empty one, and a text with fewer segmentations has those. ids is null unless asked for.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     state = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
 
