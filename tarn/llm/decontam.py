@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import LOWER, PLAIN, SortedHashes, Words, merged, span_hash, text_parts
+from tarn.llm.common import LOWER, PLAIN, SortedHashes, Words, arrow, merged, span_hash, text_parts
 
 WINDOW = 13
 #: Words that a suffix must share with a test suffix to be sorted.
@@ -197,7 +197,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, o
                     ["doc_id", "text", "n_words", "hits", "matches"],
                 )
 
-        out = out.mapInArrow(run, schema)
+        out = out.transform(arrow, run, schema)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +208,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, o
                 covered.append(int((e - s).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(covered, pa.int64()), batch.column(3)], ["doc_id", "n_words", "n_hit", "matches"])
 
-    out = out.select("doc_id", "n_words", "hits", "matches").mapInArrow(total, f"doc_id long, n_words long, n_hit long, matches {FOUND}")
+    out = out.select("doc_id", "n_words", "hits", "matches").transform(arrow, total, f"doc_id long, n_words long, n_hit long, matches {FOUND}")
     items = F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda m: m["item_id"]), lambda x: x.isNotNull())))
     longest = F.aggregate("matches", F.lit(0), lambda a, m: F.greatest(a, m["end"] - m["start"]))
     return out.select("doc_id", "n_words", "n_hit", items.alias("items"), "matches", longest.alias("longest"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import SPACED, Words, checkpointed, mix, small_batches, span_hash, text_parts
+from tarn.llm.common import SPACED, Words, arrow, checkpointed, mix, span_hash, text_parts
 
 WINDOW = 50
 #: Words in a minimiser.
@@ -85,10 +85,10 @@ def shared_map(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, bi
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], ["page", "bits"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id() - (1 << 62)), F.col("text").cast("string"))
-    seen = rows.mapInArrow(scan, "slot long, low long, high long").groupBy("slot").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    seen = rows.transform(arrow, scan, "slot long, low long, high long").groupBy("slot").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     shared = seen.filter("low <> high").select("slot")
     parts = min(1 << max(0, bits - _PAGE), 64)
-    by_page = shared.repartition(parts, F.shiftright("slot", _PAGE)).mapInArrow(pages, "page long, bits binary")
+    by_page = shared.repartition(parts, F.shiftright("slot", _PAGE)).transform(arrow, pages, "page long, bits binary")
     out = np.zeros(1 << max(0, bits - 3), np.uint8)
     step = 1 << (_PAGE - 3)
     for page, packed in by_page.toLocalIterator():
@@ -130,7 +130,6 @@ class Pieces:
     """
 
     def __init__(self, docs: DataFrame, spans, window: int, seed: int, bits: int):
-        small_batches(docs.sparkSession)
         self.docs, self.spans, self.window, self.seed, self.bits = docs, spans, window, seed, bits
         self.map = docs.sparkSession.sparkContext.broadcast(shared_map(docs, window, seed, bits))
 
@@ -186,11 +185,11 @@ class Pieces:
         return identified(self.docs).select("doc", "rid", "text")
 
     def occurrences(self) -> DataFrame:
-        return self._rows().mapInArrow(self._run(False, np.zeros(0, np.int64), False), OCCURRENCES)
+        return self._rows().transform(arrow, self._run(False, np.zeros(0, np.int64), False), OCCURRENCES)
 
     def carriers(self, crowded: np.ndarray, only: bool = False) -> DataFrame:
         """Those whose minimiser is not (or: only those whose minimiser is) among the crowded ones."""
-        return self._rows().mapInArrow(self._run(True, crowded, only), CARRIERS)
+        return self._rows().transform(arrow, self._run(True, crowded, only), CARRIERS)
 
 
 def _window_hashes(words: Packed, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -278,7 +277,7 @@ def repeated_windows(pieces: Pieces, minima, most: int = GROUP_MOST) -> DataFram
         if held:
             yield settle(pa.concat_tables(held))
 
-    verdicts = pieces.carriers(full).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, VERDICTS)
+    verdicts = pieces.carriers(full).repartition(parts, "key").sortWithinPartitions("key").transform(arrow, run, VERDICTS)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,7 +289,7 @@ def repeated_windows(pieces: Pieces, minima, most: int = GROUP_MOST) -> DataFram
             yield pa.RecordBatch.from_arrays([take(0), take(1), pa.array(at.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), take(3)], ["h1", "h2", "at", "a", "b", "doc"])
 
     if len(full):
-        windows = pieces.carriers(full, only=True).select("h1", "h2", "packed", "doc").mapInArrow(split, "h1 long, h2 long, at int, a long, b long, doc long")
+        windows = pieces.carriers(full, only=True).select("h1", "h2", "packed", "doc").transform(arrow, split, "h1 long, h2 long, at int, a long, b long, doc long")
         least = windows.groupBy("a", "b").agg(F.min("doc").alias("least"))
         by_window = windows.select("h1", "h2", "at", "a", "b").distinct().join(least, ["a", "b"])
         verdicts = verdicts.unionByName(by_window.groupBy("h1", "h2").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "least"))), lambda x: x["least"]).alias("mins")))

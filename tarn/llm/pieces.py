@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import SortedHashes, mix, small_batches, span_hash
+from tarn.llm.common import SortedHashes, arrow, mix, span_hash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 3
@@ -321,7 +321,6 @@ def encoded(docs: DataFrame, model: bytes, samples: int = SAMPLES, seed: int = S
     row key and the seed only; repeated rows get the same ones, and a null key counts as a key of its own. A null text
     has no samples, an empty text the empty one, and a text with fewer segmentations has those. ids is null unless asked for.
     """
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     state = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
 
@@ -342,7 +341,7 @@ def encoded(docs: DataFrame, model: bytes, samples: int = SAMPLES, seed: int = S
                 i = j
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string"), state.alias("state"))
-    return rows.mapInArrow(run, f"doc_id long, samples array<{SAMPLE}>")
+    return rows.transform(arrow, run, f"doc_id long, samples array<{SAMPLE}>")
 
 
 def decoded(rows: DataFrame, model: bytes, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -357,4 +356,4 @@ def decoded(rows: DataFrame, model: bytes, ids: str = "ids", keep: tuple[str, ..
 
     taken = rows.select(F.col(ids).alias("_ids"), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[1:]) + ", text string"
-    return taken.mapInArrow(run, schema)
+    return taken.transform(arrow, run, schema)

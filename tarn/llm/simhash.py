@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import checkpointed
+from tarn.llm.common import arrow, checkpointed
 
 BITS = 64
 #: Fingerprints of one block that are compared with one another; a fuller block goes the other exact way (`_stars`).
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             got = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(arrow, run, "doc_id long, fp long")
 
 
 def _blocks(bits: int, parts: int) -> list[int]:

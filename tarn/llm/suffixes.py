@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tarn.llm.common import Words, span_hash
+from tarn.llm.common import Words, arrow, span_hash
 from tarn.llm.minimisers import GROUP_MOST, MAP_BITS, SEED_WORDS, WINDOW, Packed, Pieces, covered_spans, identified, repeated_windows, run_minima, super_runs
 
 
@@ -82,4 +82,4 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WO
                 ["doc_id", "n_words", "n_repeated", "spans", "kept"],
             )
 
-    return rows.select("doc_id", "text", "at").mapInArrow(run, "doc_id long, n_words long, n_repeated long, spans array<struct<start:int,end:int>>, kept string")
+    return rows.select("doc_id", "text", "at").transform(arrow, run, "doc_id long, n_words long, n_repeated long, spans array<struct<start:int,end:int>>, kept string")

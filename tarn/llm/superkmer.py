@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tarn.llm.common import Words
+from tarn.llm.common import Words, arrow
 from tarn.llm.minimisers import GROUP_MOST, MAP_BITS, SEED_WORDS, WINDOW, Packed, Pieces, covered_spans, identified, repeated_windows, sorted_minima, super_runs
 
 
@@ -51,7 +51,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORD
                 ["doc_id", "n_words", "n_removed", "kept", "spans"],
             )
 
-    return rows.select("doc_id", "text", "at").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>")
+    return rows.select("doc_id", "text", "at").transform(arrow, run, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>")
 
 
 def brute_force(docs: list[tuple[int | None, str | None]], window: int = WINDOW) -> list[tuple[int | None, int, int, str]]:

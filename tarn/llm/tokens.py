@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import checkpointed
+from tarn.llm.common import arrow, checkpointed
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The id after the last rank closes a document; ids of two bytes.
@@ -80,7 +80,7 @@ def pack(docs: DataFrame, ranks: bytes, separator: int = SEPARATOR, block_tokens
         if len(rest):
             yield rows([rest])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FILES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(arrow, run, FILES)
 
 
 def flat_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, dtype: str = TYPE) -> DataFrame:
@@ -93,7 +93,7 @@ def flat_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS,
                 n = max(1, -(-len(data) // size)) if data else 0
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(n), pa.int64()), pa.array([data[k * size : (k + 1) * size] for k in range(n)], pa.binary())], ["file", "block", "data"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, data binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").transform(arrow, run, "file string, block long, data binary")
 
 
 def scan(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = TYPE, span: int = SPAN_BLOCKS) -> DataFrame:
@@ -117,7 +117,7 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = TYPE, span:
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, inner)]).astype(np.int32)), pa.array(np.concatenate(inner) if inner else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(heads, pa.int64()), pa.array(tails, pa.int64()), lists], ["file", "block", "n", "closed", "head", "tail", "inner"])
 
-    found = blocks.select("file", "block", "data").mapInArrow(search, f"file {of}, block long, n long, closed long, head long, tail long, inner array<long>")
+    found = blocks.select("file", "block", "data").transform(arrow, search, f"file {of}, block long, n long, closed long, head long, tail long, inner array<long>")
     found = found.withColumn("part", F.floor(F.col("block") / span))
     # Within a part: tokens and documents before each block, and the place (in the part) after the last separator before it.
     inside = Window.partitionBy("file", "part").orderBy("block")

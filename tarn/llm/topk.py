@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.llm.common import arrow
+
 K = 10
 BITS = 64
 SEGMENT_BITS = 16
@@ -43,7 +45,7 @@ def codes(vectors: DataFrame, vector: str = "embedding", row_id: str = "vec_id")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed)], ["id", "code"])
 
     known = vectors.filter(F.col(row_id).isNotNull() & F.col(vector).isNotNull())
-    return known.select(F.col(row_id).cast("long"), F.col(vector)).mapInArrow(run, "id long, code long")
+    return known.select(F.col(row_id).cast("long"), F.col(vector)).transform(arrow, run, "id long, code long")
 
 
 class Index:
@@ -125,7 +127,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, vector: str = "emb
             if held:
                 yield from search()
 
-        return every.mapInArrow(run, "query_id long, neighbour_id long, distance int")
+        return every.transform(arrow, run, "query_id long, neighbour_id long, distance int")
 
     blocks, own, code = [], [], []
     for r in asked.toLocalIterator():

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import LOWER, SortedHashes, Words, byte_set, held_out, segment_sums, span_hash, text_parts
+from tarn.llm.common import LOWER, SortedHashes, Words, arrow, byte_set, held_out, release, segment_sums, span_hash, text_parts
 
 #: Labelled documents of each class that the model is fitted on, those with the smallest hashes of their ids.
 SAMPLE_PER_CLASS = 3000
@@ -73,8 +73,10 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, prior: float, epochs: int = 2
     base = np.log(max(prior, 1e-4) / max(1 - prior, 1e-4))
     if not n or ones in (0, n):
         return Model(SortedHashes(np.zeros(0, np.uint64)), np.zeros(0), np.zeros((0, FACTORS)), base)
-    flat, of = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
-    names, index = np.unique(flat, return_inverse=True)
+    of = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    names, index = np.unique(np.concatenate(rows), return_inverse=True)
+    index = index.astype(np.int32)
+    del rows
     df, df1 = np.bincount(index), np.bincount(index, weights=toxic[of])
     g2 = np.zeros(len(names))
     for seen, total in ((df1, ones), (df - df1, n - ones)):
@@ -132,9 +134,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([hashed[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())], ["toxic", "terms"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id").select("toxic", "text")
-    got = texts.mapInArrow(run, "toxic int, terms binary").toArrow()
-    rows = [np.frombuffer(x.as_py(), np.uint64) for x in got.column("terms")]
-    return fit(rows, got.column("toxic").to_numpy(), (ones + 1) / (n + 2))
+    got = texts.transform(arrow, run, "toxic int, terms binary").toArrow()
+    rows, toxic = [np.frombuffer(x.as_py(), np.uint64) for x in got.column("terms")], got.column("toxic").to_numpy()
+    del got
+    model = fit(rows, toxic, (ones + 1) / (n + 2))
+    release()
+    return model
 
 
 def scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -148,7 +153,7 @@ def scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
 
     taken = docs.select(F.col("text").cast("string").alias("_text"), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[1:]) + ", _score double"
-    return taken.mapInArrow(run, schema).withColumnRenamed("_score", "score")
+    return taken.transform(arrow, run, schema).withColumnRenamed("_score", "score")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -174,4 +179,4 @@ def not_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             if got:
                 yield batch.filter(pa.array(np.concatenate(got) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow, run, docs.schema)
