@@ -409,14 +409,16 @@ def commit_journal(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {fx.UPSERTS} SELECT collection, url, 'u.example.org' AS host, title, body, indexed_at FROM latest WHERE op = 'upsert'")
 def indexer_microbatch(spark: SparkSession, d: str) -> DataFrame:
-    """The events as a file stream through the indexer, to its end; then what a reader sees."""
+    """The events as a file stream through the indexer, which is stopped and started again half-way; then what a reader sees."""
     root = f"{_scratch(spark)}/{spark.sparkContext.applicationId}-{len(_STREAMS)}"
     _STREAMS.append(root)
-    fx.upserts(spark, d).repartitionByRange(4, "seq").write.parquet(f"{root}/jobs")
-    schema = spark.read.parquet(f"{root}/jobs").schema
-    jobs = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/jobs")
+    rows = fx.upserts(spark, d)
+    half = rows.agg(F.max("seq")).first()[0] // 2
     store = index.SnapshotStore(spark, f"{root}/index")
-    indexer.indexer(jobs, store, f"{root}/checkpoint", available_now=True).awaitTermination()
+    for part in (rows.filter(F.col("seq") <= half), rows.filter(F.col("seq") > half)):
+        part.write.mode("append").parquet(f"{root}/jobs")
+        jobs = spark.readStream.schema(rows.schema).parquet(f"{root}/jobs")
+        indexer.indexer(jobs, store, f"{root}/checkpoint", available_now=True).awaitTermination()
     return store.read()
 
 
