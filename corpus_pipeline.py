@@ -26,7 +26,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that disclose it are generalised in the text."""
-    return pii.sanitised(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return pii.sanitised(docs, pii.WHOLE).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,12 +22,20 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 @dataclass(frozen=True)
 class Policy:
     """near: code points on either side of an entity that are its context; least: documents that a term and an entity
-    must share; share: disclosure from which a term goes; generalise: put the kind in place, else remove."""
+    must share; share: disclosure from which a term goes; generalise: put the kind in place, else remove.
+
+    whole: every term of a document is a candidate, no count is gated, and a disclosing term goes wherever it stands;
+    near and least are not used then. discount is taken off the documents that both share, so few say less than many."""
 
     near: int = 48
     least: int = 3
     share: float = 0.9
     generalise: bool = True
+    whole: bool = False
+    discount: float = 0.5
+
+
+WHOLE = Policy(whole=True)
 
 
 # Patterns without nested repetition: Java keeps a stack for that, which very long matches overflow. Where the plain
@@ -39,7 +47,7 @@ _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _TERM = r"\p{L}{3,}+"
 
 
-def _located(text: Column, pattern: str, when: Column) -> Column:
+def _located(text: Column, pattern: Column | str, when: Column) -> Column:
     """array<struct<start, end>> (code points) of the matches: between them lie the pieces that the pattern splits off."""
     found = F.when(when, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     pieces = F.when(F.size(found) > 0, F.split(text, pattern, -1))
@@ -112,6 +120,8 @@ def find(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa: B008
     terms travel as 64-bit hashes; counts are summed up before they are shuffled, and a common entity or term is one
     row after that. Extra columns are ignored.
     """
+    if policy.whole:
+        return _find_whole(docs, policy)
     ids, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     rows = docs.select(ids.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(ids, text).alias("rid"))
     based = rows.withColumn("base", base_spans(F.col("text")))
@@ -139,6 +149,54 @@ def find(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa: B008
     return known.select("doc_id", "rid", "base").join(flagged, "rid", "left").select("doc_id", "rid", "base", F.concat("base", outside).alias("spans"))
 
 
+#: Bits of the map of keys that _maybe broadcasts: 8 MB whatever the number of keys. Full, it lets every row travel.
+_BITS = 1 << 26
+
+
+def _maybe(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of df whose key may be among keys (both 64-bit hashes), by a map of bits; none that is gets lost."""
+    at = F.pmod(F.col(key), F.lit(_BITS))
+    bits = keys.select(F.bitmap_bucket_number(at).alias("_b"), F.bitmap_bit_position(at).alias("_at")).groupBy("_b").agg(F.bitmap_construct_agg("_at").alias("_map"))
+    placed = df.withColumns({"_b": F.bitmap_bucket_number(at), "_at": F.bitmap_bit_position(at)})
+    byte = F.conv(F.hex(F.substring(F.col("_map"), (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return placed.join(F.broadcast(bits), "_b").filter(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*df.columns)
+
+
+def _find_whole(docs: DataFrame, policy: Policy) -> DataFrame:
+    """find over all terms of the documents that hold an entity; the words of an entity itself count as its terms."""
+    ids, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    rows = docs.select(ids.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(ids, text).alias("rid"))
+    words = F.regexp_extract_all("text", F.lit(_TERM), F.lit(0))
+    hashed = lambda w: F.xxhash64(F.lower(w))
+
+    def entity(s: Column) -> Column:
+        own = _cut(F.col("text"), s)
+        return F.xxhash64(s["kind"], F.when(s["kind"] == "email", F.lower(own)).when(s["kind"] == "ip", own).otherwise(_digits(own)))
+
+    based = rows.withColumn("base", base_spans(F.col("text")))
+    known = checkpointed(based.select("doc_id", "rid", "base", F.array_distinct(F.transform("base", entity)).alias("entities"), F.array_distinct(F.transform(words, hashed)).alias("terms")))
+    # repeated rows are seldom: without any, nothing has to be brought together
+    one = known if known.groupBy("rid").count().filter("count > 1").isEmpty() else known.select("rid", "entities", "terms").dropDuplicates(["rid"])
+    total = one.agg(F.count("*").alias("n"))
+    holders = one.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    term_counts = one.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    pairs = one.filter(F.size("entities") > 0).select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    scored = pairs.join(holders, "entity").join(term_counts, "term").crossJoin(F.broadcast(total))
+    information = F.log(F.col("n") / F.col("n_entity"))
+    pmi = F.log((F.col("n_both") - policy.discount) * F.col("n") / (F.col("n_entity") * F.col("n_term")))
+    risky = scored.filter((information > 0) & (pmi >= policy.share * information)).select("term").distinct()
+    risky = checkpointed(risky)
+    flagged = checkpointed(_maybe(one.select("rid", F.explode("terms").alias("term")), "term", risky).join(risky, "term").groupBy("rid").agg(F.collect_list("term").alias("risky")))
+    # the forms in which these terms stand in the text: letters only, so they are a pattern as they are
+    held = _maybe(rows.select("rid", "text"), "rid", flagged).join(flagged, "rid").dropDuplicates(["rid"])
+    forms = F.filter(F.array_distinct(words), lambda w: F.array_contains("risky", hashed(w)))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(forms, "|"), F.lit(r")(?!\p{L})"))
+    spans = held.select("rid", F.col("text"), pattern.alias("pattern")).select("rid", _located(F.col("text"), F.col("pattern"), F.lit(True)).alias("found"))
+    terms = spans.select("rid", F.transform("found", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("terms"))
+    outside = F.filter(F.coalesce("terms", F.array().cast(SPANS)), lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    return known.select("doc_id", "rid", "base").join(terms, "rid", "left").select("doc_id", "rid", "base", F.concat("base", outside).alias("spans"))
+
+
 def digest(spans: Column | str) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

@@ -85,6 +85,22 @@ def test_share_is_the_definition(documents):
         assert sum(s.kind == "term" for s in r.spans) == want
 
 
+def test_whole_finds_terms_of_rare_entities(documents):
+    """An entity of one document, a term far from it, and the same term in a document without the entity."""
+    far = "the " * 40
+    rows = [(0, f"unicorn {far} zed@mail.example Unicorn"), (1, f"the {far} zed@mail.example unicorn, unicorns"), (2, "the Unicorn was"), (2, "the Unicorn was")]
+    rows += [(10 + k, "the word was here") for k in range(3000)]
+    docs = documents(rows)
+    cut = {r.doc_id: [s.kind for s in r.spans] for r in pii.find(docs).filter("doc_id < 3").collect()}
+    assert cut == {0: ["email"], 1: ["email"], 2: []}
+    found = pii.find(docs, pii.Policy(whole=True, share=0.85))
+    got = {r.doc_id: [dict(rows)[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "term"] for r in found.filter("doc_id < 3").collect()}
+    assert got == {0: ["unicorn", "Unicorn"], 1: ["unicorn", "unicorns"], 2: ["Unicorn"]}
+    assert found.count() == len(rows) and found.filter("doc_id >= 10 and size(spans) > 0").count() == 0
+    assert pii.sanitised(docs, pii.Policy(whole=True, share=0.85)).filter("doc_id = 2").first().text == "the [TERM] was"
+    assert pii.find(documents([]).limit(0), pii.WHOLE).collect() == []
+
+
 def test_no_documents(documents):
     assert pii.find(documents([]).limit(0)).collect() == []
     assert pii.sanitised(documents([]).limit(0)).collect() == []
