@@ -30,9 +30,8 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's sampled segmentations: doc_id, rank, their scores and digests."""
-    found = pieces.encoded(docs, pieces.read_model(), with_ids=False)
-    return found.select("doc_id", F.explode_outer("samples").alias("s")).select("doc_id", "s.rank", "s.n_pieces", "s.log_prob", "s.perturbed", "s.inclusion", "s.ids_sha256")
+    """Each document's sampled segmentations: doc_id, rank, their scores and digests, and those of the text decoded from them."""
+    return pieces.round_trip(docs, pieces.read_model())
 
 
 STAGES = [

@@ -357,3 +357,13 @@ def decoded(rows: DataFrame, model: bytes, ids: str = "ids", keep: tuple[str, ..
     taken = rows.select(F.col(ids).alias("_ids"), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[1:]) + ", text string"
     return taken.transform(arrow, run, schema)
+
+
+def round_trip(docs: DataFrame, model: bytes, samples: int = SAMPLES) -> DataFrame:
+    """One row for each sample of each row of docs: the fields of encoded but ids, and text_sha256 of what its ids decode to.
+
+    A row without samples (a null text) is one row of nulls.
+    """
+    each = encoded(docs, model, samples).select("doc_id", F.explode_outer("samples").alias("s")).select("doc_id", "s.*")
+    keep = ("doc_id", "rank", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_sha256")
+    return decoded(each, model, keep=keep).select(*keep, F.sha2("text", 256).alias("text_sha256"))

@@ -55,8 +55,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pieces.encoded(table(spark, sf_dir, "documents"), pieces.read_model(), with_ids=False)
-    return found.select("doc_id", F.explode_outer("samples").alias("s")).select("doc_id", "s.rank", "s.n_pieces", "s.log_prob", "s.perturbed", "s.inclusion", "s.ids_sha256")
+    return pieces.round_trip(table(spark, sf_dir, "documents"), pieces.read_model())
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

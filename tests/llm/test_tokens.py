@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from itertools import permutations
@@ -133,6 +134,23 @@ def test_decoding(spark):
     assert sorted(map(tuple, pieces.decoded(df, model).collect())) == [(1, "a b\n😀"), (2, ""), (3, None)]
 
 
+@needs
+def test_every_sample_is_decoded(documents, corpus, spark, tmp_path):
+    """op7 and the pipeline's last stage digest the text that each sample's ids decode to."""
+    import corpus_pipeline
+    from tarn.llm import queries
+
+    docs = documents([(i, t) for i, t in corpus if i is not None])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for found in (queries.op7_sentencepiece(spark, str(tmp_path)), corpus_pipeline.segment(spark, docs, str(tmp_path))):
+        got = found.collect()
+        assert {r.doc_id for r in got} == {i for i, _ in corpus if i is not None}
+        assert max(r["rank"] or 0 for r in got) == pieces.SAMPLES
+        for r in got:
+            text = dict(corpus)[r.doc_id]
+            assert r.text_sha256 == (None if text is None else hashlib.sha256(text.encode()).hexdigest())
+
+
 @pytest.mark.parametrize("shard", [1 << 20, 50])
 def test_topk(spark, shard):
     rng = np.random.default_rng(4)
