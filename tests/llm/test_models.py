@@ -98,6 +98,21 @@ def test_language_id(documents):
     assert not langid.identify(odd, models).first().accepted
 
 
+def test_language_models_hold_every_gram(documents):
+    """More grams than were once kept: those seen once and twice, which the discount rests on, are all there."""
+    rng = random.Random(7)
+    letters = [chr(c) for c in range(0x4E00, 0x9F00)]
+    rows = [(i, "".join(rng.choices(letters, k=10_000))) for i in range(48)]
+    learned = [t for i, t in rows if not held(i)]
+    keys = np.concatenate([langid.row_grams(*_chunk(t))[0] for t in [*learned, learned[0]]])
+    keys, counts = np.unique(keys, return_counts=True)
+    assert len(keys) > 1 << 18
+    models = langid.train(documents([*rows, next((100 + k, learned[0]) for k in range(9) if not held(100 + k))], lambda i, t: "zh"))
+    assert sorted(models.grams[4].keys.tolist()) == keys.tolist()
+    want = langid.Smoothed(keys, counts.astype(float)).probability(models.grams[4].keys, 4)
+    assert np.allclose(models.probabilities[4][:, 0], want)
+
+
 def test_language_id_learns_from_the_right_rows(documents):
     """Held-out labels and inputs other than text make no difference."""
     rows = _languages(90)
