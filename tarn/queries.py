@@ -594,8 +594,8 @@ def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
 def search_events(spark: SparkSession, d: str) -> DataFrame:
     """A federated search as the stream of events that a client gets."""
     peers = federation.active_peers(fx.subscriptions(spark, d), fx.nodes(spark, d))
-    local = search.search(fx.docs(spark, d), " ".join(WORDS), NOW, config=CONFIG, limit=5)
-    remote = federation.peer_results(fx.answers(spark, d).filter("url like '%0'"), peers)
+    local = search.search(fx.docs(spark, d), " ".join(WORDS), NOW, config=CONFIG)
+    remote = federation.peer_results(fx.answers(spark, d), peers)
     ends = remote.groupBy("source").agg(F.max("elapsed_ms").alias("elapsed_ms")).withColumn("error", F.lit(None).cast("string"))
     return envelopes.event_stream(local, remote, ends)
 

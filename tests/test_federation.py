@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from tarn import config
+from tarn import config, queries
 from tarn.functions import scalars
 from tarn.operators import admin, federation, limits
 from tarn.schemas import TABLES
@@ -124,6 +124,24 @@ def test_envelopes(spark):
     assert envelopes.wants_json("application/json") and not envelopes.wants_json("text/event-stream, application/json")
 
 
+def test_search_events_are_whole(spark, tmp_path):
+    """Every answer of an active peer is in the stream, against a brute-force one."""
+    d = str(tmp_path)
+    spark.createDataFrame([(k, 0, f"S{k}", 10.0 if k != 2 else -1.0) for k in (1, 2, 3)], "s_suppkey long, s_nationkey int, s_name string, s_acctbal double").write.parquet(f"{d}/supplier.parquet")
+    spark.createDataFrame([(k, f"p{k}", 100.0 + k) for k in range(1, 41)], "p_partkey long, p_name string, p_retailprice double").write.parquet(f"{d}/part.parquet")
+    spark.createDataFrame([(k, "rights " + "x " * k, "en", "src0") for k in range(30)], "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    got = queries.queries()["search_events"](spark, d).collect()
+    assert [r.seq for r in got] == list(range(1, len(got) + 1))
+    local = [r for r in got if r.source == "local"]
+    assert [r.event for r in local] == ["result"] * 25 + ["source_complete"] and local == got[:26]
+    weight = {k: (k % 4 + 1) / 2 for k in (1, 3)}  # the second peer is off
+    answers = [(k % 3 + 1, (100.0 + k) / 100 * weight[k % 3 + 1], f"https://x.example.org/{k}") for k in range(1, 41) if k % 3 + 1 in weight]
+    want = []
+    for peer in (1, 3):
+        want += [x[2] for x in sorted((x for x in answers if x[0] == peer), key=lambda x: (-x[1], x[2]))] + [None]
+    assert [json.loads(r.payload).get("url") for r in got[26:-1]] == want and got[-1].event == "done"
+
+
 def test_rpc():
     ask = lambda method, **p: envelopes.rpc({"jsonrpc": "2.0", "id": 1, "method": method, "params": p}, lambda q, c, d: [{"q": q, "d": d}])
     assert ask("ping")["result"] == {}
