@@ -315,6 +315,13 @@ def link_fates(spark: SparkSession, d: str) -> DataFrame:
     return crawl.link_fates(links, prefixes).select("seq", "target_url", "fate")
 
 
+@query(f"WITH {fx.LINKS} SELECT seq, target_url, CASE WHEN starts_with(target_url, 'https://blog.') THEN 'follow' ELSE 'outlink' END AS fate FROM links")
+def link_fates_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of every link of every page; link_fates has those to blogs and the first of each page."""
+    prefixes = fx.table(spark, d, "pages").filter(F.startswith("url", F.lit("https://blog."))).select(F.lit("c").alias("collection_id"), F.concat(urls.origin_of("url"), F.lit("/")).alias("url_prefix")).distinct()
+    return crawl.link_fates(fx.links(spark, d), prefixes).select("seq", "target_url", "fate")
+
+
 def _outlinks(spark: SparkSession, d: str) -> DataFrame:
     links = fx.links(spark, d)
     return outlinks.hits_of(links).filter(F.col("host") != urls.host_of("source_url"))
