@@ -119,6 +119,21 @@ def frontier(seeds: DataFrame, links: DataFrame, max_pages: int = PAGES_PER_RUN,
     return seen
 
 
+def reached(seeds: DataFrame, links: DataFrame) -> DataFrame:
+    """(url, level): every page that the seeds (url) lead to by links (source_url, target_url), until no page is new.
+
+    Each level is one join and one anti-join, as in `frontier`; without an order of visits no page has to be numbered.
+    """
+    at, level = checkpointed(seeds.select("url", F.lit(0).alias("level")).distinct()), 0
+    seen = at
+    while not at.isEmpty():
+        level += 1
+        out = links.join(at.select(F.col("url").alias("source_url")), "source_url").select(F.col("target_url").alias("url"))
+        at = checkpointed(out.join(seen, "url", "left_anti").distinct().select("url", F.lit(level).alias("level")))
+        seen = seen.unionByName(at)
+    return seen
+
+
 def throttle_aborts(fetches: DataFrame, most: int = THROTTLED_MOST) -> DataFrame:
     """(collection_id, aborted_at): the first fetch, by `seq`, at which `most` throttled answers had come in a row."""
     w = Window.partitionBy("collection_id").orderBy("seq")

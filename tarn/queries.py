@@ -364,6 +364,15 @@ def crawl_frontier(spark: SparkSession, d: str) -> DataFrame:
     return crawl.frontier(seeds, fx.links(spark, d).select("source_url", "target_url", "pos"), 10_000, 7).select("url", "level")
 
 
+@query(f"""WITH RECURSIVE {fx.LINKS}, walk(url, level) USING KEY (url) AS (SELECT url, 0 FROM pages WHERE page_id = 0
+UNION SELECT l.target_url, min(w.level) + 1 FROM walk w JOIN links l ON l.source_url = w.url WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.url = l.target_url) GROUP BY l.target_url)
+SELECT url, CAST(level AS INTEGER) AS level FROM walk""")
+def crawl_frontier_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every page that can be reached from the first, by its distance; crawl_frontier stops six links away."""
+    seeds = fx.table(spark, d, "pages").filter("page_id = 0").select("url")
+    return crawl.reached(seeds, fx.links(spark, d).select("source_url", "target_url"))
+
+
 @query(f"WITH RECURSIVE {fx.REQUESTS}, r AS (SELECT key, id, now, ok, row_number() OVER (PARTITION BY key ORDER BY id) AS n, row_number() OVER (PARTITION BY key, ok ORDER BY id) AS m FROM requests), i AS (SELECT key, id, row_number() OVER (PARTITION BY key, n - m ORDER BY id) AS run FROM r WHERE NOT ok) SELECT key, min(id) AS aborted_at FROM i WHERE run >= 3 GROUP BY key")
 def throttle_abort(spark: SparkSession, d: str) -> DataFrame:
     """Where three throttled answers in a row end a crawl; errors stand in for them."""

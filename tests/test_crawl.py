@@ -70,6 +70,12 @@ def test_decided_hosts_ignore_hits(spark):
     assert [r.url_prefix for r in outlinks.promoted_targets(before, before.filter("host = 'p'").select("collection_id", "host")).collect()] == ["https://p/"]
 
 
+def test_reached_has_no_depth_limit(spark):
+    links = spark.createDataFrame([(f"u{k}", f"u{k + 1}") for k in range(9)] + [("u9", "u0"), ("u0", "u2"), ("far", "away")], "source_url string, target_url string")
+    got = crawl.reached(spark.createDataFrame([("u0",)], "url string"), links).collect()
+    assert sorted((r.url, r.level) for r in got) == [("u0", 0), ("u1", 1)] + [(f"u{k}", k - 1) for k in range(2, 10)]
+
+
 def test_throttling_aborts_after_a_run(spark):
     rows = [("c", k, 429 if k not in (0, 4) else 200) for k in range(12)]
     assert [tuple(r) for r in crawl.throttle_aborts(spark.createDataFrame(rows, "collection_id string, seq long, status int")).collect()] == [("c", 9)]
