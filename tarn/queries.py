@@ -85,6 +85,13 @@ def term_statistics(spark: SparkSession, d: str) -> DataFrame:
     return words.groupBy("term", "doc_id").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter("df >= 3")
 
 
+@query(f"WITH {fx.TOKENIZED}, w AS (SELECT doc_id, unnest(bt) AS t FROM tok), p AS (SELECT t, doc_id, count(*) AS tf FROM w GROUP BY ALL) SELECT t AS term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY t")
+def term_statistics_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of every term; term_statistics has those of three documents or more."""
+    words = search.spread(fx.docs(spark, d)).select("doc_id", F.explode(text.tokens("body")).alias("term"))
+    return words.groupBy("term", "doc_id").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
 @query(f"WITH {_bm25(WORDS, _any(WORDS), title=False).replace(_any(WORDS), ' OR '.join(f'''list_contains(bt, '{w}')''' for w in WORDS))} SELECT url, round(bm25, 6) AS bm25 FROM hits")
 def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
     """An OR query over a standing inverted index of the bodies."""
