@@ -313,19 +313,27 @@ def read_model(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def encoded(docs: DataFrame, model: bytes, samples: int = SAMPLES, seed: int = SEED, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
+def _text_sha256(sp: sentencepiece.SentencePieceProcessor, ids: np.ndarray) -> str:
+    return hashlib.sha256(sp.decode(ids.tolist()).encode() if len(ids) else b"").hexdigest()
+
+
+def encoded(docs: DataFrame, model: bytes, samples: int = SAMPLES, seed: int = SEED, key: str = "doc_id", with_ids: bool = True, decode: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, samples (array of rank, n_pieces, log_prob, perturbed, inclusion, ids_sha256, ids).
 
     Samples of a text are distinct, in order of their perturbed log-probabilities; `inclusion` is the probability that
     a segmentation is among them, given the next largest value (for weighted estimates). They depend on the text, the
     row key and the seed only; repeated rows get the same ones, and a null key counts as a key of its own. A null text
     has no samples, an empty text the empty one, and a text with fewer segmentations has those. ids is null unless asked for.
+    With decode each sample also has text_sha256, that of the text its ids decode to, found where the ids are.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    kind = pa.struct([*_SAMPLE, pa.field("text_sha256", pa.string())]) if decode else _SAMPLE
+    sample = SAMPLE[:-1] + ", text_sha256:string>" if decode else SAMPLE
     state = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(sent.value)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=sent.value) if decode else None
         for batch in batches:
             texts, seeds = batch.column(1).to_pylist(), batch.column(2).to_numpy().view(np.uint64)
             i = 0
@@ -336,12 +344,12 @@ def encoded(docs: DataFrame, model: bytes, samples: int = SAMPLES, seed: int = S
                     j += 1
                 rows = []
                 for text, got in zip(texts[i:j], sample_block([t or "" for t in texts[i:j]], mix(seeds[i:j]), pieces, samples), strict=True):
-                    rows.append(None if text is None else [{"rank": k + 1, "n_pieces": len(ids), "log_prob": p, "perturbed": v, "inclusion": w, "ids_sha256": hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), "ids": ids if with_ids else None} for k, (ids, p, v, w) in enumerate(got)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x or [] for x in rows], pa.list_(_SAMPLE))], ["doc_id", "samples"])
+                    rows.append(None if text is None else [{"rank": k + 1, "n_pieces": len(ids), "log_prob": p, "perturbed": v, "inclusion": w, "ids_sha256": hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), "ids": ids if with_ids else None} | ({"text_sha256": _text_sha256(sp, ids)} if sp else {}) for k, (ids, p, v, w) in enumerate(got)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x or [] for x in rows], pa.list_(kind))], ["doc_id", "samples"])
                 i = j
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string"), state.alias("state"))
-    return rows.transform(arrow, run, f"doc_id long, samples array<{SAMPLE}>")
+    return rows.transform(arrow, run, f"doc_id long, samples array<{sample}>")
 
 
 def decoded(rows: DataFrame, model: bytes, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -364,6 +372,5 @@ def round_trip(docs: DataFrame, model: bytes, samples: int = SAMPLES) -> DataFra
 
     A row without samples (a null text) is one row of nulls.
     """
-    each = encoded(docs, model, samples).select("doc_id", F.explode_outer("samples").alias("s")).select("doc_id", "s.*")
-    keep = ("doc_id", "rank", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_sha256")
-    return decoded(each, model, keep=keep).select(*keep, F.sha2("text", 256).alias("text_sha256"))
+    found = encoded(docs, model, samples, with_ids=False, decode=True)
+    return found.select("doc_id", F.explode_outer("samples").alias("s")).select("doc_id", "s.rank", "s.n_pieces", "s.log_prob", "s.perturbed", "s.inclusion", "s.ids_sha256", "s.text_sha256")
