@@ -19,8 +19,8 @@ from tarn.llm.common import LOWER, PLAIN, SortedHashes, Words, arrow, merged, sp
 WINDOW = 13
 #: Words that a suffix must share with a test suffix to be sorted.
 OPENING = 4
-#: Bytes of benchmark text in one broadcast block; a larger benchmark takes more passes over the documents.
-BLOCK_BYTES = 32 << 20
+#: Windows in one broadcast block (some 110 bytes each); a larger benchmark takes more passes over the documents.
+BLOCK_WINDOWS = 1 << 18
 
 FOUND = "array<struct<item_id:string,start:int,end:int,item_start:int>>"
 _FOUND = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("item_start", pa.int32())]))
@@ -135,83 +135,81 @@ def longest_matches(at: np.ndarray, item: np.ndarray, place: np.ndarray, width:
     return row[heads], item[heads], at[heads], at[tails] + width[tails], place[heads]
 
 
-def _blocks(benchmark: DataFrame, most: int) -> Iterator[tuple[list, list]]:
-    """The benchmark in blocks of bounded size, one at a time on the driver; null texts have no window."""
-    ids, texts, size = [], [], 0
+def _blocks(benchmark: DataFrame, window: int, opening: int, most: int) -> Iterator[TestSuffixes]:
+    """The suffixes of the benchmark in blocks of about `most` windows, one at a time on the driver; an item is never split."""
+    ids, texts, size, some = [], [], 0, False
     for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).filter("text is not null").toLocalIterator():
         ids.append(row[0])
         texts.append(row[1])
-        size += len(row[1])
+        # every word but one is followed by a character that is none
+        size += (len(row[1]) + 1) // 2 if len(row[1]) > most else sum(len(Words(d, o, PLAIN, LOWER, hashed=False)) for *_, d, o in text_parts(pa.array([row[1]], pa.large_string())))
         if size >= most:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    yield ids, texts
+            yield TestSuffixes(ids, texts, window, opening)
+            ids, texts, size, some = [], [], 0, True
+    if ids or not some:
+        yield TestSuffixes(ids, texts, window, opening)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, opening: int = OPENING, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, n_hit, items (sorted item ids), matches, longest.
-
-    A window is `window` consecutive words of an item, or the whole of a shorter one; words inside any occurrence of a
-    window are hit. `matches` lists the longest verbatim matches with word positions [start, end). A null or empty text
-    has no words; items without words match nothing; an item whose id is null hits but is not listed among the items.
-    Repeated documents each get a row; an id that several items share is listed once. Nothing is shuffled.
-    """
-    spark = docs.sparkSession
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("hits"), F.array().cast(FOUND).alias("matches"))
-    schema = f"doc_id long, text string, n_words long, hits array<struct<start:int,end:int>>, matches {FOUND}"
+def _searched(rows: DataFrame, benchmark: DataFrame, window: int, opening: int, most: int) -> DataFrame:
+    """rows (row: a struct that goes through as it is, text) with n_words, n_hit and matches in place of text."""
+    spark = rows.sparkSession
+    kind = rows.schema["row"].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for ids, texts in _blocks(benchmark, block_bytes):
-        sent = spark.sparkContext.broadcast((ids, texts, window, opening))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            tests = TestSuffixes(*sent.value)
+    blocks = _blocks(benchmark, window, opening, most)
+    tests, following, first = next(blocks), None, True
+    out = rows
+    while tests is not None:
+        following = next(blocks, None)
+        sent = spark.sparkContext.broadcast(tests)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, first=first, last=following is None) -> Iterator[pa.RecordBatch]:
+            tests = sent.value
+            size = np.zeros(len(tests.ids), np.int64)  # the width of an item's windows: the usual one, or the whole item if it is shorter
+            size[tests.items] = np.repeat(tests.widths, np.diff(tests.first))
             for batch in batches:
-                counts, hits, matches = [], [], []
-                for i, j, data, offsets in text_parts(batch.column(1)):
+                counts, hits, matches = [], [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)]
+                for i, _, data, offsets in text_parts(batch.column(1)):
                     words = Words(data, offsets, PLAIN, LOWER)
                     counts.append(np.diff(words.first))
-                    hits_here, found_here = [[] for _ in range(j - i)], [[] for _ in range(j - i)]
                     at, item, place = search_shard(words, tests)
                     if len(at):
-                        # the width of the window at each place: the usual one, or the whole item if it is shorter
-                        size = np.zeros(len(tests.ids), np.int64)
-                        size[tests.items] = np.repeat(tests.widths, np.diff(tests.first))
                         row = np.searchsorted(words.first, at, side="right") - 1
                         for r, m, s, e, p in zip(*(x.tolist() for x in longest_matches(at, item, place, size[item], row)), strict=True):
                             b = int(words.first[r])
-                            hits_here[r].append({"start": s - b, "end": e - b})
-                            found_here[r].append({"item_id": tests.ids[m], "start": s - b, "end": e - b, "item_start": p})
-                    hits += hits_here
-                    matches += found_here
+                            hits[i + r].append({"start": s - b, "end": e - b})
+                            matches[i + r].append({"item_id": tests.ids[m], "start": s - b, "end": e - b, "item_start": p})
+                if not first:
+                    hits = [(old.as_py() or []) + new for old, new in zip(batch.column(2), hits, strict=True)]
+                    matches = [(old.as_py() or []) + new for old, new in zip(batch.column(3), matches, strict=True)]
+                if not last:
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, span), pa.array(matches, _FOUND)], ["row", "text", "hits", "matches"])
+                    continue
+                covered = np.zeros(batch.num_rows, np.int64)
+                for k, spans in enumerate(hits):
+                    if spans:
+                        s, e = merged(np.array([x["start"] for x in spans], np.int64), np.array([x["end"] for x in spans], np.int64))
+                        covered[k] = (e - s).sum()
                 n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-                old = batch.column(4)
-                joined = [a.as_py() + b if b else a for a, b in zip(old, matches, strict=True)] if any(matches) else None
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        batch.column(1),
-                        pa.array(n.astype(np.int64)),
-                        pa.array([a.as_py() + b for a, b in zip(batch.column(3), hits, strict=True)], span) if joined else batch.column(3),
-                        pa.array([x if isinstance(x, list) else x.as_py() for x in joined], _FOUND) if joined else old,
-                    ],
-                    ["doc_id", "text", "n_words", "hits", "matches"],
-                )
-
-        out = out.transform(arrow, run, schema)
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            covered = []
-            for x in batch.column(2):
-                spans = x.as_py()
-                s, e = merged(np.array([y["start"] for y in spans], np.int64), np.array([y["end"] for y in spans], np.int64)) if spans else (np.zeros(0), np.zeros(0))
-                covered.append(int((e - s).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(covered, pa.int64()), batch.column(3)], ["doc_id", "n_words", "n_hit", "matches"])
-
-    out = out.select("doc_id", "n_words", "hits", "matches").transform(arrow, total, f"doc_id long, n_words long, n_hit long, matches {FOUND}")
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(covered), pa.array(matches, _FOUND)], ["row", "n_words", "n_hit", "matches"])
+
+        out = out.transform(arrow, run, f"row {kind}, n_words long, n_hit long, matches {FOUND}" if following is None else f"row {kind}, text string, hits array<struct<start:int,end:int>>, matches {FOUND}")
+        tests, first = following, False
+    return out
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, opening: int = OPENING, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """One row for each row of docs: doc_id, n_words, n_hit, items (sorted item ids), matches, longest.
+
+    A window is `window` consecutive words of an item, or the whole of a shorter one; words inside any occurrence of a
+    window are hit. `matches` lists the longest verbatim matches with word positions [start, end). A null or empty text
+    has no words; items without words match nothing; an item whose id is null hits but is not listed among the items.
+    Repeated documents each get a row; an id that several items share is listed once. Nothing is shuffled.
+    """
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("row"), F.col("text").cast("string").alias("text"))
+    found = _searched(rows, benchmark, window, opening, block_windows)
     items = F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda m: m["item_id"]), lambda x: x.isNotNull())))
     longest = F.aggregate("matches", F.lit(0), lambda a, m: F.greatest(a, m["end"] - m["start"]))
-    return out.select("doc_id", "n_words", "n_hit", items.alias("items"), "matches", longest.alias("longest"))
+    return found.select("row.doc_id", "n_words", "n_hit", items.alias("items"), "matches", longest.alias("longest"))
 
 
 def is_contaminated() -> Column:
@@ -219,7 +217,9 @@ def is_contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the contaminated ones; a document without an id stays only if clean texts alone have no id."""
-    bad = contamination(docs, benchmark, **options).filter(is_contaminated()).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, opening: int = OPENING, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """docs, all columns, without the contaminated rows. Each row is judged by its own text, whatever its id; nothing is shuffled."""
+    places = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(F.struct(*places).alias("row"), F.col("text").cast("string").alias("text"))
+    found = _searched(rows, benchmark, window, opening, block_windows).filter(~is_contaminated())
+    return found.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

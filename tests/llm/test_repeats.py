@@ -103,14 +103,14 @@ def contamination(docs, items, window=13):
     return key(out)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 60])
+@pytest.mark.parametrize("block", [1 << 20, 12])
 def test_decontamination(spark, documents, corpus, block):
     """Also with the benchmark in many blocks."""
     whole = [t for _, t in corpus if t and len(t.split()) > 60]
     items = [(1, " ".join(whole[0].split()[5:40]).upper().replace("É", "é")), (2, " ".join(whole[1].split()[:13])), (3, "solo phrase"), (4, None), (5, ""), (10, " ".join(whole[0].split()[20:60])), (None, " ".join(whole[2].split()[3:20])), (3, "solo phrase")]
     docs = [*corpus, (200, "a Solo, Phrase here"), (201, "phrase solo"), (202, " ".join(whole[0].split()[5:17]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.contamination(documents(docs), bench, block_bytes=block)
+    got = decontam.contamination(documents(docs), bench, block_windows=block)
     assert key((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got.collect()) == contamination(docs, items)
     spans = {r.doc_id: r.matches for r in got.filter("doc_id in (200, 202)").collect()}
     assert [(m.item_id, m.start, m.end) for m in spans[200]][:1] == [("3", 1, 3)] and spans[202] == []
@@ -121,8 +121,10 @@ def test_decontamination_of_nothing(spark, documents):
     assert [(r.n_words, r.n_hit) for r in decontam.contamination(documents([(1, "a b")]), none).collect()] == [(2, 0)]
     assert decontam.contamination(documents([]).limit(0), none).count() == 0
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
-    docs = documents([(1, "x a b c"), (2, "clean"), (None, None), (None, "a b c"), (3, None)])
-    assert key(r.doc_id for r in decontam.decontaminated(docs, bench).collect()) == [2, 3]
+    docs = documents([(1, "x a b c"), (1, "clean too"), (2, "clean"), (None, None), (None, "a b c"), (None, "clean"), (3, None)])
+    kept = decontam.decontaminated(docs, bench)
+    assert kept.schema == docs.schema
+    assert key((r.doc_id, r.text) for r in kept.collect()) == key([(1, "clean too"), (2, "clean"), (None, None), (None, "clean"), (3, None)])
 
 
 def test_long_matches_join_up(spark, documents):
