@@ -56,14 +56,57 @@ def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a checkpoint in the folder named by spark.checkpoint.dir (a new one only where it is unset)."""
+    """df cut from its lineage by a checkpoint in the folder named by spark.checkpoint.dir.
+
+    Only a local master gets a folder of its own where that is unset; executors of a cluster could not share one.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarn-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tarn-checkpoint-"))
     return df.checkpoint()
 
 
+def identity(doc_id: Column, text: Column) -> Column:
+    """A row by its id and text, as 128 bits; rows that agree in both are the same to every operator here."""
+    return F.struct(F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit(1), doc_id.isNull(), doc_id, text.isNull(), text).alias("b"))
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """Names like those wanted that no column of docs has, whatever their case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Bits of the map of keys that may_hold broadcasts: 8 MB whatever the number of keys. Full, it lets every row travel.
+KEY_BITS = 1 << 26
+
+
+def may_hold(df: DataFrame, key: Column, keys: DataFrame, flag: str, bits: int = KEY_BITS) -> DataFrame:
+    """df with a column `flag`: whether key may be among the one column of keys (both 64-bit hashes); false is certain."""
+    name = keys.columns[0]
+    at = F.pmod(F.col(name), F.lit(bits))
+    made = keys.select(F.bitmap_bucket_number(at).alias("_b"), F.bitmap_bit_position(at).alias("_at")).groupBy("_b").agg(F.bitmap_construct_agg("_at").alias("_map"))
+    place = F.pmod(key, F.lit(bits))
+    byte = F.conv(F.hex(F.substring(F.col("_map"), (F.bitmap_bit_position(place) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    hit = F.coalesce(F.getbit(byte, (F.bitmap_bit_position(place) % 8).cast("int")) == 1, F.lit(False))
+    return df.join(F.broadcast(made), F.bitmap_bucket_number(place) == F.col("_b"), "left").select(*[df[c] for c in df.columns], hit.alias(flag))
+
+
+def maybe(df: DataFrame, key: str, keys: DataFrame, bits: int = KEY_BITS) -> DataFrame:
+    """Rows of df whose key may be among keys; none that is gets lost."""
+    (flag,) = free_names(df, "_maybe")
+    return may_hold(df, F.col(key), keys, flag, bits).filter(flag).drop(flag)
+
+
 def remainder(doc_id: Column | str) -> Column:
     """crc32(doc_id as text) mod 4: remainder 2 is held out. A null id has remainder null."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -12,11 +12,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import arrow, checkpointed
+from tarn.llm.common import arrow, checkpointed, free_names, identity, may_hold
 
 BITS = 64
-#: Fingerprints of one block that are compared with one another; a fuller block goes the other exact way (`_stars`).
+#: Fingerprints of one block that are compared with one another; a fuller block is cut again by finer blocks.
 BLOCK_MOST = 256
+FINE_BLOCKS = 16
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -38,16 +39,18 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) for each row; a null or empty text has fingerprint zero. Only ASCII letters are folded."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns `keep` for each row; a null or empty text has fingerprint zero. Only ASCII letters are folded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()) if batch.num_rows else []
             got = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(arrow, run, "doc_id long, fp long")
+    taken = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep)
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in taken.schema.fields[2:])
+    return taken.transform(arrow, run, "doc_id long, fp long" + more)
 
 
 def _blocks(bits: int, parts: int) -> list[int]:
@@ -60,54 +63,34 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def close_pairs(fps: DataFrame, radius: int = 2, spare: int = 3, most: int = BLOCK_MOST) -> DataFrame:
-    """(a, b), a < b: links that connect exactly the distinct fingerprints `fp` that `radius` or fewer bits part.
-
-    radius + spare blocks; two close fingerprints agree on at least `spare` of them, so each choice of `spare` blocks is
-    a table to join on. Within a table, groups of at most `most` are compared pairwise, each close pair in its first
-    table only; a larger group links through `_stars`, so no group makes all its pairs.
-    """
-    masks = [_signed(reduce(int.__or__, c)) for c in combinations(_blocks(BITS, radius + spare), spare)]
+def _keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
     table = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)]))
-    keyed = fps.select("fp", table.alias("k")).select("k.t", "k.key", "fp")
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    small = keyed.join(sizes.filter(F.col("n") <= most).select("t", "key"), ["t", "key"], "left_semi")
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
+    return fps.select("fp", table.alias("k")).select("k.t", "k.key", "fp")
+
+
+def _verified(keyed: DataFrame, masks: list[int], radius: int) -> DataFrame:
+    """(a, b), a < b, of each table's groups, each close pair in its first table only."""
     differ = F.col("a").bitwiseXOR(F.col("b"))
-    first = reduce(lambda rest, im: F.when(differ.bitwiseAND(F.lit(im[1])) == 0, F.lit(im[0])).otherwise(rest), list(enumerate(masks))[::-1], F.lit(-1))
-    pairs = (
-        small.withColumnRenamed("fp", "a")
-        .join(small.withColumnRenamed("fp", "b"), ["t", "key"])
-        .filter((F.col("a") < F.col("b")) & close & (F.col("t") == first))
-        .select("a", "b")
-    )
-    large = keyed.join(sizes.filter(F.col("n") > most).select("t", "key"), ["t", "key"], "left_semi")
-    return pairs.unionByName(_stars(large.select("fp").distinct(), radius))
-
-
-def _stars(fps: DataFrame, radius: int) -> DataFrame:
-    """Links of crowded fingerprints without their pairs.
-
-    Two fingerprints within 2 * h bits have a common neighbour within h bits of both, so all that reach the same point
-    by h or fewer flips are within 2 * h of each other: the smallest of them is linked to the rest, a row for each.
-    For an odd radius the last bit is matched by one more flip on one side only.
-    """
-    half = radius // 2
+    first = reduce(lambda rest, im: F.when(differ.bitwiseAND(F.lit(im[1])) == 0, F.lit(im[0])).otherwise(rest), list(enumerate(masks))[::-1], F.lit(-1)) if len(masks) <= 16 else F.col("t")
+    pairs = keyed.withColumnRenamed("fp", "a").join(keyed.withColumnRenamed("fp", "b"), ["t", "key"])
+    return pairs.filter((F.col("a") < F.col("b")) & (F.bit_count(differ) <= radius) & (F.col("t") == first)).select("a", "b")
 
-    def reached(flips: int) -> list[int]:
-        return [_signed(sum(1 << i for i in c)) for n in range(flips + 1) for c in combinations(range(BITS), n)]
 
-    def points(flips: int) -> DataFrame:
-        masks = reached(flips)
-        at = F.explode(F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: m.bitwiseXOR(F.col("fp"))))
-        return fps.select("fp", at.alias("p"))
+def close_pairs(fps: DataFrame, radius: int = 2, spare: int = 3, most: int = BLOCK_MOST, fine: int = FINE_BLOCKS) -> DataFrame:
+    """(a, b), a < b: the distinct fingerprints `fp` that `radius` or fewer bits part.
 
-    if radius % 2:
-        near = points(half).groupBy("p").agg(F.min("fp").alias("a"))
-        return points(radius - half).join(near, "p").filter("a <> fp").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
-    every = points(half)
-    least = every.groupBy("p").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a <> z").drop("z")
-    return every.join(least, "p").filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()
+    radius + spare blocks; two close fingerprints agree on at least `spare` of them, so each choice of `spare` blocks is
+    a table to join on, and each pair of a group is verified. Groups of more than `most` are cut again by `fine` blocks,
+    of which close fingerprints agree on all but `radius`: what is left free in a fine group is radius blocks of a few
+    bits, so for two bits and 16 blocks no group can hold more than 256 fingerprints, whatever the data.
+    """
+    coarse = [_signed(reduce(int.__or__, c)) for c in combinations(_blocks(BITS, radius + spare), spare)]
+    keyed = _keyed(fps, coarse)
+    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    small = keyed.join(sizes.filter(F.col("n") <= most).select("t", "key"), ["t", "key"], "left_semi")
+    large = keyed.join(sizes.filter(F.col("n") > most).select("t", "key"), ["t", "key"], "left_semi").select("fp").distinct()
+    finer = [_signed(reduce(int.__or__, c)) for c in combinations(_blocks(BITS, fine), fine - radius)]
+    return _verified(small, coarse, radius).unionByName(_verified(_keyed(large, finer), finer, radius).distinct())
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -164,6 +147,25 @@ def hex_fingerprint(fp: Column | str = "fp") -> Column:
 
 
 def one_of_each(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """docs with one document of each component: the one with the smallest id, once; documents without an id stay."""
-    kept = near_duplicates(docs.filter("doc_id is not null"), radius).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """docs, all columns, with one row of each component of near-duplicates.
+
+    The row with the smallest doc_id stays; of rows that share it, that with the smallest hash of its text, and of rows
+    equal in both any one. A component without ids keeps the row with the smallest hash. Null and empty texts are one
+    component. Rows that stay for certain are never shuffled: a bounded map tells which rows may be in the way.
+    """
+    ids, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    name, maybe_name, count = free_names(docs, "_row", "_maybe", "_n")
+    taken = docs.select(ids.alias("doc_id"), text.alias("text"), identity(ids, text).alias("row"))
+    known = checkpointed(fingerprints(taken, keep=("row",)).groupBy("row", "doc_id", "fp").agg(F.count("*").alias("n")))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    least = known.groupBy("fp").agg(F.min(order).alias("least"))
+    roots = components(close_pairs(least.select("fp"), radius))
+    rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    stays = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
+    # rows that go, and rows of which one copy stays
+    gone = checkpointed(known.join(stays.withColumn("stays", F.lit(True)), "row", "left").filter("stays is null or n > 1").select("row", F.coalesce("stays", F.lit(False)).alias("stays")))
+    flagged = may_hold(docs.withColumn(name, identity(ids, text)), F.col(f"{name}.a"), gone.select("row.a"), maybe_name)
+    judged = flagged.filter(maybe_name).join(gone.select(F.col("row").alias(name), F.col("stays").alias(count)), name, "left")
+    kept = judged.filter(F.col(count).isNull())
+    once = judged.filter(count).dropDuplicates([name])
+    return flagged.filter(~F.col(maybe_name)).select(*docs.columns).unionByName(kept.select(*docs.columns)).unionByName(once.select(*docs.columns))

@@ -83,6 +83,30 @@ def test_edges(documents):
     assert simhash.near_duplicates(documents([]).limit(0)).collect() == []
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents([(5, None), (3, ""), (7, " "), (9, "a b c d")])).collect()}
     assert got == {5: 3, 3: 3, 7: 3, 9: 9}
-    kept = simhash.one_of_each(documents([(5, "a b"), (3, "A  b"), (3, "A  b"), (9, "x"), (None, "a b"), (None, None)]))
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [3, 9, None, None]
-    assert [r[0] for r in kept.selectExpr("typeof(fp)").distinct().collect()] == ["string"]
+
+
+def test_one_of_each(documents):
+    rows = [(5, "a b"), (3, "A  b"), (3, "A  b"), (9, "x"), (None, "a b"), (None, None), (3, "something else"), (11, ""), (None, "lone one"), (None, "lone one")]
+    docs = documents(rows)
+    kept = simhash.one_of_each(docs)
+    assert kept.schema == docs.schema
+    # the copy of id 3 stays once, its other text stays too; null and empty are one component, of which id 11 has the row
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(3, "A  b"), (3, "something else"), (9, "x"), (11, ""), (None, "lone one")], key=repr)
+    assert simhash.one_of_each(documents([]).limit(0)).collect() == []
+
+
+def test_one_of_each_keeps_one_row_of_every_component(documents, corpus):
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(documents(corpus)).collect()]
+    wanted = {(i, f) for i, f, _ in components(corpus)}
+    root = {f: c for _, f, c in components(corpus)}
+    assert all((i, slow_fingerprint(t)) in wanted for i, t in kept)
+    assert sorted(repr(root[slow_fingerprint(t)]) for _, t in kept) == sorted({repr(c) for c in root.values()})
+    assert all(i == root[slow_fingerprint(t)] for i, t in kept)
+
+
+def test_fine_groups_are_bounded(spark):
+    """All fingerprints of 2^11 that differ in low bits crowd every coarse block; the links are still those of the definition."""
+    rng = random.Random(1)
+    fps = sorted(rng.sample(range(1 << 14), 1200))
+    got = {(r.a, r.b) for r in simhash.close_pairs(spark.createDataFrame([(x,) for x in fps], "fp long"), most=64).collect()}
+    assert got == {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 2}
