@@ -1,18 +1,19 @@
 """Personal data: base patterns, and the terms that give a found entity away, by corpus co-occurrence. Built-in functions only.
 
 A term t discloses an entity e by PMI(t; e) / IC(e): the share of the entity's information content, -log p(e), that
-seeing t removes. Probabilities are document frequencies over the whole corpus. Terms beside an entity whose share
-reaches the threshold are generalised (or removed) with it.
+seeing t removes. Probabilities are document frequencies over the whole corpus; every term of a document that holds an
+entity is a candidate, whatever its count. A term whose share reaches the threshold for some entity is generalised (or
+removed) wherever it stands.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import checkpointed
+from tarn.llm.common import KEY_BITS, checkpointed, free_names, identity, may_hold, maybe
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "term")
@@ -21,21 +22,12 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 @dataclass(frozen=True)
 class Policy:
-    """near: code points on either side of an entity that are its context; least: documents that a term and an entity
-    must share; share: disclosure from which a term goes; generalise: put the kind in place, else remove.
+    """share: disclosure from which a term goes; discount: taken off the documents that term and entity share, so that
+    few say less than many; generalise: put the kind in place, else remove."""
 
-    whole: every term of a document is a candidate, no count is gated, and a disclosing term goes wherever it stands;
-    near and least are not used then. discount is taken off the documents that both share, so few say less than many."""
-
-    near: int = 48
-    least: int = 3
     share: float = 0.9
-    generalise: bool = True
-    whole: bool = False
     discount: float = 0.5
-
-
-WHOLE = Policy(whole=True)
+    generalise: bool = True
 
 
 # Patterns without nested repetition: Java keeps a stack for that, which very long matches overflow. Where the plain
@@ -47,20 +39,51 @@ _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _TERM = r"\p{L}{3,}+"
 
 
+_PLACED = "array<struct<start:int,end:int,own:string>>"
+#: Items that are folded together; the results of these runs are folded afterwards, so the work grows with the items.
+_RUN = 128
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once, also where body uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(items: Column, value, combine) -> Column:
+    """array<struct<before, x>>: each item with the values of all items before it combined, 0 for the first.
+
+    What a fold carries is copied at every step, so it carries numbers only.
+    """
+    none = F.array().cast("array<int>")
+    first = F.struct(F.lit(0).alias("at"), none.alias("out"))
+
+    def fold(run: Column, worth) -> Column:
+        return F.aggregate(run, first, lambda acc, x: F.struct(combine(acc["at"], worth(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def joined(every: Column, runs: Column) -> Column:
+        bases = fold(runs, lambda r: r["at"])["out"]
+        before = F.flatten(F.zip_with(runs, bases, lambda r, base: F.transform(r["out"], lambda v: combine(base, v))))
+        return F.zip_with(every, before, lambda x, b: F.struct(b.alias("before"), x.alias("x")))
+
+    def whole(every: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor((F.size(every) - 1) / _RUN).cast("int"))
+        return _let(F.transform(at, lambda k: fold(F.slice(every, k * _RUN + 1, F.lit(_RUN)), value)), lambda runs: joined(every, runs))
+
+    return _let(items, lambda every: F.when(F.size(every) > 0, whole(every)))
+
+
 def _located(text: Column, pattern: Column | str, when: Column) -> Column:
-    """array<struct<start, end>> (code points) of the matches: between them lie the pieces that the pattern splits off."""
-    found = F.when(when, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    pieces = F.when(F.size(found) > 0, F.split(text, pattern, -1))
-    both = F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("size")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    """array<struct<start, end, own>> (code points) of the matches: between them lie the pieces that the pattern splits off."""
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["size"]
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("out"))
+    def places(found: Column) -> Column:
+        gaps = F.zip_with(F.split(text, pattern, -1), found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("size")))
+        both = F.filter(gaps, lambda x: x["size"].isNotNull())
+        run = _running(both, lambda x: x["gap"] + x["size"], lambda a, b: a + b)
+        start = lambda s: s["before"] + s["x"]["gap"]
+        return F.zip_with(run, found, lambda s, m: F.struct(start(s).alias("start"), (start(s) + s["x"]["size"]).alias("end"), m.alias("own")))
 
-    spans = F.aggregate(F.filter(both, lambda x: x["size"].isNotNull()), start, step)["out"]
-    return F.coalesce(spans, F.array().cast("array<struct<start:int,end:int>>"))
+    found = F.when(when, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return _let(found, lambda x: F.when(F.size(x) > 0, places(x)).otherwise(F.array().cast(_PLACED)))
 
 
 def _digits(x: Column) -> Column:
@@ -78,123 +101,96 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add) % 10 == 0
 
 
-def _cut(text: Column, s: Column) -> Column:
-    return F.substring(text, s["start"] + 1, s["end"] - s["start"])
-
-
-def base_spans(text: Column) -> Column:
-    """array<struct<kind, start, end>> of the valid base matches, by kind as listed, then start. Null is empty."""
+def _matches(text: Column) -> Column:
+    """array<struct<kind, start, end, own>> of the valid base matches, by kind as listed, then start. Null is empty."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     ascii_digit = text.rlike("[0-9]")
     email = _located(F.regexp_replace(text, r"\.(?![A-Za-z0-9-])", "_"), _EMAIL, F.contains(text, F.lit("@")))
-    ip = F.filter(_located(text, _IP, ascii_digit), lambda s: F.forall(F.split(_cut(text, s), r"\."), lambda p: p.cast("double") <= 255))
+    ip = F.filter(_located(text, _IP, ascii_digit), lambda s: F.forall(F.split(s["own"], r"\."), lambda p: p.cast("double") <= 255))
     lone = F.regexp_replace(text, r"[ -](?=[ -])|(?<=[ -])[ -]", "x")
-    card = F.filter(_located(F.when(ascii_digit, lone), _CARD, ascii_digit), lambda s: F.length(_digits(_cut(text, s))).between(13, 19) & _luhn(_digits(_cut(text, s))))
-    phone = F.filter(_located(text, _PHONE, F.contains(text, F.lit("+"))), lambda s: F.length(_digits(_cut(text, s))).between(9, 15))
+    card = F.filter(_located(F.when(ascii_digit, lone), _CARD, ascii_digit), lambda s: F.length(_digits(s["own"])).between(13, 19) & _luhn(_digits(s["own"])))
+    phone = F.filter(_located(text, _PHONE, F.contains(text, F.lit("+"))), lambda s: F.length(_digits(s["own"])).between(9, 15))
 
     def named(kind: str, spans: Column) -> Column:
-        return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+        return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["own"].alias("own")))
 
     return F.concat(*[named(k, x) for k, x in zip(BASE, (email, ip, card, phone), strict=True)])
 
 
-def _beside(text: Column, s: Column, near: int) -> Column:
-    """array<struct<term hash, start, end>> of whole words within `near` code points of the span, outside it."""
-    low = F.greatest(s["start"] - near, F.lit(0))
+def _bare(matches: Column) -> Column:
+    return F.transform(matches, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+
+def base_spans(text: Column) -> Column:
+    """array<struct<kind, start, end>> of the valid base matches, by kind as listed, then start. Null is empty."""
+    return _bare(_matches(text))
+
 
-    def words(piece: Column, base: Column, whole_left: Column, whole_right: Column) -> Column:
-        found = F.filter(_located(piece, _TERM, F.length(piece) > 0), lambda w: (whole_left | (w["start"] > 0)) & (whole_right | (w["end"] < F.length(piece))))
-        return F.transform(found, lambda w: F.struct(F.xxhash64(F.lower(_cut(piece, w))).alias("term"), (base + w["start"]).alias("start"), (base + w["end"]).alias("end")))
+def _entity(s: Column) -> Column:
+    return F.xxhash64(s["kind"], F.when(s["kind"] == "email", F.lower(s["own"])).when(s["kind"] == "ip", s["own"]).otherwise(_digits(s["own"])))
 
-    left = F.substring(text, low + 1, s["start"] - low)
-    right = F.substring(text, s["end"] + 1, F.lit(near))
-    yes = F.lit(True)
-    return F.concat(words(left, low, low == 0, yes), words(right, s["end"], yes, s["end"] + near >= F.length(text)))
 
+def _term(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
 
-def find(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa: B008
+
+def disclosing(one: DataFrame, policy: Policy = Policy(), bits: int = KEY_BITS) -> DataFrame:  # noqa: B008
+    """(term): the hashes of the terms that disclose some entity; one: rid, entities, terms (arrays of hashes) of each document.
+
+    PMI(t; e) >= share * IC(e) says that p(e | t) >= p(e) ^ (1 - share). As a term meets an entity in no more documents
+    than the entity stands in, n_e, this can hold only for terms of at most n_e * (n / n_e) ^ (1 - share) documents, which
+    grows with n_e: a term commoner than that for the commonest entity it meets is left out before anything is paired.
+    Entities that stand in the same documents disclose alike, so one of them is paired. Counts are of the whole corpus,
+    summed up before they are shuffled.
+    """
+    n = one.count()
+    held = one.filter(F.size("entities") > 0)
+    stands = checkpointed(held.select("rid", F.explode("entities").alias("entity")))
+    documents = stands.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor("rid.a").alias("x"), F.bit_xor("rid.b").alias("y"))
+    alike = checkpointed(documents.groupBy("n_entity", "x", "y").agg(F.min("entity").alias("entity")).select("entity", "n_entity"))
+    paired = stands.join(alike, "entity")
+    commonest = paired.groupBy("rid").agg(F.max("n_entity").alias("top"))
+    tops = checkpointed(held.select("rid", "terms").join(commonest, "rid").select(F.explode("terms").alias("term"), "top").groupBy("term").agg(F.max("top").alias("top")))
+    counts = maybe(one.select(F.explode("terms").alias("term")), "term", tops.select("term"), bits).groupBy("term").agg(F.count("*").alias("n_term"))
+    total = F.lit(float(max(n, 1)))
+    rare = checkpointed(counts.join(tops, "term").filter(F.col("n_term") <= F.col("top") * F.pow(total / F.col("top"), F.lit(1 - policy.share)) * (1 + 1e-9)).select("term", "n_term"))
+    words = maybe(held.select("rid", F.explode("terms").alias("term")), "term", rare.select("term"), bits).join(rare, "term")
+    pairs = paired.join(words, "rid").groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    information = F.log(total / F.col("n_entity"))
+    pmi = F.log((F.col("n_both") - policy.discount) * total / (F.col("n_entity") * F.col("n_term")))
+    return pairs.filter((information > 0) & (pmi >= policy.share * information)).select("term").distinct()
+
+
+def find(docs: DataFrame, policy: Policy = Policy(), bits: int = KEY_BITS) -> DataFrame:  # noqa: B008
     """One row for each row of docs: doc_id, rid (names the row by id and text), base, spans.
 
-    `base` lists the valid base matches, `spans` these and then the disclosing terms. Null and empty texts have none.
-    Documents are counted once for each distinct pair of id and text; repeated rows get the same spans. Entities and
-    terms travel as 64-bit hashes; counts are summed up before they are shuffled, and a common entity or term is one
-    row after that. Extra columns are ignored.
+    `base` lists the valid base matches, `spans` these and then the disclosing terms: whole words of three letters or
+    more, outside base matches, but the words of an entity itself count as terms of its document. Null and empty texts
+    have none. Documents are counted once for each distinct pair of id and text; repeated rows get the same spans.
+    Entities and terms travel as 64-bit hashes. Extra columns are ignored.
     """
-    if policy.whole:
-        return _find_whole(docs, policy)
     ids, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    rows = docs.select(ids.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(ids, text).alias("rid"))
-    based = rows.withColumn("base", base_spans(F.col("text")))
-    entity = F.transform(
-        "base",
-        lambda s: F.struct(F.xxhash64(s["kind"], F.when(s["kind"] == "email", F.lower(_cut(F.col("text"), s))).when(s["kind"] == "ip", _cut(F.col("text"), s)).otherwise(_digits(_cut(F.col("text"), s)))).alias("entity"), _beside(F.col("text"), s, policy.near).alias("beside")),
-    )
-    known = checkpointed(based.select("doc_id", "rid", "base", entity.alias("entities")))
-    met = known.filter(F.size("entities") > 0).select("rid", F.explode("entities").alias("e")).select("rid", "e.entity", F.explode("e.beside").alias("b")).select("rid", "entity", "b.term", "b.start", "b.end")
-    # documents of each entity, and of each entity with each term beside it
-    holders = known.filter(F.size("entities") > 0).select("rid", F.explode(F.array_distinct(F.transform("entities", lambda e: e["entity"]))).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= policy.least)
-    pairs = met.select("rid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= policy.least).join(holders, "entity")
-    total = known.agg(F.count_distinct("rid").alias("n"))
-    # The share reaches s only if the term stands in at most n_both / n_entity * (n_entity / n)^(s - 1) documents, so a
-    # term cannot disclose if it is commoner; its documents are counted over all words of the corpus.
-    words = F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)), lambda w: F.xxhash64(w))))
-    term_counts = rows.select(words.alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    scored = pairs.join(term_counts, "term").crossJoin(F.broadcast(total))
-    information = F.log(F.col("n") / F.col("n_entity"))
-    pmi = F.log(F.col("n_both") * F.col("n") / (F.col("n_entity") * F.col("n_term")))
-    risky = scored.filter((information > 0) & (pmi >= policy.share * information)).select("entity", "term")
-    flagged = met.join(risky, ["entity", "term"]).groupBy("rid").agg(F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
-    # words inside a base match are not terms of their own
-    outside = F.filter(F.coalesce("terms", F.array().cast(SPANS)), lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return known.select("doc_id", "rid", "base").join(flagged, "rid", "left").select("doc_id", "rid", "base", F.concat("base", outside).alias("spans"))
-
-
-#: Bits of the map of keys that _maybe broadcasts: 8 MB whatever the number of keys. Full, it lets every row travel.
-_BITS = 1 << 26
-
-
-def _maybe(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Rows of df whose key may be among keys (both 64-bit hashes), by a map of bits; none that is gets lost."""
-    at = F.pmod(F.col(key), F.lit(_BITS))
-    bits = keys.select(F.bitmap_bucket_number(at).alias("_b"), F.bitmap_bit_position(at).alias("_at")).groupBy("_b").agg(F.bitmap_construct_agg("_at").alias("_map"))
-    placed = df.withColumns({"_b": F.bitmap_bucket_number(at), "_at": F.bitmap_bit_position(at)})
-    byte = F.conv(F.hex(F.substring(F.col("_map"), (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    return placed.join(F.broadcast(bits), "_b").filter(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*df.columns)
-
-
-def _find_whole(docs: DataFrame, policy: Policy) -> DataFrame:
-    """find over all terms of the documents that hold an entity; the words of an entity itself count as its terms."""
-    ids, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    rows = docs.select(ids.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(ids, text).alias("rid"))
+    rows = docs.select(ids.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), identity(ids, text).alias("rid"))
     words = F.regexp_extract_all("text", F.lit(_TERM), F.lit(0))
-    hashed = lambda w: F.xxhash64(F.lower(w))
-
-    def entity(s: Column) -> Column:
-        own = _cut(F.col("text"), s)
-        return F.xxhash64(s["kind"], F.when(s["kind"] == "email", F.lower(own)).when(s["kind"] == "ip", own).otherwise(_digits(own)))
-
-    based = rows.withColumn("base", base_spans(F.col("text")))
-    known = checkpointed(based.select("doc_id", "rid", "base", F.array_distinct(F.transform("base", entity)).alias("entities"), F.array_distinct(F.transform(words, hashed)).alias("terms")))
+    based = rows.withColumn("found", _matches(F.col("text")))
+    known = checkpointed(based.select("doc_id", "rid", _bare(F.col("found")).alias("base"), F.array_distinct(F.transform("found", _entity)).alias("entities"), F.array_distinct(F.transform(words, _term)).alias("terms")))
     # repeated rows are seldom: without any, nothing has to be brought together
     one = known if known.groupBy("rid").count().filter("count > 1").isEmpty() else known.select("rid", "entities", "terms").dropDuplicates(["rid"])
-    total = one.agg(F.count("*").alias("n"))
-    holders = one.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    term_counts = one.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    pairs = one.filter(F.size("entities") > 0).select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    scored = pairs.join(holders, "entity").join(term_counts, "term").crossJoin(F.broadcast(total))
-    information = F.log(F.col("n") / F.col("n_entity"))
-    pmi = F.log((F.col("n_both") - policy.discount) * F.col("n") / (F.col("n_entity") * F.col("n_term")))
-    risky = scored.filter((information > 0) & (pmi >= policy.share * information)).select("term").distinct()
-    risky = checkpointed(risky)
-    flagged = checkpointed(_maybe(one.select("rid", F.explode("terms").alias("term")), "term", risky).join(risky, "term").groupBy("rid").agg(F.collect_list("term").alias("risky")))
-    # the forms in which these terms stand in the text: letters only, so they are a pattern as they are
-    held = _maybe(rows.select("rid", "text"), "rid", flagged).join(flagged, "rid").dropDuplicates(["rid"])
-    forms = F.filter(F.array_distinct(words), lambda w: F.array_contains("risky", hashed(w)))
-    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(forms, "|"), F.lit(r")(?!\p{L})"))
-    spans = held.select("rid", F.col("text"), pattern.alias("pattern")).select("rid", _located(F.col("text"), F.col("pattern"), F.lit(True)).alias("found"))
-    terms = spans.select("rid", F.transform("found", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("terms"))
-    outside = F.filter(F.coalesce("terms", F.array().cast(SPANS)), lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return known.select("doc_id", "rid", "base").join(terms, "rid", "left").select("doc_id", "rid", "base", F.concat("base", outside).alias("spans"))
+    risky = checkpointed(disclosing(one, policy, bits))
+    flagged = maybe(one.select("rid", F.explode("terms").alias("term")), "term", risky, bits).join(risky, "term").select("rid.a").distinct()
+    held = may_hold(rows.select("rid", "text"), F.col("rid.a"), checkpointed(flagged), "_held", bits).filter("_held")
+    pieces = F.zip_with(F.split("text", _TERM, -1), words, lambda p, w: F.struct((F.length(p) + F.length(w)).alias("step"), F.length(w).alias("size"), _term(w).alias("term")))
+    each = held.withColumn("copy", F.monotonically_increasing_id()).select("rid", "copy", F.posexplode(pieces).alias("i", "w")).filter("w.size is not null").select("rid", "copy", "i", "w.*")
+    seen = each.withColumn("end", F.sum("step").over(Window.partitionBy("rid", "copy").orderBy("i")).cast("int")).select("rid", "term", (F.col("end") - F.col("size")).alias("start"), "end")
+    terms = maybe(seen, "term", risky, bits).join(risky, "term").select("rid", "start", "end", F.lit(None).cast("int").alias("to"))
+    # words inside a base match are not terms of their own: none begun before reaches into the word, none after begins in it
+    inside = known.filter(F.size("base") > 0).select("rid", F.explode("base").alias("s")).select("rid", "s.start", "s.end", F.col("s.end").alias("to"))
+    every = terms.unionByName(inside.join(terms.select("rid").distinct(), "rid", "left_semi"))
+    up, down = Window.partitionBy("rid").orderBy("start"), Window.partitionBy("rid").orderBy(F.desc("start"))
+    near = every.withColumn("before", F.max("to").over(up)).withColumn("after", F.min(F.when(F.col("to").isNotNull(), F.col("start"))).over(down))
+    free = near.filter(F.col("to").isNull() & (F.coalesce("before", "start") <= F.col("start")) & (F.coalesce("after", "end") >= F.col("end")))
+    spans = free.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
+    return known.select("doc_id", "rid", "base").join(spans, "rid", "left").select("doc_id", "rid", "base", F.concat("base", F.coalesce("terms", F.array().cast(SPANS))).alias("spans"))
 
 
 def digest(spans: Column | str) -> Column:
@@ -202,27 +198,41 @@ def digest(spans: Column | str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+#: Code points of the pieces that a text is cut from: to take a part of a text by its place means to read it from its start.
+_PIECE = 1024
+
+
 def redacted(text: Column, spans: Column, generalise: bool = True) -> Column:
     """text with each run of overlapping spans put as [KIND] of its first span, or removed."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("to"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        put = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")) if generalise else F.lit("")
-        new = s["start"] >= acc["at"]
-        more = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), put))
-        return F.struct(F.greatest(acc["at"], -s["to"]).alias("at"), F.when(new, more).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(ordered, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-
-
-def sanitised(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa: B008
-    """docs, all rows and columns, with personal data in text generalised; a null text stays null."""
-    names = {"rid": "_rid", "spans": "_spans"}
-    while set(names.values()) & set(docs.columns):
-        names = {k: f"_{v}" for k, v in names.items()}
-    rid, spans = names.values()
-    found = find(docs, policy).filter(F.size("spans") > 0).select(F.col("rid").alias(rid), F.col("spans").alias(spans)).dropDuplicates([rid])
-    own = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    new = F.when(F.col(spans).isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col(spans), policy.generalise))
-    return docs.withColumn(rid, own).join(found, rid, "left").withColumn("text", new).select(*docs.columns)
+
+    def cut(pieces: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / _PIECE).cast("int"), F.floor((b - 1) / _PIECE).cast("int")
+        joined = F.array_join(F.slice(pieces, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+        return F.when(b > a, F.substring(joined, a - first * _PIECE + 1, b - a)).otherwise(F.lit(""))
+
+    def put(run: Column, pieces: Column) -> Column:
+        heads = F.filter(run, lambda s: s["x"]["start"] >= s["before"])
+        mark = lambda s: F.concat(F.lit("["), F.upper(s["x"]["kind"]), F.lit("]")) if generalise else F.lit("")
+        parts = F.transform(heads, lambda s: F.concat(cut(pieces, s["before"], s["x"]["start"]), mark(s)))
+        last = F.array_max(F.transform(run, lambda s: -s["x"]["to"]))
+        return F.concat(F.array_join(parts, ""), cut(pieces, last, F.length(text)))
+
+    run = _running(ordered, lambda x: -x["to"], lambda a, b: F.greatest(a, b))
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    done = _let(run, lambda r: _let(pieces, lambda p: put(r, p)))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def sanitised(docs: DataFrame, policy: Policy = Policy(), bits: int = KEY_BITS) -> DataFrame:  # noqa: B008
+    """docs, all rows and columns, with personal data in text generalised; a null text stays null.
+
+    Rows are known by id and text, so repeated rows get the same text. Rows that hold nothing are never shuffled.
+    """
+    row, maybe_name, put = free_names(docs, "_row", "_maybe", "_put")
+    ids, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    found = checkpointed(find(docs, policy, bits).filter(F.size("spans") > 0).select("rid", "spans").dropDuplicates(["rid"]))
+    flagged = may_hold(docs.withColumn(row, identity(ids, text)), F.col(f"{row}.a"), found.select("rid.a"), maybe_name, bits)
+    met = flagged.filter(maybe_name).join(found.select(F.col("rid").alias(row), F.col("spans").alias(put)), row, "left")
+    changed = met.withColumn("text", F.when(F.col(put).isNull(), text).otherwise(redacted(text, F.col(put), policy.generalise)))
+    return flagged.filter(~F.col(maybe_name)).select(*docs.columns).unionByName(changed.select(*docs.columns))
