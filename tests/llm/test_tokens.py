@@ -152,21 +152,27 @@ def test_every_sample_is_decoded(documents, corpus, spark, tmp_path):
 
 
 @pytest.mark.parametrize("shard", [1 << 20, 50])
-def test_topk(spark, shard):
-    rng = np.random.default_rng(4)
-    v = rng.normal(size=(400, 64)).round(2)
-    v[100:160] = v[7]
-    v[200:230] = v[50] * np.where(rng.random((30, 64)) < 0.1, -1, 1)
-    data = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (None, v[0].tolist()), (3, v[3].tolist())]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3)
-    got = topk.nearest(df, df["vec_id"] % 50 == 0, 5, block=3, shard=shard).collect()
-    bits = v > 0
-    want = []
-    for q in range(0, 400, 50):
-        d = (bits != bits[q]).sum(axis=1)
-        best = sorted((int(d[i]), i) for i in range(400) if i != q)[:5]
-        want += [(q, k + 1, i, x) for k, (x, i) in enumerate(best)]
-    assert sorted(map(tuple, got)) == want
+def test_topk(spark, shard, monkeypatch):
+    """Ids repeat over partitions with equal and other codes, many ids share a code, vectors are of one to three words."""
+    monkeypatch.setattr(topk, "LEAST_CODES", 50)
+    for width in (64, 128, 150):
+        rng = np.random.default_rng(width)
+        v = rng.normal(size=(400, width)).round(2)
+        v[100:160] = v[7]
+        v[200:230] = v[50] * np.where(rng.random((30, width)) < 0.1, -1, 1)
+        data = [(i, x) for i, x in enumerate(v)] + [(3, v[3]), (0, v[150]), (210, v[0]), (211, v[50]), (211, v[50]), (51, v[50]), (51, -v[50]), (350, v[7])]
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in data] + [(900, None), (None, v[0].tolist())], "vec_id long, embedding array<float>").repartition(5)
+        got = topk.nearest(df, df["vec_id"] % 50 == 0, 5, block=3, shard=shard).collect()
+        ids, bits = np.array([i for i, _ in data]), np.array([x for _, x in data]) > 0
+        want = []
+        for q in range(0, 400, 50):
+            least = {}
+            for code in bits[ids == q]:
+                for i, d in zip(ids.tolist(), (bits != code).sum(axis=1).tolist(), strict=True):
+                    if i != q:
+                        least[i] = min(d, least.get(i, width))
+            want += [(q, k + 1, i, d) for k, (d, i) in enumerate(sorted((d, i) for i, d in least.items())[:5])]
+        assert sorted(map(tuple, got)) == want
 
 
 def test_topk_of_nothing(spark):
