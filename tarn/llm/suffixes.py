@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tarn.llm.common import Words, arrow, span_hash
-from tarn.llm.minimisers import GROUP_MOST, MAP_BITS, SEED_WORDS, WINDOW, Packed, Pieces, covered_spans, identified, repeated_windows, run_minima, super_runs
-
-
-def contexts(words: Words, window: int, seed: int) -> tuple[np.ndarray, ...]:
-    """The retained suffixes: each minimiser's position, with as much to either side as the windows that selected it span."""
-    key, at, first, windows = super_runs(words, window, seed)
-    return key, at, first, first + windows + window - 1
+from tarn.llm.common import span_hash
+from tarn.llm.minimisers import BUCKET_MOST, SEED_WORDS, WINDOW, Packed, Pieces, map_bits, repeated_windows, run_minima, without_repeats
 
 
 def neighbour_minima(words: Packed, leads: np.ndarray, docs: np.ndarray, keys: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,31 +46,16 @@ def neighbour_minima(words: Packed, leads: np.ndarray, docs: np.ndarray, keys: n
     return row[order], least[order]
 
 
-def repeated_passages(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, bits: int = MAP_BITS, most: int = GROUP_MOST) -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, n_repeated, spans ([start, end) of words), kept (text).
+def repeated_passages(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, bits: int | None = None, most: int = BUCKET_MOST) -> DataFrame:
+    """One row for each row of docs: doc_id, n_words, n_repeated, kept (text), spans ([start, end) of words).
 
     A passage of `window` or more words is repeated if it also stands in a document with a smaller doc_id; its first
     copy stays. Null, empty and short texts have none. A row without an id counts after all ids; rows that repeat an
     id do not make each other's passages repeated. Extra columns are ignored.
-    """
-    hits = repeated_windows(Pieces(docs, contexts, window, seed, bits), neighbour_minima, most)
-    rows = identified(docs).select("doc_id", "rid", "text").join(hits, "rid", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, again, kept, spans = [], [], [], []
-            for text, at in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
-                words = (text.as_py() or b"").split()
-                cut = covered_spans(at.as_py(), window) if at.is_valid else []
-                n.append(len(words))
-                again.append(sum(e - s for s, e in cut))
-                spans.append([{"start": s, "end": e} for s, e in cut])
-                for s, e in reversed(cut):
-                    del words[s:e]
-                kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(again, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.string())],
-                ["doc_id", "n_words", "n_repeated", "spans", "kept"],
-            )
 
-    return rows.select("doc_id", "text", "at").transform(arrow, run, "doc_id long, n_words long, n_repeated long, spans array<struct<start:int,end:int>>, kept string")
+    The suffix array holds the suffixes at minimisers, in shards by their first `seed` words; each suffix travels with
+    the words to both sides that windows around its minimiser reach. A match of neighbours is extended right and left as
+    far as windows that hold the minimiser go; beyond these the next minimiser's suffix goes on, and spans join them up.
+    """
+    bits = map_bits(docs) if bits is None else bits
+    return without_repeats(docs, repeated_windows(Pieces(docs, window, seed, bits), neighbour_minima, most), window, "n_repeated")

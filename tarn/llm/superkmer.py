@@ -3,19 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tarn.llm.common import Words, arrow
-from tarn.llm.minimisers import GROUP_MOST, MAP_BITS, SEED_WORDS, WINDOW, Packed, Pieces, covered_spans, identified, repeated_windows, sorted_minima, super_runs
-
-
-def super_kmers(words: Words, window: int, seed: int) -> tuple[np.ndarray, ...]:
-    key, at, first, windows = super_runs(words, window, seed)
-    return key, at, first, first + windows + window - 1
+from tarn.llm.minimisers import BUCKET_MOST, SEED_WORDS, WINDOW, Packed, Pieces, map_bits, repeated_windows, sorted_minima, without_repeats
 
 
 def bucket_minima(words: Packed, leads: np.ndarray, docs: np.ndarray, keys: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -23,7 +15,7 @@ def bucket_minima(words: Packed, leads: np.ndarray, docs: np.ndarray, keys: np.n
     return sorted_minima(words, docs, window)
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, bits: int = MAP_BITS, most: int = GROUP_MOST) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, bits: int | None = None, most: int = BUCKET_MOST) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept (text), spans (removed words, [start, end)).
 
     A word is removed if a window of `window` consecutive words that covers it also starts in a document with a smaller
@@ -31,27 +23,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORD
     texts of fewer words lose nothing. A row without an id counts after all ids: it loses to them, they never to it.
     Rows that repeat an id do not remove from each other. Kept words are joined by one space. Extra columns are ignored.
     """
-    hits = repeated_windows(Pieces(docs, super_kmers, window, seed, bits), bucket_minima, most)
-    rows = identified(docs).select("doc_id", "rid", "text").join(hits, "rid", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, gone, kept, spans = [], [], [], []
-            for text, at in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
-                words = (text.as_py() or b"").split()
-                cut = covered_spans(at.as_py(), window) if at.is_valid else []
-                n.append(len(words))
-                gone.append(sum(e - s for s, e in cut))
-                for s, e in reversed(cut):
-                    del words[s:e]
-                kept.append(b" ".join(words).decode())
-                spans.append([{"start": s, "end": e} for s, e in cut])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                ["doc_id", "n_words", "n_removed", "kept", "spans"],
-            )
-
-    return rows.select("doc_id", "text", "at").transform(arrow, run, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>")
+    bits = map_bits(docs) if bits is None else bits
+    return without_repeats(docs, repeated_windows(Pieces(docs, window, seed, bits), bucket_minima, most), window, "n_removed")
 
 
 def brute_force(docs: list[tuple[int | None, str | None]], window: int = WINDOW) -> list[tuple[int | None, int, int, str]]:

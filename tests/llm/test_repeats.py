@@ -16,10 +16,10 @@ def key(x):
     return sorted(x, key=repr)
 
 
-@pytest.mark.parametrize("most", [1 << 15, 3])
+@pytest.mark.parametrize("most", [1 << 9, 2])
 @pytest.mark.parametrize("kind", ["kmers", "suffixes"])
 def test_repeats_are_exact(documents, corpus, kind, most):
-    """Also with every group crowded, where windows are summed up one by one."""
+    """Also with most keys crowded, so that their buckets are in many parts."""
     docs = documents(corpus)
     for window, seed in ((50, 8), (12, 4)):
         want = superkmer.brute_force(corpus, window)
@@ -33,7 +33,7 @@ def test_repeats_are_exact(documents, corpus, kind, most):
 
 def test_no_documents(documents):
     empty = documents([]).limit(0)
-    assert superkmer.substring_dedup(empty, bits=16).collect() == suffixes.repeated_passages(empty, bits=16).collect() == []
+    assert superkmer.substring_dedup(empty).collect() == suffixes.repeated_passages(empty, bits=16).collect() == []
 
 
 def test_a_full_map_changes_nothing(documents, corpus):
