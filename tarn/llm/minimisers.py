@@ -129,7 +129,7 @@ CARRIERS = "key long, part int, h1 long, h2 long, lead int, doc long, packed bin
 VERDICTS = "kind int, h1 long, h2 long, mins array<long>, step long, at array<int>, wa array<long>, wb array<long>"
 WHOLE, PIECE, STEP = range(3)
 #: Distinct pieces of a bucket (about 0.5 KB each); a key with more is dealt to several buckets by the pieces' hashes.
-BUCKET_MOST = 1 << 9
+BUCKET_MOST = 1 << 10
 #: Bounds of log2 of the slots that say into how many parts keys are dealt: a byte each, whatever the input.
 PART_BITS = (16, 26)
 #: Pieces that are worked on together, whole buckets at a time.
@@ -339,15 +339,26 @@ def repeated_windows(pieces: Pieces, minima, most: int = BUCKET_MOST) -> DataFra
 
     buckets = pieces.carriers(logs).repartition(tasks, "key", "part").sortWithinPartitions("key", "part")
     told = buckets.transform(arrow, run, VERDICTS)
-    verdicts = told.filter(F.col("kind") == WHOLE).select("h1", "h2", "mins")
+    verdicts_of = lambda t: t.filter(F.col("kind") == WHOLE).select("h1", "h2", "mins")
+    verdicts = verdicts_of(told)
     if logs.value.any():
         told = checkpointed(told)
-        windows = told.filter(F.col("kind") == STEP).select("step", F.posexplode(F.arrays_zip("wa", "wb", "mins")).alias("i", "w")).select("step", "i", "w.wa", "w.wb", "w.mins")
-        least = windows.groupBy("wa", "wb").agg(F.min("mins").alias("least"))
-        merged = windows.select("step", "i", "wa", "wb").join(least, ["wa", "wb"]).groupBy("step").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "least"))), lambda x: x["least"]).alias("least"))
+        windows = told.filter(F.col("kind") == STEP).select("step", F.posexplode(F.arrays_zip("wa", "wb", "mins")).alias("i", "w")).select("step", "i", "w.*")
+        # one row for each step that holds a window; only windows of several steps have anything to merge
+        shared = windows.groupBy("wa", "wb").agg(F.min("mins").alias("least"), F.collect_list(F.struct("step", "i", "mins")).alias("held")).filter(F.size("held") > 1)
+        lower = shared.select("least", F.explode("held").alias("h")).filter("least < h.mins").groupBy("h.step").agg(F.collect_list(F.struct("h.i", "least")).alias("lower"))
+        steps = told.filter(F.col("kind") == STEP).select("step", "mins").join(lower, "step", "left").select("step", "mins", F.coalesce(F.col("lower.i"), F.array().cast("array<int>")).alias("at"), F.coalesce(F.col("lower.least"), F.array().cast("array<long>")).alias("least"))
+
+        def lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    mins = batch.column(1)[k].values.to_numpy(zero_copy_only=False).copy()
+                    mins[batch.column(2)[k].values.to_numpy(zero_copy_only=False)] = batch.column(3)[k].values.to_numpy(zero_copy_only=False)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), _lists(mins, [len(mins)], pa.int64())], ["step", "least"])
+
+        merged = steps.transform(arrow, lowered, "step long, least array<long>")
         parted = told.filter(F.col("kind") == PIECE).select("h1", "h2", "step", "at").join(merged, "step")
-        # pieces of one step differ, but a piece may come in several steps only with its key's other parts, never twice
-        verdicts = told.filter(F.col("kind") == WHOLE).select("h1", "h2", "mins").unionByName(parted.select("h1", "h2", F.expr("transform(at, i -> least[i])").alias("mins")))
+        verdicts = verdicts_of(told).unionByName(parted.select("h1", "h2", F.expr("transform(at, i -> least[i])").alias("mins")))
     at = F.expr("filter(transform(mins, (m, i) -> if(m < doc, start + i, null)), x -> x is not null)")
     hit = found.select("h1", "h2", "doc", "a", "b", "start").join(verdicts, ["h1", "h2"]).select(F.struct("a", "b").alias("row"), at.alias("at")).filter(F.size("at") > 0)
     return hit.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
