@@ -15,18 +15,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, that with the smallest id."""
+    """One row of each SimHash component stays, that with the smallest id."""
     return simhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
+    """Rows that hold benchmark passages go, each judged by its own text."""
     return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that disclose it are generalised in the text."""
-    return pii.sanitised(docs, pii.WHOLE).withColumn("n_chars", F.length("text").cast("long"))
+    return pii.sanitised(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
