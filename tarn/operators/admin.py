@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.functions.urls import normalize_url
 from tarn.operators.index import merged
 
 
@@ -19,7 +20,7 @@ def target_overview(targets: DataFrame, collections: DataFrame, pages: DataFrame
     )
     names = collections.select(F.col("id").alias("collection_id"), F.col("name").alias("collection"))
     joined = targets.join(names, "collection_id").join(per, targets["id"] == per["target_id"], "left").drop("target_id")
-    return joined.fillna({"rate_limited": False, "error_count": 0, "indexed_pages_count": 0})
+    return joined.fillna({"rate_limited": False, "error_count": 0, "indexed_pages_count": 0}).orderBy("collection", *[c for c in ("created_at",) if c in targets.columns], "id")
 
 
 def collection_counts(collections: DataFrame, docs: DataFrame) -> DataFrame:
@@ -33,8 +34,8 @@ def target_counts(targets: DataFrame) -> DataFrame:
 
 
 def target_urls(pages: DataFrame, targets: DataFrame) -> DataFrame:
-    """The urls crawled for each target."""
-    return pages.select("target_id", "url").join(targets.select(F.col("id").alias("target_id"), "url_prefix"), "target_id")
+    """The urls crawled for each target, in order."""
+    return pages.select("target_id", "url").join(targets.select(F.col("id").alias("target_id"), "url_prefix"), "target_id").orderBy("target_id", "url")
 
 
 def status_snapshot(docs: DataFrame, collections: DataFrame, targets: DataFrame, suggestions: DataFrame, index_bytes: int, max_bytes: int) -> DataFrame:
@@ -56,6 +57,32 @@ def drop_collections(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str,
     return out
 
 
+def saved_collections(collections: DataFrame, rows: DataFrame) -> DataFrame:
+    """Collections with some created, or updated where the id is known; a name that another collection has is left out."""
+    others = collections.select(F.col("name"), F.col("id").alias("_id"))
+    free = rows.join(others, "name", "left").filter(F.col("_id").isNull() | (F.col("_id") == F.col("id"))).select(*rows.columns)
+    return merged(collections, free, ["id"])
+
+
+def add_targets(targets: DataFrame, new: DataFrame) -> DataFrame:
+    """Targets with some added, their prefix in normal form; a prefix that the collection has, or that is no URL, is left out."""
+    clean = new.withColumn("url_prefix", normalize_url("url_prefix")).filter("url_prefix is not null").dropDuplicates(["collection_id", "url_prefix"])
+    return targets.unionByName(clean.join(targets.select("collection_id", "url_prefix"), ["collection_id", "url_prefix"], "left_anti").select(*new.columns), allowMissingColumns=True)
+
+
+def set_on_targets(targets: DataFrame, changes: DataFrame) -> DataFrame:
+    """Targets with the columns of changes (id, recrawl_interval_s, crawl_delay_secs or enabled) where they are not null."""
+    named = [c for c in changes.columns if c != "id"]
+    new = changes.select("id", *[F.col(c).alias(f"_{c}") for c in named])
+    return targets.join(new, "id", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in named}).select(*targets.columns)
+
+
+def exported_sets(docs: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """(kind, value): the distinct collections that documents are in and the distinct remote collections subscribed to."""
+    one = docs.select(F.lit("collection").alias("kind"), F.col("collection").alias("value")).distinct()
+    return one.unionByName(subscriptions.select(F.lit("remote").alias("kind"), F.col("remote_collection").alias("value")).distinct())
+
+
 def drop_target(tables: dict[str, DataFrame], docs: DataFrame, ids: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """The tables without some targets and their pages, and docs without what those pages indexed."""
     gone = ids.select(F.col("id").alias("target_id")).distinct()

@@ -19,7 +19,10 @@ THROTTLED_MOST = 5
 def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarn-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tarn-checkpoint-"))
     return df.checkpoint()
 
 
@@ -91,12 +94,13 @@ def link_fates(links: DataFrame, targets: DataFrame) -> DataFrame:
     return split.withColumn("fate", F.when(F.col("in_prefix"), "follow").when(outlink, "outlink").otherwise("ignored")).drop("in_prefix")
 
 
-def frontier(seeds: DataFrame, links: DataFrame, max_pages: int = PAGES_PER_RUN, max_levels: int = 64) -> DataFrame:
+def frontier(seeds: DataFrame, links: DataFrame, max_pages: int = PAGES_PER_RUN) -> DataFrame:
     """(url, level, ord): the order in which a breadth-first crawl of one prefix visits pages, at most `max_pages`.
 
     seeds: (url, pos). links: (source_url, target_url, pos), all in prefix. `ord` counts visits from 0. Within a level
     pages come in the order of the page that first linked them and of the link on it, as from a queue. Each level is
-    one join of the new pages with their links and one anti-join with the pages seen, cut off from its lineage.
+    one join of the new pages with their links and one anti-join with the pages seen, cut off from its lineage; it goes
+    on until no page is new or the cap is reached.
     """
     first = lambda df, order: df.groupBy("url").agg(F.min(order).alias("_o"))
 
@@ -107,9 +111,9 @@ def frontier(seeds: DataFrame, links: DataFrame, max_pages: int = PAGES_PER_RUN,
 
     seen = level_rows = checkpointed(numbered(first(seeds.select("url", F.col("pos").alias("p")), F.struct("p")), 0, 0))
     count = seen.count()
-    for level in range(1, max_levels):
-        if count >= max_pages:
-            break
+    level = 0
+    while count < max_pages:
+        level += 1
         out = links.join(level_rows.select(F.col("url").alias("source_url"), "ord"), "source_url").select(F.col("target_url").alias("url"), "ord", "pos")
         level_rows = checkpointed(numbered(first(out.join(seen, "url", "left_anti"), F.struct("ord", "pos")), level, count))
         added = level_rows.count()

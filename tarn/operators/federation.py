@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.scalars import compatibility, source_label
@@ -41,6 +41,21 @@ def fan_out_depth(depth: int) -> tuple[bool, int]:
     return depth > 0, max(0, depth - 1)
 
 
+def sent_depth(depth: Column) -> Column:
+    """The depth that peers are asked with; null where none is asked."""
+    held = F.greatest(F.lit(0), F.least(depth, F.lit(MAX_DEPTH)))
+    return F.when(held > 0, held - 1)
+
+
+def asked_peers(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """(peer, hops): the engines that a search at `start` (peer) reaches over links (peer, asks): one level for each step of depth, two at most."""
+    seen = at = start.select("peer", F.lit(0).alias("hops")).distinct()
+    for hop in range(1, max(0, min(depth, MAX_DEPTH)) + 1):
+        at = links.join(at.select("peer"), "peer").select(F.col("asks").alias("peer")).distinct().join(seen.select("peer"), "peer", "left_anti").select("peer", F.lit(hop).alias("hops"))
+        seen = seen.unionByName(at)
+    return seen
+
+
 def peer_results(answers: DataFrame, peers: DataFrame, budget_ms: int | None = None) -> DataFrame:
     """Answers (peer_url, remote_collection, elapsed_ms, result columns) of active peers, weighted and relabelled.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.scalars import json_map
+from tarn.operators.index import merged
 
 DAY = 86400.0
 HALF_LIFE_DAYS = 90.0
@@ -59,6 +60,11 @@ def configs(collections: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
+def saved_configs(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored configs with some saved over them: the typed half-life, and the JSON of both maps as it was sent, for echo."""
+    return merged(stored, new, ["collection_id"])
+
+
 def scored_by_collection(hits: DataFrame, config: DataFrame, now: int) -> DataFrame:
     """hits (collection_id, bm25, source, domain, indexed_at) scored with the config of their own collection."""
     joined = hits.join(config, "collection_id", "left")

@@ -79,15 +79,8 @@ def tokenize_stats(spark: SparkSession, d: str) -> DataFrame:
     return per.agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_terms")).crossJoin(docs)
 
 
-@query(f"WITH {fx.TOKENIZED}, w AS (SELECT doc_id, unnest(bt) AS t FROM tok), p AS (SELECT t, doc_id, count(*) AS tf FROM w GROUP BY ALL) SELECT t AS term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY t HAVING count(*) >= 3")
-def term_statistics(spark: SparkSession, d: str) -> DataFrame:
-    words = search.spread(fx.docs(spark, d)).select("doc_id", F.explode(text.tokens("body")).alias("term"))
-    return words.groupBy("term", "doc_id").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter("df >= 3")
-
-
 @query(f"WITH {fx.TOKENIZED}, w AS (SELECT doc_id, unnest(bt) AS t FROM tok), p AS (SELECT t, doc_id, count(*) AS tf FROM w GROUP BY ALL) SELECT t AS term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY t")
-def term_statistics_all(spark: SparkSession, d: str) -> DataFrame:
-    """Of every term; term_statistics has those of three documents or more."""
+def term_statistics(spark: SparkSession, d: str) -> DataFrame:
     words = search.spread(fx.docs(spark, d)).select("doc_id", F.explode(text.tokens("body")).alias("term"))
     return words.groupBy("term", "doc_id").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
@@ -213,10 +206,18 @@ def normalize_url(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "pages").select("page_id", urls.normalize_url("url").alias("url"))
 
 
-@query(f"WITH p AS (SELECT page_id, url, {_HOST} AS h FROM pages) SELECT page_id, starts_with(url, 'https://blog.') AS in_blog, h LIKE '%.example.com' OR h = 'example.com' AS in_com FROM p")
+_LISTED = "[" + ", ".join(f"'{h}'" for h in urls.BLACKLISTED_HOSTS) + "]"
+
+
+@query(f"""WITH p AS (SELECT page_id, url, list_extract({_LISTED}, CAST(page_id % {len(urls.BLACKLISTED_HOSTS)} + 1 AS INTEGER)) AS h FROM pages)
+SELECT page_id, regexp_matches(url, '^https?://[^/]+/en/') AS in_prefix, page_id % 4 < 2 AS blacklisted, page_id % 4 = 0 AS below FROM p""")
 def url_predicates(spark: SparkSession, d: str) -> DataFrame:
-    host = urls.index_host("url")
-    return fx.table(spark, d, "pages").select("page_id", F.startswith("url", F.lit("https://blog.")).alias("in_blog"), ((host == "example.com") | F.endswith(host, F.lit(".example.com"))).alias("in_com"))
+    """Prefixes in another case and with www., and links to listed hosts, to hosts below them, and to hosts that only end alike."""
+    p, k = fx.table(spark, d, "pages"), F.col("page_id")
+    listed = F.element_at(F.array(*[F.lit(h) for h in urls.BLACKLISTED_HOSTS]), (k % len(urls.BLACKLISTED_HOSTS) + 1).cast("int"))
+    prefix = F.concat(F.regexp_extract("url", "^(https?://)", 1), F.lit("WWW."), urls.host_of("url"), F.lit("/en/"))
+    link = F.when(k % 4 == 0, F.concat(F.lit("https://a.B."), listed, F.lit("/x"))).when(k % 4 == 1, F.concat(F.lit("HTTP://"), listed, F.lit("?q"))).when(k % 4 == 2, F.concat(F.lit("https://zz-not"), listed, F.lit("/"))).otherwise(F.col("url"))
+    return p.select("page_id", urls.in_prefix("url", prefix).alias("in_prefix"), urls.is_blacklisted(link).alias("blacklisted"), (urls.is_blacklisted(link) & (urls.index_host(link) != listed)).alias("below"))
 
 
 @query("SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
@@ -314,17 +315,9 @@ _H = lambda c: f"regexp_replace(lower(regexp_extract({c}, '^https?://([^/?#]+)',
 _OUT = f"{fx.LINKS}, o AS (SELECT *, {_H('target_url')} AS host FROM links WHERE {_H('target_url')} <> {_H('source_url')})"
 
 
-@query(f"WITH {fx.LINKS} SELECT seq, target_url, CASE WHEN starts_with(target_url, 'https://blog.') THEN 'follow' ELSE 'outlink' END AS fate FROM links WHERE {_H('target_url')} LIKE 'blog.%' OR pos = 1")
+@query(f"WITH {fx.LINKS} SELECT seq, target_url, CASE WHEN starts_with(target_url, 'https://blog.') THEN 'follow' ELSE 'outlink' END AS fate FROM links")
 def link_fates(spark: SparkSession, d: str) -> DataFrame:
     """Links in the prefixes of all https blogs are followed; the rest go out."""
-    links = fx.links(spark, d).filter(F.startswith(urls.host_of("target_url"), F.lit("blog.")) | (F.col("pos") == 1))
-    prefixes = fx.table(spark, d, "pages").filter(F.startswith("url", F.lit("https://blog."))).select(F.lit("c").alias("collection_id"), F.concat(urls.origin_of("url"), F.lit("/")).alias("url_prefix")).distinct()
-    return crawl.link_fates(links, prefixes).select("seq", "target_url", "fate")
-
-
-@query(f"WITH {fx.LINKS} SELECT seq, target_url, CASE WHEN starts_with(target_url, 'https://blog.') THEN 'follow' ELSE 'outlink' END AS fate FROM links")
-def link_fates_all(spark: SparkSession, d: str) -> DataFrame:
-    """Of every link of every page; link_fates has those to blogs and the first of each page."""
     prefixes = fx.table(spark, d, "pages").filter(F.startswith("url", F.lit("https://blog."))).select(F.lit("c").alias("collection_id"), F.concat(urls.origin_of("url"), F.lit("/")).alias("url_prefix")).distinct()
     return crawl.link_fates(fx.links(spark, d), prefixes).select("seq", "target_url", "fate")
 
@@ -363,19 +356,11 @@ def outlink_record(spark: SparkSession, d: str) -> DataFrame:
     return outlinks.recorded(before, hits.filter("source_id % 2 = 1")).select("host", "link_count", "first_seen_at", "last_seen_at", "status")
 
 
-@query(f"""WITH RECURSIVE {fx.LINKS}, walk(url, level) AS (SELECT url, 0 FROM pages WHERE page_id = 0 UNION SELECT l.target_url, w.level + 1 FROM walk w JOIN links l ON l.source_url = w.url WHERE w.level < 6)
-SELECT url, CAST(min(level) AS INTEGER) AS level FROM walk GROUP BY url""")
-def crawl_frontier(spark: SparkSession, d: str) -> DataFrame:
-    """Pages by their distance from the first, up to six links away."""
-    seeds = fx.table(spark, d, "pages").filter("page_id = 0").select("url", F.lit(0).alias("pos"))
-    return crawl.frontier(seeds, fx.links(spark, d).select("source_url", "target_url", "pos"), 10_000, 7).select("url", "level")
-
-
 @query(f"""WITH RECURSIVE {fx.LINKS}, walk(url, level) USING KEY (url) AS (SELECT url, 0 FROM pages WHERE page_id = 0
 UNION SELECT l.target_url, min(w.level) + 1 FROM walk w JOIN links l ON l.source_url = w.url WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.url = l.target_url) GROUP BY l.target_url)
 SELECT url, CAST(level AS INTEGER) AS level FROM walk""")
-def crawl_frontier_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every page that can be reached from the first, by its distance; crawl_frontier stops six links away."""
+def crawl_frontier(spark: SparkSession, d: str) -> DataFrame:
+    """Every page that can be reached from the first, by its distance."""
     seeds = fx.table(spark, d, "pages").filter("page_id = 0").select("url")
     return crawl.reached(seeds, fx.links(spark, d).select("source_url", "target_url"))
 
@@ -729,3 +714,146 @@ def retarget(spark: SparkSession, d: str) -> DataFrame:
     seen = t.filter("cast(id as int) % 3 = 0").select("url_prefix", F.replace("url_prefix", F.lit("https://"), F.lit("https://www.")).alias("final"))
     redirects = seen.select("url_prefix", urls.canonical_prefix("url_prefix", "final", F.lit(200)).alias("canonical"))
     return crawl.retargeted(t, redirects).select("id", "url_prefix")
+
+
+# ---------------------------------------------------------------- more of the administrator's and the peers' requests
+
+
+@query("WITH o AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin FROM pages) SELECT origin, CASE WHEN length(origin) % 3 > 0 THEN CAST(length(origin) % 7 AS BIGINT) END AS crawl_delay, [origin || '/a.xml', origin || '/b.xml'] AS sitemaps FROM o")
+def robots_meta(spark: SparkSession, d: str) -> DataFrame:
+    """Crawl delay and sitemaps of every origin; some name no delay, or one that is no number."""
+    origin = urls.origin_of("url")
+    n = F.length("origin")
+    delay = F.when(n % 3 > 0, F.concat(F.lit("Crawl-delay: "), (n % 7).cast("string"))).otherwise("Crawl-delay: soon")
+    body = F.concat(F.lit("Sitemap: "), "origin", F.lit("/a.xml\nUser-agent: *\nDisallow: /x\n"), delay, F.lit("\nSITEMAP: "), "origin", F.lit("/b.xml # last"))
+    files = fx.table(spark, d, "pages").select(origin.alias("origin")).distinct().withColumn("body", body)
+    return robots.robots_rules(files, "tarn").select("origin", "crawl_delay", "sitemaps")
+
+
+@query("SELECT TRUE AS has_bytes, TRUE AS full_at_size, FALSE AS full_above")
+def index_capacity(spark: SparkSession, d: str) -> DataFrame:
+    """The bytes of a committed snapshot against limits on both sides of them."""
+    root = f"{_scratch(spark)}/{spark.sparkContext.applicationId}-{len(_STREAMS)}"
+    _STREAMS.append(root)
+    store = index.SnapshotStore(spark, f"{root}/index")
+    empty = store.size_bytes()
+    store.commit(fx.docs(spark, d).withColumn("host", urls.index_host("url")))
+    size = store.size_bytes()
+    return spark.createDataFrame([(size > empty == 0, index.is_full(size, size), index.is_full(size, size + 1))], "has_bytes boolean, full_at_size boolean, full_above boolean")
+
+
+@query(f"WITH {fx.CRAWL} SELECT k.url, CASE WHEN s.outcome = 'fresh' AND s.old_indexed IS DISTINCT FROM s.content_hash THEN s.content_hash ELSE k.indexed_content_hash END AS indexed_content_hash FROM known k LEFT JOIN seen s ON s.url = k.url")
+def mark_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Known pages after the journal of a commit of what needed indexing; marking twice changes nothing more."""
+    known = fx.known_pages(spark, d)
+    entries = crawl.needs_index(crawl.outcomes(fx.fetches(spark, d), known)).select("collection_id", "url", "content_hash")
+    return index.mark_indexed(index.mark_indexed(known, entries), entries).select("url", "indexed_content_hash")
+
+
+@query(f"WITH {fx.ENGINES}, m AS ({_MERGE}) SELECT 'answer' AS kind, * FROM lo UNION ALL SELECT 'merged', * FROM m UNION ALL SELECT 'refused', * FROM lo")
+def gossip_in(spark: SparkSession, d: str) -> DataFrame:
+    """What a caller is told and what is kept, for a version that fits and one that does not."""
+    lo, inc = fx.engines(spark, d, "local"), fx.engines(spark, d, "incoming")
+    told, merged = federation.exchange(lo, inc, "1.0.3", 2500)
+    refused = federation.exchange(lo, inc, "2.0.0", 2500)[1]
+    kinds = [x.select(F.lit(k).alias("kind"), "url", "name", "description", "first_seen", "last_seen") for k, x in (("answer", told), ("merged", merged), ("refused", refused))]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+
+
+@query(f"WITH {fx.ENGINES} SELECT 'other' AS asked, url FROM lo WHERE url <> 'https://e2.example.org' UNION ALL SELECT 'self', url FROM lo")
+def engine_removal(spark: SparkSession, d: str) -> DataFrame:
+    """An engine goes from the directory on request; the own entry does not."""
+    lo = fx.engines(spark, d, "local")
+    gone = federation.without_engine(lo, "https://e2.example.org", "https://e1.example.org")
+    kept = federation.without_engine(lo, "https://e1.example.org", "https://e1.example.org")
+    return gone.select(F.lit("other").alias("asked"), "url").unionByName(kept.select(F.lit("self").alias("asked"), "url"))
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_size % 6 - 1 > 0 THEN CAST(least(p_size % 6 - 1, 2) - 1 AS INTEGER) END AS sent FROM part")
+def fanout_depth(spark: SparkSession, d: str) -> DataFrame:
+    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("k"), federation.sent_depth(F.col("p_size") % 6 - 1).cast("int").alias("sent"))
+
+
+_GRAPH = "g AS (SELECT s_suppkey AS a, s_suppkey * 3 % n + 1 AS b FROM supplier, (SELECT max(s_suppkey) AS n FROM supplier) UNION ALL SELECT s_suppkey, s_suppkey * 7 % n + 1 FROM supplier, (SELECT max(s_suppkey) AS n FROM supplier))"
+
+
+@query(f"WITH {_GRAPH}, h1 AS (SELECT DISTINCT b AS peer FROM g WHERE a = 1 AND b <> 1), h2 AS (SELECT DISTINCT b AS peer FROM g JOIN h1 ON a = peer WHERE b <> 1 AND b NOT IN (SELECT peer FROM h1)) SELECT 1 AS peer, 0 AS hops UNION ALL SELECT peer, 1 FROM h1 UNION ALL SELECT peer, 2 FROM h2")
+def fanout_reach(spark: SparkSession, d: str) -> DataFrame:
+    """The engines that a search at depth 9 reaches: depth is held to two."""
+    s, k = fx.table(spark, d, "supplier"), F.col("s_suppkey")
+    n = F.broadcast(s.agg(F.max("s_suppkey").alias("n")))
+    links = s.crossJoin(n).select(k.alias("peer"), F.explode(F.array(k * 3 % F.col("n") + 1, k * 7 % F.col("n") + 1)).alias("asks"))
+    return federation.asked_peers(links, s.filter("s_suppkey = 1").select(k.alias("peer")), 9)
+
+
+@query(f"""WITH {fx.TARGETS} SELECT collection_id, url_prefix, CASE WHEN CAST(id AS INTEGER) % 2 = 0 THEN 60 ELSE recrawl_interval_s END AS recrawl_interval_s, enabled AND CAST(id AS INTEGER) % 2 = 1 AS enabled FROM targets
+UNION ALL SELECT CAST(r_regionkey AS VARCHAR), 'https://new' || r_regionkey || '.example.org/a?b=1', 3600, TRUE FROM region""")
+def target_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Targets added (with other spellings of one prefix, a known prefix, and no URL), intervals set, targets switched off."""
+    t, k = fx.targets(spark, d), F.col("id").cast("int")
+    r = fx.table(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("collection_id"))
+    row = lambda df, url: df.select(F.concat(F.lit("n"), "collection_id").alias("id"), "collection_id", url.alias("url_prefix"), F.lit(3600).cast("long").alias("recrawl_interval_s"), F.lit(True).alias("enabled"))
+    host = F.concat(F.lit("new"), "collection_id", F.lit(".example.org"))
+    new = row(r, F.concat(F.lit("HTTPS://"), host, F.lit("/a?b=1&utm_source=x"))).unionByName(row(r, F.concat(F.lit("https://"), F.upper(host), F.lit(":443/./a?b=1#f")))).unionByName(row(r, F.lit("no url"))).unionByName(row(t, F.col("url_prefix")))
+    changes = t.select("id", F.when(k % 2 == 0, F.lit(60)).cast("long").alias("recrawl_interval_s"), F.when(k % 2 == 0, False).alias("enabled"))
+    return admin.set_on_targets(admin.add_targets(t, new), changes).select("collection_id", "url_prefix", "recrawl_interval_s", "enabled")
+
+
+@query(f"WITH {fx.TARGETS}, {fx.CRAWLED}, g AS (SELECT url FROM crawled WHERE CAST(target_id AS INTEGER) % 3 = 0), i AS (SELECT url FROM crawled UNION ALL SELECT 'https://other.example.org/') SELECT 'target' AS kind, id AS what FROM targets WHERE CAST(id AS INTEGER) % 3 > 0 UNION ALL SELECT 'page', url FROM crawled WHERE CAST(target_id AS INTEGER) % 3 > 0 UNION ALL SELECT 'document', url FROM i WHERE url NOT IN (SELECT url FROM g)")
+def target_removal(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the targets go, with their pages and what those indexed."""
+    t, pages = fx.targets(spark, d), fx.crawled(spark, d)
+    indexed = pages.select("url").unionByName(spark.createDataFrame([("https://other.example.org/",)], "url string"))
+    tables, docs = admin.drop_target({"crawl_targets": t, "crawled_pages": pages}, indexed, t.filter("cast(id as int) % 3 = 0").select("id"))
+    kinds = (("target", tables["crawl_targets"], "id"), ("page", tables["crawled_pages"], "url"), ("document", docs, "url"))
+    a, b, c = (x.select(F.lit(k).alias("kind"), F.col(n).alias("what")) for k, x, n in kinds)
+    return a.unionByName(b).unionByName(c)
+
+
+@query(f"WITH {fx.COLLECTIONS} SELECT id, name, CASE WHEN CAST(id AS INTEGER) < 3 THEN 'changed' ELSE description END AS description FROM collections UNION ALL SELECT '100', 'fresh', 'new'")
+def collection_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Collections updated, one created, and one refused because its name is taken."""
+    c = fx.collections(spark, d)
+    more = spark.createDataFrame([("100", "fresh", "new"), ("101", "src5", "taken")], "id string, name string, description string")
+    return admin.saved_collections(c, c.filter("cast(id as int) < 3").withColumn("description", F.lit("changed")).unionByName(more))
+
+
+@query(f"WITH {fx.PEERS} SELECT id, CASE CAST(id AS INTEGER) % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE enabled END AS enabled, CAST(CASE WHEN CAST(id AS INTEGER) % 3 = 0 THEN 0 ELSE 4 END AS INTEGER) AS consecutive_failures FROM nodes")
+def node_switch(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes switched on (their failures are forgotten) and off by hand."""
+    n = fx.nodes(spark, d).withColumn("consecutive_failures", F.lit(4)).withColumn("disabled_at", F.lit(1))
+    part = lambda k: n.filter(F.col("id").cast("int") % 3 == k).select("id")
+    return admin.enable_nodes(admin.enable_nodes(n, part(0), True), part(1), False).select("id", "enabled", "consecutive_failures")
+
+
+@query(f"WITH {fx.PEERS}, {fx.ENGINES}, u AS (SELECT url FROM lo WHERE url IN ('https://e1.example.org', 'https://e3.example.org')) SELECT url, enabled FROM nodes UNION ALL SELECT url, TRUE FROM u")
+def engine_promoted(spark: SparkSession, d: str) -> DataFrame:
+    """A discovered engine becomes a peer, once; one that is not known does not."""
+    nodes, lo = fx.nodes(spark, d), fx.engines(spark, d, "local")
+    for url in ("https://e1.example.org", "https://e1.example.org", "https://e3.example.org"):
+        nodes = admin.promoted_node(nodes, lo, url)
+    return nodes.select("url", "enabled")
+
+
+@query(f"""WITH {fx.COLLECTIONS}, k AS (SELECT id, CAST(id AS INTEGER) AS k FROM collections) SELECT id AS collection_id, CAST(CASE WHEN k % 4 = 0 THEN 7 WHEN k % 2 = 0 THEN 30 ELSE 90 END AS DOUBLE) AS half_life, CAST(CASE WHEN k % 4 = 0 THEN 3 WHEN k % 2 = 0 THEN 2 ELSE 1 END AS DOUBLE) AS local_weight,
+round(CAST(CASE WHEN k % 4 = 0 THEN 3 WHEN k % 2 = 0 THEN 2 ELSE 1 END AS DOUBLE) * power(CAST(0.5 AS DOUBLE), 30 / CAST(CASE WHEN k % 4 = 0 THEN 7 WHEN k % 2 = 0 THEN 30 ELSE 90 END AS DOUBLE)), 6) AS score FROM k""")
+def ranking_config_save(spark: SparkSession, d: str) -> DataFrame:
+    """Configs saved over stored ones, read again, and a hit of each collection, 30 days old, scored by its own."""
+    c, k = fx.collections(spark, d), F.col("id").cast("int")
+    row = lambda df, half, weight: df.select(F.col("id").alias("collection_id"), F.lit(half).alias("freshness_half_life_days"), F.lit(f'{{"local": {weight}}}').alias("source_weights_json"), F.lit("{}").alias("domain_boosts_json"))
+    found = ranking.configs(c, ranking.saved_configs(row(c.filter(k % 2 == 0), 30.0, 2.0), row(c.filter(k % 4 == 0), 7.0, 3.0)))
+    hits = c.select(F.col("id").alias("collection_id"), F.lit(1.0).alias("bm25"), F.lit("local").alias("source"), F.lit("x").alias("domain"), F.lit(NOW - 30 * 86400).alias("indexed_at"))
+    scores = ranking.scored_by_collection(hits, found, NOW).select("collection_id", F.round("score", 6).alias("score"))
+    return found.select("collection_id", F.col("freshness_half_life_days").alias("half_life"), F.try_element_at("source_weights", F.lit("local")).alias("local_weight")).join(scores, "collection_id")
+
+
+@query(f"WITH {fx.DOCS}, {fx.PEERS} SELECT DISTINCT 'collection' AS kind, collection AS value FROM docs UNION ALL SELECT DISTINCT 'remote', remote_collection FROM subs")
+def exported_sets(spark: SparkSession, d: str) -> DataFrame:
+    return admin.exported_sets(fx.docs(spark, d), fx.subscriptions(spark, d))
+
+
+@query("SELECT asked, CAST(0 AS BIGINT) AS results FROM (VALUES (''), ('   '), ('rights AND'), ('(from')) v(asked)")
+def search_malformed(spark: SparkSession, d: str) -> DataFrame:
+    """Empty and malformed queries have no rows."""
+    found = [search.candidates(fx.docs(spark, d), q).agg(F.count("*").alias("results")).select(F.lit(q).alias("asked"), "results") for q in ("", "   ", "rights AND", "(from")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
