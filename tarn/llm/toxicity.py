@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     got = texts.transform(arrow, run, "toxic int, terms binary").toArrow()
     rows, toxic = [np.frombuffer(x.as_py(), np.uint64) for x in got.column("terms")], got.column("toxic").to_numpy()
     del got
-    model = fit(rows, toxic, (ones + 1) / (n + 2))
+    model = fit(rows, toxic, (ones + 1) / (n + 2) if n else 0.0)
     release()
     return model
 
@@ -160,7 +160,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """One row for each row of docs: doc_id, held_out, score, predicted.
 
     Rows with a null id are scored and count as not held out, but teach nothing. Of repeated labels the toxic one
-    counts. With no labels of either class every text gets the prior. lang, source and labels are no inputs.
+    counts. With labels of one class only every text gets the prior, and without any label a score near 0: nothing is rejected unlearned. lang, source and labels are no inputs.
     """
     found = scores(docs.select(F.col("doc_id").cast("long"), "text"), train(docs, labels))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
