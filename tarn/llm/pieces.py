@@ -8,7 +8,7 @@ sample: children take their parent's value conditioned on the maximum. Siblings
 open node with their joint mass until the search comes back to split it.
 
 Pieces never cross certain places (before a space; around characters that stand in no longer piece), so the lattice
-is a chain of short units; equal units of a block of text are built once.
+is a chain of short units; equal units are built once, and kept for the blocks of text to come.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 3
 SEED = 1
 #: Characters of whole texts that one step works on.
-STEP_CHARS = 3 << 18
+STEP_CHARS = 1 << 18
+#: Edges of kept units beyond which a task forgets them before its next step.
+EDGES = 5 << 19
 SPACE = "▁"
 SAMPLE = "struct<rank:int,n_pieces:long,log_prob:double,perturbed:double,inclusion:double,ids_sha256:string,ids:array<int>>"
 _SAMPLE = pa.struct([("rank", pa.int32()), ("n_pieces", pa.int64()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64()), ("ids_sha256", pa.string()), ("ids", pa.list_(pa.int32()))])
@@ -102,15 +104,14 @@ class Lattices:
         left = limit[start] - start
         order = np.argsort(left * n + start, kind="stable")
         start, size, left, self.ids, log = start[order], size[order], left[order], self.ids[order], log[order]
-        self.src = start + unit[start]
-        self.dst = self.src + size
-        self.ends = first[1:] + np.arange(units)
+        src = start + unit[start]
+        self.dst = src + size
         self.starts = first[:-1] + np.arange(units)
-        head = np.flatnonzero(np.r_[True, self.src[1:] != self.src[:-1]]) if n else np.zeros(0, np.int64)
+        head = np.flatnonzero(np.r_[True, src[1:] != src[:-1]]) if n else np.zeros(0, np.int64)
         self.head = np.full(n + units, -1, np.int64)
-        self.head[self.src[head]] = head
+        self.head[src[head]] = head
         self.is_end = np.zeros(n + units, bool)
-        self.is_end[self.ends] = True
+        self.is_end[first[1:] + np.arange(units)] = True
         after = np.zeros(n + units)
         bounds = np.searchsorted(left, np.arange(1, left.max(initial=0) + 2))
         at_head = np.searchsorted(head, bounds)
@@ -121,21 +122,73 @@ class Lattices:
             own = head[at_head[k] : at_head[k + 1]]
             x = log[a:b] + after[self.dst[a:b]]
             top = np.maximum.reduceat(x, own - a)
-            after[self.src[own]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.r_[own, b]))), own - a))
-        self.q = np.exp(np.minimum(log + after[self.dst] - after[self.src], 0))
-        sums = np.cumsum(self.q)
-        base = np.repeat(sums[head] - self.q[head], np.diff(np.r_[head, len(self.q)])) if n else sums
-        self.cum = sums - base
+            after[src[own]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.r_[own, b]))), own - a))
+        self.q = np.exp(np.minimum(log + after[self.dst] - after[src], 0))
+        # summed up within each node, so that what a unit holds depends on the unit only
+        self.cum = self.q.copy()
+        stop = np.r_[head[1:], len(self.q)]
+        at = head + 1
+        while len(at):
+            live = at < stop
+            at, stop = at[live], stop[live]
+            self.cum[at] += self.cum[at - 1]
+            at = at + 1
         if n:
             self.cum[np.r_[head[1:] - 1, len(self.q) - 1]] = np.inf
 
+
+class Units:
+    """The lattices of the units that a task has met. The same words come again and again; beyond `most` edges it begins anew."""
+
+    def __init__(self, pieces: Pieces, most: int = EDGES):
+        self.pieces, self.most = pieces, most
+        room = most + most // 4  # pages that are not touched take no memory
+        self.ids, self.dst, self.head = (np.zeros(room, np.int32) for _ in range(3))
+        self.q, self.cum = np.zeros(room), np.zeros(room)
+        self.is_end = np.zeros(room, bool)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.first = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.edges = self.nodes = 0
+
+    def starts(self, points: np.ndarray, keys: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The start node of each unit: its key (ascending, distinct), and where it stands in points."""
+        if max(self.edges, self.nodes) > self.most:
+            self._forget()
+        at = np.searchsorted(self.keys, keys)
+        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            offset = np.r_[0, np.cumsum(sizes[new])]
+            made = Lattices(points[np.repeat(first[new] - offset[:-1], sizes[new]) + np.arange(offset[-1])], offset, self.pieces)
+            self._add(made)
+            self.keys, self.first = np.insert(self.keys, at[new], keys[new]), np.insert(self.first, at[new], made.starts + self.nodes - len(made.head))
+        return self.first[np.searchsorted(self.keys, keys)]
+
+    def _add(self, made: Lattices) -> None:
+        edges, nodes = self.edges + len(made.ids), self.nodes + len(made.head)
+        if max(edges, nodes) > 1 << 30:
+            raise ValueError("a text of this length has too many pieces for one lattice")
+
+        def put(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+            if used + len(more) > len(held):
+                held = np.concatenate([held[:used], np.zeros(max(used // 2, len(more)), held.dtype)])
+            held[used : used + len(more)] = more
+            return held
+
+        self.ids, self.q, self.cum = put(self.ids, self.edges, made.ids), put(self.q, self.edges, made.q), put(self.cum, self.edges, made.cum)
+        self.dst = put(self.dst, self.edges, made.dst + self.nodes)
+        self.head = put(self.head, self.nodes, np.where(made.head >= 0, made.head + self.edges, -1))
+        self.is_end = put(self.is_end, self.nodes, made.is_end)
+        self.edges, self.nodes = edges, nodes
+
     def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(edges, edges of each walk): a random path from each node to the end of its unit, by the seeds alone."""
         live = np.flatnonzero(~self.is_end[nodes])
         node, steps, count, step = nodes[live], [], np.zeros(len(nodes), np.int64), 0
         while len(live):
             u = uniform(seeds[live] + np.uint64(step * 0xA24BAED4963EE407 & ((1 << 64) - 1)))
-            edge = self.head[node]
+            edge = self.head[node].astype(np.int64)
             more = np.flatnonzero(u >= self.cum[edge])
             while len(more):
                 edge[more] += 1
@@ -153,7 +206,9 @@ class Lattices:
         return out, count
 
     def siblings(self, edge: int) -> range:
-        head = stop = int(self.head[self.src[edge]])
+        head = stop = edge
+        while head and self.cum[head - 1] != np.inf:
+            head -= 1
         while self.cum[stop] != np.inf:
             stop += 1
         return range(head, stop + 1)
@@ -198,22 +253,23 @@ def _stream(seeds: np.ndarray, stream: int) -> np.ndarray:
 _STEP = 0xC2B2AE3D27D4EB4F
 
 
-def open_paths(lattices: Lattices, edges: np.ndarray, units: np.ndarray, first: np.ndarray, fixed: np.ndarray, seeds: np.ndarray, stream: int, values: np.ndarray) -> list[Path]:
+def open_paths(lattices: Units, edges: np.ndarray, units: np.ndarray, first: np.ndarray, fixed: np.ndarray, seeds: np.ndarray, stream: int, values: np.ndarray) -> list[Path]:
     """Paths of many texts at once; the first `fixed` steps of each are open in another path already."""
     logs = np.log(lattices.q[edges])
     sums = np.r_[0.0, np.cumsum(logs)]
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     before = sums[:-1] - sums[first[:-1]][row]
     at = np.arange(len(edges)) - first[:-1][row]
-    noise = gumbel(_stream(seeds, 2 * stream + 1)[row] + at.astype(np.uint64) * np.uint64(_STEP))
+    bound = np.full(len(edges), -np.inf)
+    free = np.flatnonzero(at >= fixed[row])
+    noise = gumbel(_stream(seeds, 2 * stream + 1)[row[free]] + at[free].astype(np.uint64) * np.uint64(_STEP))
     with np.errstate(divide="ignore"):
-        bound = below(values[row], before + np.log1p(-np.minimum(lattices.q[edges], 1.0)), noise)
-    bound[at < fixed[row]] = -np.inf
+        bound[free] = below(values[row[free]], before[free] + np.log1p(-np.minimum(lattices.q[edges[free]], 1.0)), noise)
     total = sums[first[1:]] - sums[first[:-1]]
     return [Path(edges[a:b], units[a:b], before[a:b], bound[a:b], t, v) for a, b, t, v in zip(first[:-1].tolist(), first[1:].tolist(), total.tolist(), values.tolist(), strict=True)]
 
 
-def split(path: Path, value: float, m: int, state: int, lattices: Lattices) -> int:
+def split(path: Path, value: float, m: int, state: int, lattices: Units) -> int:
     """The sibling that holds the open node's maximum; the rest of them stay open under it."""
     gone = path.gone.setdefault(m, [int(path.edges[m])])
     others = [e for e in lattices.siblings(gone[0]) if e not in gone]
@@ -230,8 +286,9 @@ def split(path: Path, value: float, m: int, state: int, lattices: Lattices) -> i
     return others[k]
 
 
-def sample_block(texts: list[str], seeds: np.ndarray, pieces: Pieces, samples: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+def sample_block(texts: list[str], seeds: np.ndarray, lattices: Units, samples: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to `samples` distinct segmentations: (ids, log-probability, perturbed value, inclusion probability)."""
+    pieces = lattices.pieces
     marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
     points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     row_first = np.r_[0, np.cumsum([len(x) for x in marked])]
@@ -244,15 +301,12 @@ def sample_block(texts: list[str], seeds: np.ndarray, pieces: Pieces, samples: i
     first = np.flatnonzero(cut)
     last = np.r_[first[1:], n]
     hashes = span_hash(points.astype(np.uint64) + np.uint64(1), first, last)
-    _, pick, unit = np.unique(hashes, return_index=True, return_inverse=True)
-    sizes = (last - first)[pick]
-    offset = np.r_[0, np.cumsum(sizes)]
-    taken = np.repeat(first[pick] - offset[:-1], sizes) + np.arange(offset[-1])
-    lattices = Lattices(points[taken], offset, pieces)
+    keys, pick, unit = np.unique(hashes, return_index=True, return_inverse=True)
+    starts = lattices.starts(points, keys, first[pick], (last - first)[pick])
     row_units = np.searchsorted(first, row_first)
     row_of = np.repeat(np.arange(len(texts)), np.diff(row_units))
     ordinal = np.arange(len(first)) - row_units[row_of]
-    nodes = lattices.starts[unit]
+    nodes = starts[unit]
 
     def streams(which: np.ndarray, stream: int) -> np.ndarray:
         return mix(seeds[row_of[which]] ^ np.uint64(stream * 0xD1B54A32D192ED03 & ((1 << 64) - 1)) ^ mix(ordinal[which].astype(np.uint64) + np.uint64(1)))
@@ -332,7 +386,7 @@ def encoded(docs: DataFrame, model: bytes, samples: int = SAMPLES, seed: int = S
     state = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(sent.value)
+        units = Units(Pieces(sent.value))
         sp = sentencepiece.SentencePieceProcessor(model_proto=sent.value) if decode else None
         for batch in batches:
             texts, seeds = batch.column(1).to_pylist(), batch.column(2).to_numpy().view(np.uint64)
@@ -343,7 +397,7 @@ def encoded(docs: DataFrame, model: bytes, samples: int = SAMPLES, seed: int = S
                     size += len(texts[j] or "")
                     j += 1
                 rows = []
-                for text, got in zip(texts[i:j], sample_block([t or "" for t in texts[i:j]], mix(seeds[i:j]), pieces, samples), strict=True):
+                for text, got in zip(texts[i:j], sample_block([t or "" for t in texts[i:j]], mix(seeds[i:j]), units, samples), strict=True):
                     rows.append(None if text is None else [{"rank": k + 1, "n_pieces": len(ids), "log_prob": p, "perturbed": v, "inclusion": w, "ids_sha256": hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), "ids": ids if with_ids else None} | ({"text_sha256": _text_sha256(sp, ids)} if sp else {}) for k, (ids, p, v, w) in enumerate(got)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x or [] for x in rows], pa.list_(kind))], ["doc_id", "samples"])
                 i = j

@@ -75,7 +75,7 @@ def segmentations(text, p):
 def test_samples_follow_the_distribution(vocabulary, text):
     want = segmentations(text, vocabulary)
     n = 6000
-    got = pieces.sample_block([text] * n, mix(np.arange(n).astype(np.uint64)), vocabulary, 2)
+    got = pieces.sample_block([text] * n, mix(np.arange(n).astype(np.uint64)), pieces.Units(vocabulary), 2)
     for row in got[:200]:
         for ids, log, _, _ in row:
             assert log == pytest.approx(want[tuple(ids.tolist())], abs=1e-6)
@@ -121,11 +121,24 @@ def test_samples_depend_on_the_key_and_seed_only(documents, corpus):
 
 @needs
 def test_few_segmentations(vocabulary):
-    got = pieces.sample_block(["cat"], np.array([3], np.uint64), vocabulary, 200)[0]
+    got = pieces.sample_block(["cat"], np.array([3], np.uint64), pieces.Units(vocabulary), 200)[0]
     want = segmentations("cat", vocabulary)
     assert {tuple(g[0].tolist()) for g in got} == set(want) and all(g[3] == 1.0 for g in got)
 
 
+@needs
+@pytest.mark.parametrize("most", [1, 60, 1 << 20])
+def test_kept_units_change_nothing(vocabulary, most):
+    """Units kept from earlier blocks, or forgotten between them, give the samples of a block of its own."""
+    texts = [f"the {w} hat of {w}s, \u00e9\U0001f600 {i}" for i, w in enumerate("cat dog cat bird dog hen".split())] + ["", "x" * 300]
+    seeds = mix(np.arange(len(texts)).astype(np.uint64))
+    kept = pieces.Units(vocabulary, most)
+    for i in range(len(texts)):
+        alone = pieces.sample_block(texts[i : i + 1], seeds[i : i + 1], pieces.Units(vocabulary), 3)[0]
+        got = pieces.sample_block(texts[i : i + 1], seeds[i : i + 1], kept, 3)[0]
+        assert [(g[0].tolist(), *g[1:]) for g in got] == [(g[0].tolist(), *g[1:]) for g in alone]
+
+
 @needs
 def test_decoding(spark):
     model = pieces.read_model()
