@@ -28,7 +28,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 3
 SEED = 1
 #: Characters of whole texts that one step works on.
-STEP_CHARS = 1 << 18
+STEP_CHARS = 1 << 17
 #: Edges of kept units beyond which a task forgets them before its next step.
 EDGES = 5 << 19
 SPACE = "▁"
@@ -367,8 +367,29 @@ def read_model(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def _text_sha256(sp: sentencepiece.SentencePieceProcessor, ids: np.ndarray) -> str:
-    return hashlib.sha256(sp.decode(ids.tolist()).encode() if len(ids) else b"").hexdigest()
+class Decoder:
+    """The text of id lists: the bytes of their pieces, joined; whatever needs the library's rules is left to it.
+
+    Those are control and unknown pieces, bytes that are no UTF-8, and beginnings other than the one space that encoding put there.
+    """
+
+    def __init__(self, model: bytes):
+        self.sp = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        plain = lambda i: None if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) else sp.id_to_piece(i).replace(SPACE, " ").encode()
+        self.pieces = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else plain(i) for i in range(sp.get_piece_size())]
+
+    def __call__(self, ids: list[int]) -> bytes:
+        """UTF-8 of the text."""
+        if not ids:
+            return b""
+        try:
+            raw = b"".join(map(self.pieces.__getitem__, ids))
+            if raw[:1] == b" " and raw[1:2] != b" ":
+                raw.decode()
+                return raw[1:]
+        except (TypeError, UnicodeDecodeError):
+            pass
+        return self.sp.decode(ids).encode()
 
 
 def encoded(docs: DataFrame, model: bytes, samples: int = SAMPLES, seed: int = SEED, key: str = "doc_id", with_ids: bool = True, decode: bool = False) -> DataFrame:
@@ -387,7 +408,7 @@ def encoded(docs: DataFrame, model: bytes, samples: int = SAMPLES, seed: int = S
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units(Pieces(sent.value))
-        sp = sentencepiece.SentencePieceProcessor(model_proto=sent.value) if decode else None
+        text_of = Decoder(sent.value) if decode else None
         for batch in batches:
             texts, seeds = batch.column(1).to_pylist(), batch.column(2).to_numpy().view(np.uint64)
             i = 0
@@ -398,7 +419,7 @@ def encoded(docs: DataFrame, model: bytes, samples: int = SAMPLES, seed: int = S
                     j += 1
                 rows = []
                 for text, got in zip(texts[i:j], sample_block([t or "" for t in texts[i:j]], mix(seeds[i:j]), units, samples), strict=True):
-                    rows.append(None if text is None else [{"rank": k + 1, "n_pieces": len(ids), "log_prob": p, "perturbed": v, "inclusion": w, "ids_sha256": hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), "ids": ids if with_ids else None} | ({"text_sha256": _text_sha256(sp, ids)} if sp else {}) for k, (ids, p, v, w) in enumerate(got)])
+                    rows.append(None if text is None else [{"rank": k + 1, "n_pieces": len(ids), "log_prob": p, "perturbed": v, "inclusion": w, "ids_sha256": hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), "ids": ids if with_ids else None} | ({"text_sha256": hashlib.sha256(text_of(ids.tolist())).hexdigest()} if text_of else {}) for k, (ids, p, v, w) in enumerate(got)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x or [] for x in rows], pa.list_(kind))], ["doc_id", "samples"])
                 i = j
 

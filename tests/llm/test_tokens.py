@@ -139,6 +139,16 @@ def test_kept_units_change_nothing(vocabulary, most):
         assert [(g[0].tolist(), *g[1:]) for g in got] == [(g[0].tolist(), *g[1:]) for g in alone]
 
 
+@needs
+def test_decoder_says_what_the_library_says(corpus):
+    model = pieces.read_model()
+    decoder = pieces.Decoder(model)
+    for text in [t for _, t in corpus if t] + ["", " a", "  b", " ", "\u2581x", "\u2581\u2581", "a  b", "\n", "\u00e9\U0001f600", " \n"]:
+        ids = decoder.sp.encode(text)
+        for some in (ids, ids[1:], [0, *ids], [1, *ids], [258, 68], [203]):
+            assert decoder(some) == (decoder.sp.decode(some).encode() if some else b"")
+
+
 @needs
 def test_decoding(spark):
     model = pieces.read_model()
