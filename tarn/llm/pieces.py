@@ -5,7 +5,8 @@ probability follows Zipf's law on its rank; a character that no piece holds is o
 a perturbed log-probability, and the k largest are a sample without replacement. The search is A* on the tree of
 partial paths, whose bound - the largest perturbed value below a node - is exact, so every descent ends in the next
 sample: children take their parent's value conditioned on the maximum. Siblings that are not descended into stay one
-open node with their joint mass until the search comes back to split it.
+open node with their joint mass until the search comes back to split it. No bound is above the log-probability of its
+path so far plus the largest noise, so bounds that are certain to lose are never drawn.
 
 Pieces never cross certain places (before a space; around characters that stand in no longer piece), so the lattice
 is a chain of short units; equal units are built once, and kept for the blocks of text to come.
@@ -14,6 +15,7 @@ is a chain of short units; equal units are built once, and kept for the blocks o
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,7 +76,8 @@ class Pieces:
 
 
 class Lattices:
-    """Forward edges of many units with the probability of each edge at its start, given that the path goes on to the end."""
+    """Forward edges of many units, the log-probability of each at its start, given that the path goes on to the end, that of
+    its siblings together, and the first edge that can follow it (-1 at the end of the unit)."""
 
     def __init__(self, points: np.ndarray, first: np.ndarray, pieces: Pieces):
         n, units = len(points), len(first) - 1
@@ -102,16 +105,14 @@ class Lattices:
         found.append((bare, np.ones(len(bare), np.int64), ids, width * pieces.byte_log))
         start, size, self.ids, log = (np.concatenate(x) for x in zip(*found[::-1], strict=True))
         left = limit[start] - start
-        order = np.argsort(left * n + start, kind="stable")
+        order = np.argsort((left * n + start) * (pieces.longest + 1) + pieces.longest - size)
         start, size, left, self.ids, log = start[order], size[order], left[order], self.ids[order], log[order]
         src = start + unit[start]
-        self.dst = src + size
-        self.starts = first[:-1] + np.arange(units)
+        dst = src + size
         head = np.flatnonzero(np.r_[True, src[1:] != src[:-1]]) if n else np.zeros(0, np.int64)
-        self.head = np.full(n + units, -1, np.int64)
-        self.head[src[head]] = head
-        self.is_end = np.zeros(n + units, bool)
-        self.is_end[first[1:] + np.arange(units)] = True
+        heads = np.full(n + units, -1, np.int64)  # none at the end of a unit
+        heads[src[head]] = head
+        self.next, self.starts = heads[dst], heads[first[:-1] + np.arange(units)]
         after = np.zeros(n + units)
         bounds = np.searchsorted(left, np.arange(1, left.max(initial=0) + 2))
         at_head = np.searchsorted(head, bounds)
@@ -120,13 +121,15 @@ class Lattices:
             if a == b:
                 continue
             own = head[at_head[k] : at_head[k + 1]]
-            x = log[a:b] + after[self.dst[a:b]]
+            x = log[a:b] + after[dst[a:b]]
             top = np.maximum.reduceat(x, own - a)
             after[src[own]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.r_[own, b]))), own - a))
-        self.q = np.exp(np.minimum(log + after[self.dst] - after[src], 0))
+        self.log = np.minimum(log + after[dst] - after[src], 0)
+        with np.errstate(divide="ignore"):
+            self.open = np.log(-np.expm1(self.log)).astype(np.float32)
         # summed up within each node, so that what a unit holds depends on the unit only
-        self.cum = self.q.copy()
-        stop = np.r_[head[1:], len(self.q)]
+        self.cum = np.exp(self.log)
+        stop = np.r_[head[1:], len(self.log)]
         at = head + 1
         while len(at):
             live = at < stop
@@ -134,7 +137,7 @@ class Lattices:
             self.cum[at] += self.cum[at - 1]
             at = at + 1
         if n:
-            self.cum[np.r_[head[1:] - 1, len(self.q) - 1]] = np.inf
+            self.cum[np.r_[head[1:] - 1, len(self.log) - 1]] = np.inf
 
 
 class Units:
@@ -143,62 +146,58 @@ class Units:
     def __init__(self, pieces: Pieces, most: int = EDGES):
         self.pieces, self.most = pieces, most
         room = most + most // 4  # pages that are not touched take no memory
-        self.ids, self.dst, self.head = (np.zeros(room, np.int32) for _ in range(3))
-        self.q, self.cum = np.zeros(room), np.zeros(room)
-        self.is_end = np.zeros(room, bool)
+        self.ids, self.next, self.open = np.zeros(room, np.int32), np.zeros(room, np.int32), np.zeros(room, np.float32)
+        self.log, self.cum = np.zeros(room), np.zeros(room)
         self._forget()
 
     def _forget(self) -> None:
         self.keys, self.first = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.edges = self.nodes = 0
+        self.edges = 0
 
     def starts(self, points: np.ndarray, keys: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The start node of each unit: its key (ascending, distinct), and where it stands in points."""
-        if max(self.edges, self.nodes) > self.most:
+        """The first edge of each unit: its key (ascending, distinct), and where it stands in points."""
+        if self.edges > self.most:
             self._forget()
         at = np.searchsorted(self.keys, keys)
         new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
             offset = np.r_[0, np.cumsum(sizes[new])]
             made = Lattices(points[np.repeat(first[new] - offset[:-1], sizes[new]) + np.arange(offset[-1])], offset, self.pieces)
+            self.keys, self.first = np.insert(self.keys, at[new], keys[new]), np.insert(self.first, at[new], made.starts + self.edges)
             self._add(made)
-            self.keys, self.first = np.insert(self.keys, at[new], keys[new]), np.insert(self.first, at[new], made.starts + self.nodes - len(made.head))
         return self.first[np.searchsorted(self.keys, keys)]
 
     def _add(self, made: Lattices) -> None:
-        edges, nodes = self.edges + len(made.ids), self.nodes + len(made.head)
-        if max(edges, nodes) > 1 << 30:
+        edges = self.edges + len(made.ids)
+        if edges > 1 << 30:
             raise ValueError("a text of this length has too many pieces for one lattice")
 
-        def put(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
-            if used + len(more) > len(held):
-                held = np.concatenate([held[:used], np.zeros(max(used // 2, len(more)), held.dtype)])
-            held[used : used + len(more)] = more
+        def put(held: np.ndarray, more: np.ndarray) -> np.ndarray:
+            if edges > len(held):
+                held = np.concatenate([held[: self.edges], np.zeros(max(self.edges // 2, len(more)), held.dtype)])
+            held[self.edges : edges] = more
             return held
 
-        self.ids, self.q, self.cum = put(self.ids, self.edges, made.ids), put(self.q, self.edges, made.q), put(self.cum, self.edges, made.cum)
-        self.dst = put(self.dst, self.edges, made.dst + self.nodes)
-        self.head = put(self.head, self.nodes, np.where(made.head >= 0, made.head + self.edges, -1))
-        self.is_end = put(self.is_end, self.nodes, made.is_end)
-        self.edges, self.nodes = edges, nodes
+        self.ids, self.log, self.open, self.cum = put(self.ids, made.ids), put(self.log, made.log), put(self.open, made.open), put(self.cum, made.cum)
+        self.next = put(self.next, np.where(made.next >= 0, made.next + self.edges, -1))
+        self.edges = edges
 
-    def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(edges, edges of each walk): a random path from each node to the end of its unit, by the seeds alone."""
-        live = np.flatnonzero(~self.is_end[nodes])
-        node, steps, count, step = nodes[live], [], np.zeros(len(nodes), np.int64), 0
+    def walk(self, firsts: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(edges, edges of each walk): a random path from each first edge to the end of its unit, by the seeds
+        alone; from -1, which is the end, none."""
+        live = np.flatnonzero(firsts >= 0)
+        edge, state, steps, count = firsts[live], seeds[live], [], np.zeros(len(firsts), np.int64)
         while len(live):
-            u = uniform(seeds[live] + np.uint64(step * 0xA24BAED4963EE407 & ((1 << 64) - 1)))
-            edge = self.head[node].astype(np.int64)
+            u = uniform(state)
             more = np.flatnonzero(u >= self.cum[edge])
             while len(more):
                 edge[more] += 1
                 more = more[u[more] >= self.cum[edge[more]]]
             steps.append((live, edge))
             count[live] += 1
-            node = self.dst[edge]
-            go = ~self.is_end[node]
-            live, node = live[go], node[go]
-            step += 1
+            after = self.next[edge]
+            go = np.flatnonzero(after >= 0)
+            live, edge, state = live[go], after[go].astype(np.int64), state[go] + np.uint64(0xA24BAED4963EE407)
         offset = np.cumsum(count) - count
         out = np.zeros(count.sum(), np.int64)
         for k, (at, edge) in enumerate(steps):
@@ -223,65 +222,91 @@ def gumbel(x: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(uniform(x)))
 
 
-def below(value: np.ndarray | float, log_mass: np.ndarray, noise: np.ndarray) -> np.ndarray:
-    """The largest perturbed value of a set of paths with that mass, given that it is below `value`."""
-    with np.errstate(over="ignore"):
-        return -np.logaddexp(-value, -(log_mass + noise))
+def below(value: float, free: float) -> float:
+    """The largest perturbed value of a set of paths, given that it is below `value`; `free` is what it would be without that.
+
+    It grows with `free`, so of many sets under one value the one with the largest `free` leads.
+    """
+    low, gap = min(value, free), abs(value - free)
+    return low - math.log1p(math.exp(-gap)) if low > -math.inf else low
+
+
+#: More than the largest noise that `gumbel` gives, and the rounding of a sum of logarithms.
+MOST_NOISE = 40.0
+#: Steps whose bounds are drawn at a time.
+AHEAD = 512
+_STEP = 0xC2B2AE3D27D4EB4F
 
 
 class Path:
-    """A segmentation that was found, with what is open beside each of its steps."""
+    """A segmentation that was found, with what is open beside each of its steps.
 
-    __slots__ = ("before", "best", "bound", "edges", "gone", "log_prob", "units", "value")
+    The steps that `before` is given for are open in another path already. `before` and `free` (the log-probability before
+    each step, and the perturbed value of what is open beside it, were it not below the path's own) are known for as many
+    steps as they are long; no later step's value is above the path's log-probability there plus MOST_NOISE. `again` holds
+    the values of open nodes that were split.
+    """
+
+    __slots__ = ("again", "before", "best", "edges", "free", "gone", "lattices", "log_prob", "mass", "noise", "units", "value")
 
-    def __init__(self, edges: np.ndarray, units: np.ndarray, before: np.ndarray, bound: np.ndarray, log_prob: float, value: float):
-        self.edges, self.units, self.before, self.bound = edges, units, before, bound
+    def __init__(self, lattices: Units, edges: np.ndarray, units: np.ndarray, before: np.ndarray, mass: float, noise: np.uint64, log_prob: float, value: float):
+        self.lattices, self.edges, self.units, self.before, self.mass, self.noise = lattices, edges, units, before, mass, noise
         self.log_prob, self.value = log_prob, value
+        self.free = np.full(len(before), -np.inf)
         self.gone: dict[int, list[int]] = {}
+        self.again: dict[int, float] = {}
         self.look()
 
     def look(self) -> None:
         """The largest open node beside the path: (value, step)."""
-        m = int(self.bound.argmax()) if len(self.bound) else -1
-        self.best = (float(self.bound[m]), m) if m >= 0 else (-np.inf, -1)
+        while True:
+            m = int(self.free.argmax()) if len(self.free) else -1
+            top = float(self.free[m]) if m >= 0 else -np.inf
+            self.best = max([(below(self.value, top), m), *((v, k) for k, v in self.again.items())]) if top > -np.inf or self.again else (-np.inf, -1)
+            if len(self.free) == len(self.edges) or self.best[0] >= self.mass + MOST_NOISE:
+                return
+            self._ahead()
+
+    def _ahead(self) -> None:
+        """The values of the next steps."""
+        a = len(self.free)
+        b = min(max(a + AHEAD, 2 * a), len(self.edges))
+        edges, sums = self.edges[a:b], np.empty(b - a + 1)
+        sums[0] = self.mass
+        np.cumsum(self.lattices.log[edges], out=sums[1:])
+        sums[1:] += self.mass
+        free = sums[:-1] + self.lattices.open[edges] + gumbel(self.noise + np.arange(a, b, dtype=np.uint64) * np.uint64(_STEP))
+        self.before, self.free, self.mass = np.concatenate([self.before, sums[:-1]]), np.concatenate([self.free, free]), float(sums[-1])
 
 
 def _stream(seeds: np.ndarray, stream: int) -> np.ndarray:
     return mix(seeds ^ np.uint64(stream * 0x9FB21C651E98DF25 & ((1 << 64) - 1)))
 
 
-_STEP = 0xC2B2AE3D27D4EB4F
-
-
-def open_paths(lattices: Units, edges: np.ndarray, units: np.ndarray, first: np.ndarray, fixed: np.ndarray, seeds: np.ndarray, stream: int, values: np.ndarray) -> list[Path]:
-    """Paths of many texts at once; the first `fixed` steps of each are open in another path already."""
-    logs = np.log(lattices.q[edges])
-    sums = np.r_[0.0, np.cumsum(logs)]
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    before = sums[:-1] - sums[first[:-1]][row]
-    at = np.arange(len(edges)) - first[:-1][row]
-    bound = np.full(len(edges), -np.inf)
-    free = np.flatnonzero(at >= fixed[row])
-    noise = gumbel(_stream(seeds, 2 * stream + 1)[row[free]] + at[free].astype(np.uint64) * np.uint64(_STEP))
-    with np.errstate(divide="ignore"):
-        bound[free] = below(values[row[free]], before[free] + np.log1p(-np.minimum(lattices.q[edges[free]], 1.0)), noise)
-    total = sums[first[1:]] - sums[first[:-1]]
-    return [Path(edges[a:b], units[a:b], before[a:b], bound[a:b], t, v) for a, b, t, v in zip(first[:-1].tolist(), first[1:].tolist(), total.tolist(), values.tolist(), strict=True)]
+def path_logs(lattices: Units, edges: np.ndarray, bounds: np.ndarray) -> list[float]:
+    """The log-probability of each path, summed within it; an empty one has 0."""
+    out = np.zeros(len(bounds) - 1)
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        out[some] = np.add.reduceat(lattices.log[edges], bounds[some])
+    return out.tolist()
 
 
-def split(path: Path, value: float, m: int, state: int, lattices: Units) -> int:
+def split(path: Path, value: float, m: int, state: int) -> int:
     """The sibling that holds the open node's maximum; the rest of them stay open under it."""
+    lattices = path.lattices
     gone = path.gone.setdefault(m, [int(path.edges[m])])
     others = [e for e in lattices.siblings(gone[0]) if e not in gone]
-    shares = [float(lattices.q[e]) for e in others]
-    draws = np.array([state, state ^ 0x5555], np.uint64) + np.uint64(m * _STEP & ((1 << 64) - 1))
-    u, k = float(uniform(draws[:1])[0]) * sum(shares), 0
+    shares = [math.exp(lattices.log[e]) for e in others]
+    u, noise = uniform(np.array([state, state ^ 0x5555], np.uint64) + np.uint64(m * _STEP & ((1 << 64) - 1))).tolist()
+    u, k = u * sum(shares), 0
     while k < len(others) - 1 and u >= shares[k]:
         u -= shares[k]
         k += 1
     gone.append(others[k])
     rest = sum(shares) - shares[k]
-    path.bound[m] = below(value, path.before[m] + np.log(rest), gumbel(draws[1:]))[0] if len(others) > 1 and rest > 0 else -np.inf
+    path.free[m] = -np.inf
+    path.again[m] = below(value, float(path.before[m]) + math.log(rest) - math.log(-math.log(noise))) if len(others) > 1 and rest > 0 else -np.inf
     path.look()
     return others[k]
 
@@ -301,21 +326,26 @@ def sample_block(texts: list[str], seeds: np.ndarray, lattices: Units, samples:
     first = np.flatnonzero(cut)
     last = np.r_[first[1:], n]
     hashes = span_hash(points.astype(np.uint64) + np.uint64(1), first, last)
-    keys, pick, unit = np.unique(hashes, return_index=True, return_inverse=True)
+    order = np.argsort(hashes)
+    new = np.r_[True, np.diff(hashes[order]) > 0][: len(order)]
+    keys, pick, unit = hashes[order[new]], order[new], np.empty(len(order), np.int64)
+    unit[order] = np.cumsum(new) - 1
     starts = lattices.starts(points, keys, first[pick], (last - first)[pick])
     row_units = np.searchsorted(first, row_first)
     row_of = np.repeat(np.arange(len(texts)), np.diff(row_units))
     ordinal = np.arange(len(first)) - row_units[row_of]
-    nodes = starts[unit]
+    begin = starts[unit]
 
     def streams(which: np.ndarray, stream: int) -> np.ndarray:
         return mix(seeds[row_of[which]] ^ np.uint64(stream * 0xD1B54A32D192ED03 & ((1 << 64) - 1)) ^ mix(ordinal[which].astype(np.uint64) + np.uint64(1)))
 
     every = np.arange(len(first))
-    edges, count = lattices.walk(nodes, streams(every, 0))
+    edges, count = lattices.walk(begin, streams(every, 0))
     bounds = np.r_[0, np.cumsum(count)][row_units]
     units = np.repeat(every, count)
-    found = [[p] for p in open_paths(lattices, edges, units, bounds, np.zeros(len(texts), np.int64), seeds, 0, gumbel(seeds))]
+    none, cuts = np.zeros(0), bounds.tolist()
+    noise = _stream(seeds, 1)
+    found = [[Path(lattices, edges[a:b], units[a:b], none, 0.0, s, p, v)] for a, b, s, p, v in zip(cuts, cuts[1:], noise, path_logs(lattices, edges, bounds), gumbel(seeds).tolist(), strict=False)]
 
     def best(paths: list[Path]) -> Path:
         return max(paths, key=lambda p: p.best[0])
@@ -326,28 +356,22 @@ def sample_block(texts: list[str], seeds: np.ndarray, lattices: Units, samples:
             p = best(paths)
             value, m = p.best
             if value > -np.inf:
-                todo.append((r, value, p, m, split(p, value, m, states[r], lattices)))
+                todo.append((r, value, p, m, split(p, value, m, states[r])))
         if not todo:
             break
         at = [int(t[2].units[t[3]]) for t in todo]
         spans = [np.arange(u, row_units[t[0] + 1]) for u, t in zip(at, todo, strict=True)]
         which = np.concatenate(spans)
         begins = np.cumsum([0, *map(len, spans)])
-        from_nodes = nodes[which]
-        from_nodes[begins[:-1]] = lattices.dst[[t[4] for t in todo]]
-        tail, tail_count = lattices.walk(from_nodes, streams(which, k))
-        tail_bounds = np.r_[0, np.cumsum(tail_count)][begins].tolist()
+        firsts = begin[which]
+        firsts[begins[:-1]] = lattices.next[[t[4] for t in todo]]
+        tail, tail_count = lattices.walk(firsts, streams(which, k))
+        tail_bounds = np.r_[0, np.cumsum(tail_count)][begins]
         tail_units = np.repeat(which, tail_count)
-        new_edges, new_units, sizes = [], [], [0]
-        for i, (_, _, p, m, edge) in enumerate(todo):
-            a, b = tail_bounds[i], tail_bounds[i + 1]
-            new_edges += [p.edges[:m], [edge], tail[a:b]]
-            new_units += [p.units[: m + 1], tail_units[a:b]]
-            sizes.append(m + 1 + b - a)
-        rows = [t[0] for t in todo]
-        more = open_paths(lattices, np.concatenate(new_edges).astype(np.int64), np.concatenate(new_units), np.cumsum(sizes), np.array([t[3] + 1 for t in todo]), seeds[rows], k, np.array([t[1] for t in todo]))
-        for r, p in zip(rows, more, strict=True):
-            found[r].append(p)
+        cuts, noise = tail_bounds.tolist(), _stream(seeds, 2 * k + 1)
+        for (r, value, p, m, edge), a, b, log in zip(todo, cuts, cuts[1:], path_logs(lattices, tail, tail_bounds), strict=False):
+            mass = float(p.before[m] + lattices.log[edge])
+            found[r].append(Path(lattices, np.r_[p.edges[:m], edge, tail[a:b]], np.r_[p.units[: m + 1], tail_units[a:b]], p.before[: m + 1], mass, noise[r], mass + log, value))
     out = []
     for paths in found:
         limit = best(paths).best[0]
@@ -376,20 +400,20 @@ class Decoder:
     def __init__(self, model: bytes):
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         plain = lambda i: None if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) else sp.id_to_piece(i).replace(SPACE, " ").encode()
-        self.pieces = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else plain(i) for i in range(sp.get_piece_size())]
+        self.pieces = np.array([bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else plain(i) for i in range(sp.get_piece_size())], object)
 
-    def __call__(self, ids: list[int]) -> bytes:
+    def __call__(self, ids: np.ndarray | list[int]) -> bytes:
         """UTF-8 of the text."""
-        if not ids:
+        if not len(ids):
             return b""
         try:
-            raw = b"".join(map(self.pieces.__getitem__, ids))
+            raw = b"".join(self.pieces[ids].tolist())
             if raw[:1] == b" " and raw[1:2] != b" ":
                 raw.decode()
                 return raw[1:]
         except (TypeError, UnicodeDecodeError):
             pass
-        return self.sp.decode(ids).encode()
+        return self.sp.decode(ids if isinstance(ids, list) else ids.tolist()).encode()
 
 
 def encoded(docs: DataFrame, model: bytes, samples: int = SAMPLES, seed: int = SEED, key: str = "doc_id", with_ids: bool = True, decode: bool = False) -> DataFrame:
@@ -419,7 +443,7 @@ def encoded(docs: DataFrame, model: bytes, samples: int = SAMPLES, seed: int = S
                     j += 1
                 rows = []
                 for text, got in zip(texts[i:j], sample_block([t or "" for t in texts[i:j]], mix(seeds[i:j]), units, samples), strict=True):
-                    rows.append(None if text is None else [{"rank": k + 1, "n_pieces": len(ids), "log_prob": p, "perturbed": v, "inclusion": w, "ids_sha256": hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), "ids": ids if with_ids else None} | ({"text_sha256": hashlib.sha256(text_of(ids.tolist())).hexdigest()} if text_of else {}) for k, (ids, p, v, w) in enumerate(got)])
+                    rows.append(None if text is None else [{"rank": k + 1, "n_pieces": len(ids), "log_prob": p, "perturbed": v, "inclusion": w, "ids_sha256": hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), "ids": ids if with_ids else None} | ({"text_sha256": hashlib.sha256(text_of(ids)).hexdigest()} if text_of else {}) for k, (ids, p, v, w) in enumerate(got)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x or [] for x in rows], pa.list_(kind))], ["doc_id", "samples"])
                 i = j
 
