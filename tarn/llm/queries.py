@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import langid, pieces, pii, tokens, topk, toxicity
+from tarn.llm import interactions, kdtree, langid, pieces, pii, tokens, topk, toxicity, turns
 from tarn.llm.common import held_out, table
 from tarn.llm.decontam import contamination, is_contaminated
 from tarn.llm.simhash import hex_fingerprint, near_duplicates
@@ -63,8 +63,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(turns.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kdtree.shards(table(spark, sf_dir, "documents"), 16)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_pii, op3_decontamination, op4_topk, op5_simhash, op6_token_counts, op7_sentencepiece, op8_toxicity, op9_suffix_array, op10_substring_dedup)}
+    every = (
+        op1_language_id, op2_pii, op3_decontamination, op4_topk, op5_simhash, op6_token_counts, op7_sentencepiece,
+        op8_toxicity, op9_suffix_array, op10_substring_dedup, op11_structure_repair, op12_sharding, op13_filter_audit,
+    )
+    return {f.__name__: f for f in every}
 
 
 _LUHN = "list_sum(list_transform(range(0, length(g)), lambda j: CASE WHEN j % 2 = 0 THEN CAST(g[length(g) - j] AS INTEGER) WHEN CAST(g[length(g) - j] AS INTEGER) > 4 THEN 2 * CAST(g[length(g) - j] AS INTEGER) - 9 ELSE 2 * CAST(g[length(g) - j] AS INTEGER) END)) % 10 = 0"
@@ -134,6 +151,83 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY di
 SELECT query_id, rank, neighbour_id, distance FROM r WHERE rank <= 10
 """
 
+#: CRC-32 of the UTF-8 bytes, a byte at a time through the table of its polynomial.
+_CRC = """crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, CAST(i AS BIGINT)) AS c FROM range(256) AS r(i)))"""
+_CRC_OF = "xor(list_reduce(list_transform(regexp_extract_all(hex(encode({s})), '..'), lambda h: CAST(CAST('0x' || h AS INTEGER) AS BIGINT)), lambda a, b: xor(a >> 8, t[1 + xor(a & 255, b)]), CAST(4294967295 AS BIGINT)), 4294967295)"
+_GAP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _least(ways: list[str]) -> str:
+    return f"least({', '.join(ways)})"
+
+
+def _op11_ways(into: int) -> list[str]:
+    """The cheapest audits into a state over one row, as strings that order by cost and then audit."""
+    way = lambda s, cost, edits, when: f"CASE WHEN s{s} IS NOT NULL AND {when} THEN {{'cost': s{s}.cost + {cost}, 'audit': s{s}.audit || {edits}}} END"
+    out = [way(into, 3, "'D'", "true")]
+    if into == 1:
+        out.append(way(0, "cut", "'K'", "live AND u = 's'"))
+    if into >= 2:
+        own = f"u = '{'ua'[into - 2]}'"
+        for s, more in ({0: "", 1: "", 2: "I", 3: ""} if into == 2 else {0: "I", 1: "I", 2: "", 3: "I"}).items():
+            out.append(way(s, f"cut + {2 * len(more)} + CASE WHEN {own} THEN 0 ELSE 2 END", f"'{more}' || CASE WHEN {own} THEN 'K' ELSE 'R' END", "live"))
+    return out
+
+
+#: Row by row, the cheapest audit into each state; then the audit is walked along the rows again.
+OP11 = rf"""
+WITH RECURSIVE {_CRC},
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kinds AS (SELECT raw.*, {_CRC_OF.format(s="k")} % 20 AS kind FROM raw, crc),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM kinds, (SELECT unnest([1, 2]) AS copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i, rtrim(text, {_GAP}) AS seen, left(role, 1) AS u FROM d),
+f AS (SELECT *, seen = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, right(seen, 1) NOT IN ('.', '!', '?') AS short, lag(u) OVER (PARTITION BY conv_id ORDER BY i) AS was FROM o),
+g AS (SELECT *, NOT blank AND NOT again AS live, CAST(short AS INTEGER) AS cut FROM f),
+fold AS (SELECT DISTINCT conv_id, 0 AS i, {{'cost': 0, 'audit': ''}} AS s0, CAST(NULL AS STRUCT(cost INTEGER, audit VARCHAR)) AS s1, CAST(NULL AS STRUCT(cost INTEGER, audit VARCHAR)) AS s2, CAST(NULL AS STRUCT(cost INTEGER, audit VARCHAR)) AS s3 FROM conversations
+  UNION ALL SELECT fold.conv_id, fold.i + 1, {", ".join(_least(_op11_ways(s)) if s else _op11_ways(0)[0] for s in range(4))} FROM fold JOIN g ON g.conv_id IS NOT DISTINCT FROM fold.conv_id AND g.i = fold.i + 1),
+ends AS (SELECT conv_id, least(s0, CASE WHEN s1 IS NOT NULL THEN {{'cost': s1.cost + 4, 'audit': s1.audit || 'II'}} END, CASE WHEN s2 IS NOT NULL THEN {{'cost': s2.cost + 2, 'audit': s2.audit || 'I'}} END, s3) AS best FROM fold QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+edits AS (SELECT conv_id, best.audit AS audit, unnest(range(1, length(best.audit) + 1)) AS p FROM ends),
+walk AS (SELECT conv_id, p, audit[p] AS e, length(replace(audit[1:p], 'I', '')) AS i, length(replace(audit[1:p], 'D', '')) AS nth FROM edits),
+put AS (SELECT w.conv_id, p, e, role, text, nth - max(CASE WHEN e = 'K' AND u = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY w.conv_id) AS nth FROM walk AS w LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i AND w.e <> 'I'),
+whole AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role ELSE CASE WHEN nth % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS t FROM put WHERE e <> 'D' GROUP BY conv_id),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate, count(*) FILTER (live AND short) AS truncated, count(*) FILTER (was IS NOT NULL AND was || u NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id)
+SELECT ends.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("blank", "duplicate", "truncated", "illegal"))}, CAST(best.cost AS BIGINT) AS cost, best.audit AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM ends LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM ends.conv_id LEFT JOIN whole ON whole.conv_id IS NOT DISTINCT FROM ends.conv_id
+"""
+
+
+def _op12() -> str:
+    """Four rounds: each part's widest dimension, the running bytes along it, the cut nearest to half."""
+    first = lambda c: f"coalesce(CAST('0x' || rpad(substr(hex(encode({c})), 1, 14), 14, '0') AS BIGINT), -1)"
+    parts = [f"""{_CRC},
+l0 AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, {_CRC_OF.format(s="coalesce(text, '')")} AS crc, coalesce(doc_id, -1) AS k, {first("source")} AS d0, {first("lang")} AS d1, 0 AS node FROM documents, crc),
+whole AS (SELECT {", ".join(f"max({c}) - min({c}) AS w_{c}" for c in ("d0", "d1", "size", "k"))} FROM l0)"""]
+    for i in range(4):
+        share = lambda c: f"coalesce((max({c}) - min({c})) / nullif(any_value(w_{c}), 0), 0)"
+        parts.append(f"""x{i} AS (SELECT node, sum(size) AS total, {", ".join(f"{share(c)} AS p_{c}" for c in ("d0", "d1", "size", "k"))} FROM l{i}, whole GROUP BY node),
+y{i} AS (SELECT *, greatest(p_d0, p_d1, p_size, p_k) AS top FROM x{i}),
+z{i} AS (SELECT l{i}.*, total, CASE WHEN p_d0 = top THEN d0 WHEN p_d1 = top THEN d1 WHEN p_size = top THEN size ELSE k END AS along FROM l{i} JOIN y{i} USING (node)),
+r{i} AS (SELECT *, sum(size) OVER (PARTITION BY node ORDER BY along, k, crc, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM z{i}),
+l{i + 1} AS (SELECT doc_id, size, crc, k, d0, d1, 2 * node + CASE WHEN run * 2 < total OR run * 2 - total <= total - (run - size) * 2 AND (run - size) * 2 < total THEN 0 ELSE 1 END AS node FROM r{i})""")
+    return f"""WITH {", ".join(parts)}
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(node AS INTEGER) AS shard, CAST(row_number() OVER (PARTITION BY node ORDER BY k, crc, doc_id) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM l4"""
+
+
+#: Each document's failed filters, then each order step by step over the counts of equal ones.
+OP13 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+y AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails FROM d LEFT JOIN y USING (doc_id)),
+h AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+p AS (SELECT '' AS o UNION ALL SELECT o || x FROM p, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(o, x)),
+s AS (SELECT o, CAST(step AS INTEGER) AS step, o[step:step] AS f, o[1:step - 1] AS before FROM p, range(1, 6) AS r(step) WHERE length(o) = 5),
+e AS (SELECT part, o, step, f, contains(fails, f) AS hit, fails <> '' AND before <> '' AND regexp_matches(fails, '[' || before || '_]') AS gone, fails = f AS only_f, n, good, toxic FROM h, s),
+c AS (SELECT part, o, step, f, {", ".join(f"CAST(coalesce(sum({v}) FILTER ({k}), 0) AS BIGINT) AS {a}" for a, v, k in (("kept", "n", "NOT gone AND NOT hit"), ("removed", "n", "NOT gone AND hit"), ("redundant", "n", "gone AND hit"), ("unique_fails", "n", "only_f"), ("good_lost", "good", "NOT gone AND hit"), ("toxic_lost", "toxic", "NOT gone AND hit")))} FROM e GROUP BY part, o, step, f)
+SELECT part, o AS filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM c
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -142,4 +236,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_topk": OP4,
         "op9_suffix_array": REPEATS.format(gone="n_repeated"),
         "op10_substring_dedup": REPEATS.format(gone="n_removed"),
+        "op11_structure_repair": OP11,
+        "op12_sharding": _op12(),
+        "op13_filter_audit": OP13,
     }
