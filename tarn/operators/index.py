@@ -1,10 +1,8 @@
-"""The document index as snapshots: upserts by url, deletes, and commits that readers see whole or not at all."""
+"""Changes to the document index as data: upserts by url, deletes, and the journal of a commit. See `segments` for its files."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.urls import index_host
@@ -43,47 +41,6 @@ def merged(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(rows.select(*keys), keys, "left_anti").select(*table.columns).unionByName(rows.select(*table.columns))
 
 
-class SnapshotStore:
-    """Snapshots in directories of their own; a pointer table names the current one, and the newest pointer wins.
-
-    A commit writes the snapshot whole, then its pointer: a reader sees the old state or the new one. Paths are only
-    touched by Spark's readers and writers, so any store that Spark knows will do.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _pointers(self) -> DataFrame | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointers")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return self.spark.read.schema("version long, name string, batch long").json(f"{self.root}/pointers") if fs.exists(path) else None
-
-    def version(self) -> tuple[int, str | None, int]:
-        """(version, snapshot, last batch); version 0 of an empty store."""
-        pointers = self._pointers()
-        row = None if pointers is None else pointers.orderBy(F.desc("version")).first()
-        return (row["version"], row["name"], row["batch"]) if row else (0, None, -1)
-
-    def read(self) -> DataFrame:
-        """The current snapshot, empty at first."""
-        _, name, _ = self.version()
-        return self.spark.createDataFrame([], DOCUMENT) if name is None else self.spark.read.schema(DOCUMENT).parquet(f"{self.root}/snapshots/{name}")
-
-    def commit(self, index: DataFrame, batch: int = -1) -> int:
-        version, name = self.version()[0] + 1, uuid.uuid4().hex
-        index.select(*DOCUMENT.names).write.parquet(f"{self.root}/snapshots/{name}")
-        self.spark.createDataFrame([(version, name, batch)], "version long, name string, batch long").coalesce(1).write.mode("append").json(f"{self.root}/pointers")
-        return version
-
-    def size_bytes(self) -> int:
-        """Bytes of the current snapshot's files; 0 if there is none."""
-        _, name, _ = self.version()
-        if name is None:
-            return 0
-        files = self.spark.read.format("binaryFile").load(f"{self.root}/snapshots/{name}").select("length")
-        return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-
-
 def is_full(used: int, most: int) -> bool:
     return used >= most
 
