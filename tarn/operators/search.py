@@ -1,7 +1,7 @@
 """Ranked retrieval: statistics, BM25 over fields, boolean filters, two-stage ranking, snippets.
 
-Term statistics are conditional sums over one scan for the query's own terms; a standing inverted index (`postings`)
-serves when the same corpus is asked often. Bodies are only read again for the few rows that are returned.
+Term statistics are conditional sums over one scan for the query's own terms, for a corpus that is asked once; `standing`
+answers the same queries from an inverted index.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tarn.functions.text import has_phrase, snippet, tokens
 from tarn.functions.urls import index_host, ranking_domain
 from tarn.operators.ranking import RankingConfig, final_score
-from tarn.plans.query import DEFAULT_FIELDS, Group, QueryError, Term, parse, scored_terms, words_of
+from tarn.plans.query import DEFAULT_FIELDS, Group, Node, QueryError, Range, Term, parse, range_boosts, scored_terms, words_of
 
 K1, B = 1.2, 0.75
 LIMIT, OVERFETCH = 25, 4
@@ -37,16 +37,26 @@ def count_of(words: Column, term: str) -> Column:
     return ((F.length(joined) - F.length(F.replace(joined, F.lit(one), F.lit("")))) / len(one)).cast("int")
 
 
-def _occurs(words: Column, phrase: tuple[str, ...]) -> Column:
-    return count_of(words, phrase[0]) if len(phrase) == 1 else F.when(has_phrase(words, list(phrase)), F.lit(1)).otherwise(F.lit(0))
+def _occurs(words: Column, phrase: tuple) -> Column:
+    return count_of(words, phrase[0]) if len(phrase) == 1 else F.when(_holds(words, phrase), F.lit(1)).otherwise(F.lit(0))
 
 
-def predicate(node: Group | Term) -> Column:
+def _holds(words: Column, phrase: tuple) -> Column:
+    """Whether the tokens hold a phrase, whose last word may be a beginning."""
+    if not isinstance(phrase[-1], Range):
+        return has_phrase(words, list(phrase))
+    head, start = f" {' '.join(phrase[:-1])} ", phrase[-1].low
+    return F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(head + start))
+
+
+def predicate(node: Node) -> Column:
     """Whether a tokenized document matches. Alternatives are optional once something is required."""
+    if isinstance(node, Range):
+        return node.holds(F.col(node.field)) if node.field in ("host", "url", "collection") else F.exists(f"{node.field}_tokens", node.holds)
     if isinstance(node, Term):
         if node.field in ("host", "url", "collection"):
             return F.col(node.field) == node.words[0]
-        return reduce(Column.__or__, [has_phrase(F.col(f"{f}_tokens"), list(node.words)) for f in (DEFAULT_FIELDS if node.field is None else (node.field,))])
+        return reduce(Column.__or__, [_holds(F.col(f"{f}_tokens"), node.words) for f in (DEFAULT_FIELDS if node.field is None else (node.field,))])
     out = [predicate(n) for n in node.must]
     if not node.must:
         out.append(reduce(Column.__or__, [predicate(n) for n in node.should], F.lit(False)))
@@ -85,6 +95,8 @@ def candidates(docs: DataFrame, query: str, collection: str | None = None, limit
     except QueryError:
         return tokenized(docs).withColumn("bm25", F.lit(0.0)).filter(F.lit(False))
     found = bm25(tokenized(docs), scored_terms(tree)).filter(predicate(tree))
+    for clause, boost in range_boosts(tree):
+        found = found.withColumn("bm25", F.col("bm25") + F.when(predicate(clause), boost).otherwise(0.0))
     if collection is not None:
         found = found.filter(F.col("collection") == collection)
     return found if limit is None else found.orderBy(F.desc("bm25"), "url").limit(limit)
@@ -95,7 +107,11 @@ def search(docs: DataFrame, query: str, now: int, collection: str | None = None,
 
     limit x 4 candidates by BM25 are ranked again by the full formula; both cuts are part of the answer.
     """
-    found = candidates(docs, query, collection, limit * OVERFETCH)
+    return answers(candidates(docs, query, collection, limit * OVERFETCH), query, now, config, limit, source)
+
+
+def answers(found: DataFrame, query: str, now: int, config: RankingConfig = RankingConfig(), limit: int = LIMIT, source: str = "local") -> DataFrame:  # noqa: B008
+    """The second stage of `search`: candidates ranked by the full formula, the `limit` best with their snippets."""
     try:
         words = words_of(parse(query))
     except QueryError:
@@ -105,36 +121,5 @@ def search(docs: DataFrame, query: str, now: int, collection: str | None = None,
     return top.select("title", "url", snippet("body", words).alias("snippet_html"), "source", F.col("indexed_at").alias("timestamp"), "score")
 
 
-# ---------------------------------------------------------------- a standing index
-
-
-def postings(docs: DataFrame, field: str) -> DataFrame:
-    """(term, url, tf, positions, length): the inverted index of a field. Write it partitioned or bucketed by term."""
-    words = spread(docs).select("url", tokens(field).alias("w"))
-    each = words.select("url", F.size("w").alias("length"), F.posexplode("w").alias("pos", "term"))
-    return each.groupBy("term", "url").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("length").alias("length"))
-
-
-def term_stats(index: DataFrame) -> DataFrame:
-    """(term, df, cf): documents and occurrences of each term."""
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-
-
-def field_stats(docs: DataFrame, field: str) -> DataFrame:
-    """One row: n_docs, n_tokens, avg_len."""
-    size = F.size(tokens(field))
-    return spread(docs).agg(F.count("*").alias("n_docs"), F.sum(size).alias("n_tokens"), F.avg(size).alias("avg_len"))
-
-
-def search_postings(index: DataFrame, stats: DataFrame, terms: list[str], limit: int = LIMIT) -> DataFrame:
-    """(url, bm25) of an OR query over one field's postings; only the terms' own rows are read."""
-    own = index.filter(F.col("term").isin(terms))
-    df = own.groupBy("term").agg(F.count("*").alias("df"))
-    joined = own.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats.select("n_docs", "avg_len")))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_len")))
-    return joined.groupBy("url").agg(F.sum(part).alias("bm25")).orderBy(F.desc("bm25"), "url").limit(limit)
-
-
 def count_documents(docs: DataFrame, collection: str) -> DataFrame:
     return docs.filter(F.col("collection") == collection).agg(F.count("*").alias("n"))

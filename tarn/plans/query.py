@@ -1,4 +1,5 @@
-"""The search query language: free text, `+` and `-`, quoted phrases, AND OR NOT, groups, `field:term`, `term^2`, `site:host`.
+"""The search query language: free text, `+` and `-`, quoted phrases, AND OR NOT, groups, `field:term`, `term^2`, `site:host`,
+term ranges (`title:[a TO b}`, `body:>=m`, `*` for an open end) and phrases whose last word is a beginning (`"red ho"*`).
 
 A query string becomes a small tree, which is then compiled to Column predicates and scored terms.
 """
@@ -6,7 +7,10 @@ A query string becomes a small tree, which is then compiled to Column predicates
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from tarn.functions.text import tokenize
 
@@ -20,11 +24,36 @@ class QueryError(ValueError):
     """The string is no query; a search for it finds nothing."""
 
 
+@dataclass(frozen=True)
+class Range:
+    """Terms between two ends, None for an open one; `prefix` for those that begin with `low`."""
+
+    low: str | None
+    high: str | None
+    with_low: bool = True
+    with_high: bool = True
+    prefix: bool = False
+    field: str | None = None
+    boost: float = 1.0
+
+    def holds(self, term: Column) -> Column:
+        """Whether a term lies within, as comparisons that a scan can push down."""
+        out = F.lit(True)
+        if self.prefix:
+            return (term >= self.low) & F.startswith(term, F.lit(self.low))
+        if self.low is not None:
+            out = out & ((term >= self.low) if self.with_low else (term > self.low))
+        if self.high is not None:
+            out = out & ((term <= self.high) if self.with_high else (term < self.high))
+        return out
+
+
 @dataclass(frozen=True)
 class Term:
-    """One word or phrase in one field, or in the default fields if field is None."""
+    """One word or phrase in one field, or in the default fields if field is None. The last word of a phrase may be a
+    Range, which stands for the words that begin so."""
 
-    words: tuple[str, ...]
+    words: tuple
     field: str | None = None
     boost: float = 1.0
 
@@ -37,6 +66,9 @@ class Group:
     boost: float = 1.0
 
 
+Node = Group | Term | Range
+
+
 @dataclass
 class _Parser:
     tokens: list[tuple[str, str]]
@@ -85,13 +117,15 @@ class _Parser:
                 node = self.group(True)
                 if self.next()[0] != ")":
                     raise QueryError("unbalanced (")
-            elif kind in ("word", "phrase"):
+            elif kind in ("word", "phrase", "prefix"):
                 node = self.leaf(name, kind, value)
+            elif kind == "range":
+                node = self.span(name, value)
             else:
                 raise QueryError("a sign or field without a term")
             if self.peek()[0] == "^":
                 boost = float(self.next()[1])
-                node = Group(node.must, node.should, node.must_not, boost) if isinstance(node, Group) else Term(node.words, node.field, boost) if node else node
+                node = replace(node, boost=boost) if node else node
             if node is not None:
                 if joined:
                     if clauses and clauses[-1][0] == "should":
@@ -105,15 +139,35 @@ class _Parser:
         pick = lambda occur: tuple(n for o, n in clauses if o == occur)
         return Group(pick("must"), pick("should"), pick("must_not"))
 
+    @staticmethod
+    def span(name: str | None, value: str) -> Range:
+        if name is None:
+            raise QueryError("a range without a field")
+        if value[0] in "[{":
+            low, _, high = value[1:-1].strip().partition(" TO ")
+            ends, inside = (low.strip(), high.strip()), (value[0] == "[", value[-1] == "]")
+        else:
+            sign = re.match(r"[<>]=?", value)[0]
+            end = value[len(sign) :]
+            ends, inside = ((end, "*") if sign[0] == ">" else ("*", end)), (len(sign) == 2, len(sign) == 2)
+        one = [None if e == "*" else e.strip('"') if name in ("url", "collection") else e.strip('"').lower() for e in ends]
+        if one == [None, None]:
+            raise QueryError("a range without an end")
+        return Range(one[0], one[1], *inside, field=name)
+
     @staticmethod
     def leaf(name: str | None, kind: str, value: str) -> Term | Group | None:
         if name in ("host", "url", "collection"):
             return Term((value.lower() if name == "host" else value,), name)
         words = tuple(tokenize(value))
+        if kind == "prefix":
+            if len(words) < 2:
+                raise QueryError("a beginning needs a word before it")
+            words = (*words[:-1], Range(words[-1], None, prefix=True))
         return Term(words, name) if words else None
 
 
-_TOKEN = re.compile(r'\s*(?:(?P<phrase>"[^"]*")|(?P<paren>[()])|(?P<sign>[+-](?=\S))|\^(?P<boost>\d+(?:\.\d+)?)|(?P<word>[^\s()"^+-][^\s()"^]*)|(?P<bad>["^+-]))')
+_TOKEN = re.compile(r'\s*(?:(?P<range>[\[{]\s*\S+\s+TO\s+[^\s\]}]+\s*[\]}]|[<>]=?[^\s()"^]+)|(?P<phrase>"[^"]*")(?P<prefix>\*)?|(?P<paren>[()])|(?P<sign>[+-](?=\S))|\^(?P<boost>\d+(?:\.\d+)?)|(?P<word>[^\s()"^+-][^\s()"^]*)|(?P<bad>["^+-]))')
 
 
 def rewrite_site(query: str) -> str:
@@ -135,7 +189,9 @@ def parse(query: str) -> Group:
             raise QueryError(f"unexpected {text[at:].strip()[:10]!r}")
         at = m.end()
         if m["phrase"] is not None:
-            tokens.append(("phrase", m["phrase"][1:-1]))
+            tokens.append(("prefix" if m["prefix"] else "phrase", m["phrase"][1:-1]))
+        elif m["range"]:
+            tokens.append(("range", m["range"]))
         elif m["paren"]:
             tokens.append((m["paren"], ""))
         elif m["sign"]:
@@ -148,9 +204,11 @@ def parse(query: str) -> Group:
             name, colon, rest = m["word"].partition(":")
             if colon and name in FIELDS:
                 tokens.append(("field", name))
-                if rest:
+                if rest[:1] in ("<", ">", "[", "{"):
+                    at -= len(rest)  # a range, which may hold spaces
+                elif rest:
                     tokens.append(("word", rest))
-                elif at < len(text) and text[at] != '"' and text[at] != "(":
+                elif at < len(text) and text[at] not in '"(':
                     raise QueryError("a field without a term")
             else:
                 tokens.append(("word", m["word"]))
@@ -158,14 +216,25 @@ def parse(query: str) -> Group:
     return parser.group(False)
 
 
-def scored_terms(node: Group | Term, boost: float = 1.0) -> list[tuple[str, tuple[str, ...], float]]:
-    """(field, words, boost) of every clause that adds to a score, with field boosts applied."""
+def scored_terms(node: Node, boost: float = 1.0) -> list[tuple[str, tuple[str, ...], float]]:
+    """(field, words, boost) of every clause that adds to a score, with field boosts applied. Ranges add a constant."""
+    if isinstance(node, Range):
+        return []
     if isinstance(node, Term):
         fields = DEFAULT_FIELDS if node.field is None else (node.field,)
         return [(f, node.words, boost * node.boost * BOOSTS[f]) for f in fields if f in BOOSTS]
     return [t for n in (*node.must, *node.should) for t in scored_terms(n, boost * node.boost)]
 
 
-def words_of(node: Group | Term) -> list[str]:
+def range_boosts(node: Node, boost: float = 1.0) -> list[tuple[Range, float]]:
+    """The ranges that add to a score, each with what it adds where it matches."""
+    if isinstance(node, Range):
+        return [(node, boost * node.boost)]
+    if isinstance(node, Term):
+        return []
+    return [r for n in (*node.must, *node.should) for r in range_boosts(n, boost * node.boost)]
+
+
+def words_of(node: Node) -> list[str]:
     """The words to highlight."""
-    return list(dict.fromkeys(w for _, words, _ in scored_terms(node) for w in words))
+    return list(dict.fromkeys(w for _, words, _ in scored_terms(node) for w in words if isinstance(w, str)))
