@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,6 +124,93 @@ def frontier(seeds: DataFrame, links: DataFrame, max_pages: int = PAGES_PER_RUN)
     return seen
 
 
+FETCHED = ("fresh", "not_modified", "other_status")
+#: The longest that a throttled crawl waits before it asks again.
+LONGEST_WAIT = 120
+
+
+def followed(parsed: DataFrame) -> DataFrame:
+    """(source_url, target_url, pos): what a crawl visits next from fresh pages (url, url_prefix, final_url, canonical, links).
+
+    Where a page redirected to comes first (-2), then its canonical url (-1), then its links, each in prefix and once.
+    """
+    own = normalize_url("url")
+    redirect = normalize_url("final_url")
+    canonical = normalize_url("canonical")
+    within = lambda c, *others: F.when(in_prefix(c, F.col("url_prefix")) & ~reduce(Column.__or__, [c.eqNullSafe(o) for o in others]), c)
+    heads = F.array(F.struct(F.lit(-2).alias("pos"), within(redirect, own).alias("target_url")), F.struct(F.lit(-1).alias("pos"), within(canonical, own, redirect).alias("target_url")))
+    first = parsed.select(F.col("url").alias("source_url"), F.explode(heads).alias("h")).select("source_url", "h.target_url", "h.pos").filter("target_url is not null")
+    each = parsed.select("url", "url_prefix", F.posexplode("links").alias("pos", "l")).select(F.col("url").alias("source_url"), "url_prefix", normalize_url(F.col("l.url")).alias("target_url"), "pos")
+    links = each.filter(in_prefix(F.col("target_url"), F.col("url_prefix"))).select("source_url", "target_url", "pos")
+    return first.unionByName(links).groupBy("source_url", "target_url").agg(F.min("pos").alias("pos"))
+
+
+def crawl_runs(seeds: DataFrame, answers: DataFrame, links: DataFrame, max_pages: int = PAGES_PER_RUN, most: int = THROTTLED_MOST) -> DataFrame:
+    """(run, ord, level, url, outcome, throttled, waited): the visits of breadth-first crawls, each in its own order.
+
+    seeds: (run, url, pos). answers: (url, throttled, retry_after, outcome): how often a page answers 429 before it answers
+    otherwise. links: (source_url, target_url, pos), with redirects and canonical urls among them (see `followed`).
+
+    A throttled page is asked again at once, after retry_after or 1, 2, 4, 8 seconds; `most` throttled answers without a
+    page fetched between them end the run ("aborted"), as do `max_pages` pages fetched. Errors count for neither; a page
+    without an answer is one. Only fresh pages lead on. The runs go level by level, all at once: one join of a level's
+    fresh pages with their links, which are partitioned by source once, and one anti-join with the pages seen; order,
+    cap and throttling are windows over a run's level.
+    """
+    outgoing = links.select("source_url", F.col("target_url").alias("url"), "pos").repartition("source_url").persist()
+    order = Window.partitionBy("run").orderBy("_o")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    ok = F.col("outcome").isin(*FETCHED).cast("long")
+    so_far = lambda f, c, w: F.coalesce(f(c).over(w), F.lit(0))
+
+    def visited(queue: DataFrame, state: DataFrame, level: int) -> DataFrame:
+        asked = queue.join(answers, "url", "left").withColumn("outcome", F.coalesce("outcome", F.lit("error"))).withColumn("throttled", F.coalesce("throttled", F.lit(0)).cast("long"))
+        counted = asked.join(state, "run").withColumn("_good", ok).withColumn("_done", so_far(F.sum, "_good", earlier)).withColumn("_n", F.row_number().over(order))
+        # throttled answers since the last page fetched; what earlier levels left counts until the first page of this one
+        strip = Window.partitionBy("run", "_done").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+        hits = counted.withColumn("_hits", F.sum("throttled").over(strip) + F.when(F.col("_done") == 0, F.col("carry")).otherwise(0))
+        ends = hits.withColumn("_ends", (F.col("_hits") >= most).cast("int")).withColumn("_ended", so_far(F.max, "_ends", earlier))
+        here = ends.filter((F.col("_ended") == 0) & (F.col("fetched") + F.col("_done") < max_pages))
+        before, after = F.col("_hits") - F.col("throttled"), F.least(F.col("_hits"), F.lit(most - 1))
+        waits = F.when(F.col("retry_after").isNotNull(), (after - before) * F.least(F.col("retry_after"), F.lit(LONGEST_WAIT))).otherwise((F.pow(F.lit(2), after) - F.pow(F.lit(2), before)).cast("long"))
+        return here.select(
+            "run", (F.col("visits") + F.col("_n") - 1).cast("long").alias("ord"), F.lit(level).alias("level"), "url", F.when(F.col("_ends") == 1, "aborted").otherwise(F.col("outcome")).alias("outcome"), (after - before).alias("throttled"),
+            F.when(F.col("throttled") > 0, waits).otherwise(0).cast("long").alias("waited"), F.when((F.col("_good") == 1) & (F.col("_ends") == 0), 0).otherwise(F.col("_hits")).cast("long").alias("carry"),
+        )
+
+    def next_state(state: DataFrame, at: DataFrame) -> DataFrame:
+        new = at.groupBy("run").agg(F.count("*").alias("_v"), F.sum(ok).alias("_f"), F.max_by("carry", "ord").alias("_c"), F.max((F.col("outcome") == "aborted").cast("int")).alias("_a"))
+        left = state.join(new, "run").filter(F.col("_a") == 0)
+        return left.select("run", (F.col("visits") + F.col("_v")).alias("visits"), (F.col("fetched") + F.col("_f")).alias("fetched"), F.col("_c").alias("carry")).filter(F.col("fetched") < max_pages)
+
+    try:
+        zero = F.lit(0).cast("long")
+        state = seeds.select("run").distinct().select("run", zero.alias("visits"), zero.alias("fetched"), zero.alias("carry"))
+        queue = seeds.groupBy("run", "url").agg(F.min(F.struct(F.lit(0).cast("long").alias("ord"), F.col("pos"))).alias("_o"))
+        at, level = checkpointed(visited(queue, state, 0)), 0
+        seen = at
+        while not at.isEmpty():
+            level += 1
+            state = checkpointed(next_state(state, at))
+            fresh = at.filter("outcome = 'fresh'").join(state.select("run"), "run", "left_semi")
+            out = outgoing.join(fresh.select("run", F.col("url").alias("source_url"), "ord"), "source_url")
+            queue = out.groupBy("run", "url").agg(F.min(F.struct("ord", "pos")).alias("_o")).join(seen.select("run", "url"), ["run", "url"], "left_anti")
+            at = checkpointed(visited(queue, state, level))
+            seen = seen.unionByName(at)
+    finally:
+        outgoing.unpersist()
+    return seen.drop("carry")
+
+
+def run_ends(visits: DataFrame, max_pages: int = PAGES_PER_RUN) -> DataFrame:
+    """(run, fetched, errored, throttled, waited, ended): how each run of `crawl_runs` went and why it ended."""
+    good = F.col("outcome").isin(*FETCHED)
+    return visits.groupBy("run").agg(
+        F.count_if(good).alias("fetched"), F.count_if(~good & (F.col("outcome") != "aborted")).alias("errored"), F.sum("throttled").alias("throttled"), F.sum("waited").alias("waited"),
+        F.when(F.max(F.col("outcome") == "aborted"), "aborted").when(F.count_if(good) >= max_pages, "cap").otherwise("done").alias("ended"),
+    )
+
+
 def reached(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """(url, level): every page that the seeds (url) lead to by links (source_url, target_url), until no page is new.
 
