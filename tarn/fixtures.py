@@ -168,3 +168,51 @@ def upserts(spark: SparkSession, d: str) -> DataFrame:
 UPSERTS = """jobs AS (SELECT CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op, 'c' AS collection, 'https://u.example.org/' || user_id AS url, event_type AS title, props AS body,
   CAST(floor(epoch(ts)) AS BIGINT) AS indexed_at, sha256(props) AS content_hash, event_id AS seq FROM events),
 latest AS (SELECT * FROM jobs QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq DESC) = 1)"""
+
+
+def crawl_answers(spark: SparkSession, d: str) -> DataFrame:
+    """How each page answers a crawl: throttled some times first, then fresh, unchanged, another status, or no HTML."""
+    p, k = table(spark, d, "pages"), F.col("page_id")
+    throttled = F.when(k % 11 == 1, 2).when(k % 11 == 2, 4).when(k % 11 == 3, 1).otherwise(0).cast("long")
+    outcome = F.when(k % 7 == 3, "not_html").when(k % 7 == 5, "not_modified").when(k % 13 == 6, "other_status").otherwise("fresh")
+    return p.select("url", throttled.alias("throttled"), F.when(k % 4 == 0, k % 200).alias("retry_after"), outcome.alias("outcome"))
+
+
+def crawl_hops(spark: SparkSession, d: str) -> DataFrame:
+    """The links, before which every fifth page redirects to another and every third names a canonical one."""
+    p = table(spark, d, "pages").select("page_id", "url")
+    n = p.agg(F.count("*").alias("n"))
+    k = F.col("source_id")
+    heads = F.array(F.when(k % 5 == 0, F.struct(F.lit(-2).alias("pos"), ((k * 3 + 1) % F.col("n")).alias("page_id"))), F.when(k % 3 == 0, F.struct(F.lit(-1).alias("pos"), ((k * 5 + 2) % F.col("n")).alias("page_id"))))
+    extra = p.select(F.col("page_id").alias("source_id"), F.col("url").alias("source_url")).crossJoin(F.broadcast(n)).select("source_id", "source_url", F.explode(heads).alias("h")).select("source_url", "h.pos", "h.page_id").filter("page_id is not null")
+    extra = extra.join(p.withColumnRenamed("url", "target_url"), "page_id").select("source_url", "target_url", "pos")
+    every = extra.unionByName(links(spark, d).select("source_url", "target_url", "pos"))
+    return every.groupBy("source_url", "target_url").agg(F.min("pos").alias("pos"))
+
+
+CRAWL_ANSWERS = """answers AS (SELECT page_id, CAST(CASE page_id % 11 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 1 ELSE 0 END AS BIGINT) AS throttled, CASE WHEN page_id % 4 = 0 THEN page_id % 200 END AS retry_after,
+  CASE WHEN page_id % 7 = 3 THEN 'not_html' WHEN page_id % 7 = 5 THEN 'not_modified' WHEN page_id % 13 = 6 THEN 'other_status' ELSE 'fresh' END AS outcome FROM pages),
+hops AS (SELECT page_id AS source_id, (page_id * 3 + 1) % n AS target_id, -2 AS pos FROM pages, (SELECT count(*) AS n FROM pages) WHERE page_id % 5 = 0 UNION ALL SELECT page_id, (page_id * 5 + 2) % n, -1 FROM pages, (SELECT count(*) AS n FROM pages) WHERE page_id % 3 = 0
+  UNION ALL SELECT page_id, (7 * page_id + 13 * pos) % n, pos FROM pages, (SELECT count(*) AS n FROM pages), (SELECT unnest([1, 2, 3]) AS pos))"""
+
+
+def gossip_answers(spark: SparkSession, d: str) -> DataFrame:
+    """What each peer tells in each of three rounds: four engines, some of them its own to tell alone."""
+    s = table(spark, d, "supplier")
+    n, k = s.agg(F.max("s_suppkey").alias("n")), F.col("s_suppkey")
+    rows = s.crossJoin(F.broadcast(n)).select(k.alias("p"), "n", F.explode(F.array(*[F.lit(r) for r in (1, 2, 3)])).alias("round"))
+    p, r = F.col("p"), F.col("round")
+    rows = rows.select("p", "round", F.explode(F.array(p, p * 3 % F.col("n") + 1, p * 7 % F.col("n") + 1, 2 * F.col("n") + p * r)).alias("e")).distinct()
+    text = lambda x: F.col(x).cast("string")
+    return rows.select("round", F.concat(F.lit("https://peer"), text("p"), F.lit(".example.org")).alias("peer"), F.concat(F.lit("https://e"), text("e"), F.lit(".example.org")).alias("url"), F.concat(F.lit("by "), text("p"), F.lit(" in "), text("round")).alias("name"), text("e").alias("description"), ((F.col("e") * 5 + p) % 1000).alias("first_seen"), ((F.col("e") * 13 + p * r * 7) % 6000).alias("last_seen"))
+
+
+def gossip_came(spark: SparkSession, d: str) -> DataFrame:
+    """(round, peer) of the answers that came."""
+    return gossip_answers(spark, d).withColumn("p", F.regexp_extract("peer", "peer([0-9]+)", 1).cast("int")).filter("(p + round) % 4 <> 0").select("round", "peer").distinct()
+
+
+GOSSIP = """nodes AS (SELECT s_suppkey AS pos, 'https://peer' || s_suppkey || '.example.org' AS url, s_acctbal > 0 AS enabled FROM supplier), rounds AS (SELECT unnest([1, 2, 3]) AS round, unnest([2500, 4000, 5500]) AS tm),
+asked AS (SELECT CAST(round AS INTEGER) AS round, CAST(pos AS BIGINT) AS pos, url AS peer, CAST(tm AS BIGINT) AS tm, (pos + round) % 4 <> 0 AS ok FROM nodes, rounds WHERE enabled),
+told0 AS (SELECT DISTINCT p, round, unnest([p, p * 3 % n + 1, p * 7 % n + 1, 2 * n + p * round]) AS e FROM (SELECT s_suppkey AS p, (SELECT max(s_suppkey) FROM supplier) AS n FROM supplier), (SELECT unnest([1, 2, 3]) AS round)),
+told AS (SELECT CAST(round AS INTEGER) AS round, 'https://peer' || p || '.example.org' AS peer, 'https://e' || e || '.example.org' AS url, 'by ' || p || ' in ' || round AS name, CAST(e AS VARCHAR) AS description, (e * 5 + p) % 1000 AS first_seen, (e * 13 + p * round * 7) % 6000 AS last_seen FROM told0)"""

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from tarn import fixtures as fx
 from tarn.fixtures import NOW
 from tarn.functions import html, scalars, text, urls
-from tarn.operators import admin, crawl, federation, index, limits, outlinks, ranking, schedule, search
+from tarn.operators import admin, crawl, federation, index, limits, outlinks, ranking, schedule, search, segments, standing
 from tarn.operators.ranking import RankingConfig
-from tarn.sources import envelopes, exchange, robots
+from tarn.sources import envelopes, exchange, lines, robots
 from tarn.streaming import indexer, limiter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,18 @@ def _any(words: tuple[str, ...]) -> str:
     return " OR ".join(f"list_contains({f}, '{w}')" for w in words for f in ("tt", "bt"))
 
 
+_STANDING: dict[tuple[str, str], standing.StandingIndex] = {}
+
+
+def _standing(spark: SparkSession, d: str) -> standing.StandingIndex:
+    """The inverted index of the documents, written when it is first asked for in a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STANDING:
+        root = f"{_scratch(spark)}/{key[0]}-standing-{len(_STANDING)}"
+        _STANDING[key] = standing.StandingIndex(spark, root).build(fx.docs(spark, d))
+    return _STANDING[key]
+
+
 def _found(df: DataFrame) -> DataFrame:
     return _rounded(df.select("url", "bm25"), "bm25")
 
@@ -87,48 +99,89 @@ def term_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_bm25(WORDS, _any(WORDS), title=False).replace(_any(WORDS), ' OR '.join(f'''list_contains(bt, '{w}')''' for w in WORDS))} SELECT url, round(bm25, 6) AS bm25 FROM hits")
 def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
-    """An OR query over a standing inverted index of the bodies."""
-    docs = fx.docs(spark, d)
-    found = search.search_postings(search.postings(docs, "body"), search.field_stats(docs, "body"), list(WORDS))
-    return _found(found)
+    """An OR query over the bodies alone."""
+    return _found(_standing(spark, d).candidates(" ".join(f"body:{w}" for w in WORDS)))
 
 
 @query(f"WITH {_bm25(WORDS, _any(WORDS))} SELECT url, round(bm25, 6) AS bm25 FROM hits")
 def bm25_title_boost(spark: SparkSession, d: str) -> DataFrame:
-    return _found(search.candidates(fx.docs(spark, d), " ".join(WORDS)))
+    return _found(_standing(spark, d).candidates(" ".join(WORDS)))
 
 
 @query(f"WITH {_bm25(('the',), _any(('the',)))} SELECT url, round(bm25, 6) AS bm25 FROM hits")
 def bm25_single_term(spark: SparkSession, d: str) -> DataFrame:
-    return _found(search.candidates(fx.docs(spark, d), "the"))
+    return _found(_standing(spark, d).candidates("the"))
 
 
 @query("WITH " + _bm25(WORDS, _any(WORDS), "collection = 'src3'") + " SELECT url, round(bm25, 6) AS bm25 FROM hits")
 def search_collection_scoped(spark: SparkSession, d: str) -> DataFrame:
-    return _found(search.candidates(fx.docs(spark, d), " ".join(WORDS), "src3"))
+    return _found(_standing(spark, d).candidates(" ".join(WORDS), "src3"))
 
 
 @query("WITH " + _bm25(("from",), "host = 'en.src1.example.org'") + " SELECT url, round(bm25, 6) AS bm25 FROM hits")
 def search_site_filter(spark: SparkSession, d: str) -> DataFrame:
     """With a required clause the words only rank."""
-    return _found(search.candidates(fx.docs(spark, d), "from site:en.src1.example.org"))
+    return _found(_standing(spark, d).candidates("from site:en.src1.example.org"))
 
 
 @query("WITH " + _bm25(("rights", "from"), f"({_any(('rights', 'from'))}) AND NOT ({_any(('reserved',))})") + " SELECT url, round(bm25, 6) AS bm25 FROM hits")
 def search_must_not(spark: SparkSession, d: str) -> DataFrame:
-    return _found(search.candidates(fx.docs(spark, d), "rights from -reserved"))
+    return _found(_standing(spark, d).candidates("rights from -reserved"))
 
 
 @query("WITH " + _bm25(("rights", "from"), f"({_any(('rights',))}) AND ({_any(('from',))})") + " SELECT url, round(bm25, 6) AS bm25 FROM hits")
 def search_boolean_and(spark: SparkSession, d: str) -> DataFrame:
-    return _found(search.candidates(fx.docs(spark, d), "rights AND from"))
+    return _found(_standing(spark, d).candidates("rights AND from"))
 
 
 @query(f"WITH {fx.TOKENIZED}, x AS (SELECT doc_id, url, unnest(bt) AS t, generate_subscripts(bt, 1) AS p FROM tok), h AS (SELECT DISTINCT a.doc_id, a.url FROM x a JOIN x b ON a.doc_id = b.doc_id AND b.p = a.p + 1 WHERE a.t = 'of' AND b.t = 'the') SELECT doc_id, url FROM h")
 def phrase_match(spark: SparkSession, d: str) -> DataFrame:
+    found = _standing(spark, d).candidates('body:"of the"', limit=None)
+    return found.select(F.substring_index("url", "/", -1).cast("long").alias("doc_id"), "url")
+
+
+@query(_SQL["bm25_title_boost"])
+def scan_title_boost(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a scan of all documents, for a corpus that is asked once."""
+    return _found(search.candidates(fx.docs(spark, d), " ".join(WORDS)))
+
+
+@query(_SQL["search_must_not"])
+def scan_must_not(spark: SparkSession, d: str) -> DataFrame:
+    return _found(search.candidates(fx.docs(spark, d), "rights from -reserved"))
+
+
+@query(_SQL["phrase_match"])
+def scan_phrase(spark: SparkSession, d: str) -> DataFrame:
     return search.candidates(fx.docs(spark, d), 'body:"of the"', limit=None).select("doc_id", "url")
 
 
+_RANGE = "list_filter(bt, lambda t: t >= 'license' AND t < 'licf') <> []"
+_PREFIX = "SELECT DISTINCT a.doc_id FROM x a JOIN x b ON a.doc_id = b.doc_id AND b.p = a.p + 1 WHERE a.t = 'of' AND starts_with(b.t, 'th')"
+
+
+@query(f"WITH {_bm25(('from',), f'{_any(("from",))} OR {_RANGE}', limit=None)} SELECT url, round(bm25 + CASE WHEN {_RANGE} THEN 1 ELSE 0 END, 6) AS bm25 FROM hits")
+def search_range(spark: SparkSession, d: str) -> DataFrame:
+    """A word, or any term between two ends, which adds a constant."""
+    return _found(_standing(spark, d).candidates("from body:[license TO licf}", limit=None))
+
+
+@query(_SQL["search_range"])
+def scan_range(spark: SparkSession, d: str) -> DataFrame:
+    return _found(search.candidates(fx.docs(spark, d), "from body:[license TO licf}", limit=None))
+
+
+@query(f"WITH {fx.TOKENIZED}, x AS (SELECT doc_id, unnest(bt) AS t, generate_subscripts(bt, 1) AS p FROM tok), h AS ({_PREFIX}), n AS (SELECT count(*) AS n FROM h), st AS (SELECT count(*) AS docs, avg(len(bt)) AS avg_bt FROM tok) SELECT url, round(ln(1 + (docs - n + CAST(0.5 AS DOUBLE)) / (n + CAST(0.5 AS DOUBLE))) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(bt) / avg_bt)), 6) AS bm25 FROM tok SEMI JOIN h USING (doc_id), n, st")
+def search_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """A phrase whose last word is only begun."""
+    return _found(_standing(spark, d).candidates('body:"of th"*', limit=None))
+
+
+@query(_SQL["search_prefix"])
+def scan_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return _found(search.candidates(fx.docs(spark, d), 'body:"of th"*', limit=None))
+
+
 @query(f"WITH {fx.DOCS} SELECT collection, count(*) AS documents FROM docs GROUP BY collection")
 def docs_per_collection(spark: SparkSession, d: str) -> DataFrame:
     return fx.docs(spark, d).groupBy("collection").agg(F.count("*").alias("documents"))
@@ -147,7 +200,7 @@ def document_scan(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def search_snippets(spark: SparkSession, d: str) -> DataFrame:
     """The whole answer of a search, snippets included."""
-    return _rounded(search.search(fx.docs(spark, d), " ".join(WORDS), NOW, config=CONFIG), "score")
+    return _rounded(_standing(spark, d).search(" ".join(WORDS), NOW, config=CONFIG), "score")
 
 
 @query(f"WITH {fx.DOCS} SELECT doc_id, replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped, regexp_replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '(the)', '<mark>\\1</mark>', 'gi') AS marked FROM docs")
@@ -169,7 +222,7 @@ _FINAL = f"bm25 * 1.25 * power(CAST(0.5 AS DOUBLE), (CAST({NOW} - indexed_at AS
 
 @query(f"WITH {_bm25(WORDS, _any(WORDS), limit=None)} SELECT url, round({_FINAL}, 6) AS score FROM hits")
 def rank_full_formula(spark: SparkSession, d: str) -> DataFrame:
-    found = search.candidates(fx.docs(spark, d), " ".join(WORDS), limit=None)
+    found = _standing(spark, d).candidates(" ".join(WORDS), limit=None)
     score = ranking.final_score(F.col("bm25"), F.lit("local"), urls.ranking_domain("url"), F.col("indexed_at"), NOW, CONFIG)
     return found.select("url", F.round(score, 6).alias("score"))
 
@@ -177,7 +230,7 @@ def rank_full_formula(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_bm25(WORDS, _any(WORDS), limit=100)} SELECT title, url, 'local' AS source, indexed_at AS timestamp, round({_FINAL}, 6) AS score FROM hits ORDER BY {_FINAL} DESC, url LIMIT 25")
 def rerank_two_stage(spark: SparkSession, d: str) -> DataFrame:
     """100 candidates by BM25, 25 of them by the full formula."""
-    return _rounded(search.search(fx.docs(spark, d), " ".join(WORDS), NOW, config=CONFIG).drop("snippet_html"), "score")
+    return _rounded(_standing(spark, d).search(" ".join(WORDS), NOW, config=CONFIG).drop("snippet_html"), "score")
 
 
 @query(f"WITH {fx.COLLECTIONS} SELECT id AS collection_id, CAST(CASE WHEN CAST(id AS INTEGER) % 3 = 0 THEN 30.0 ELSE 90.0 END AS DOUBLE) AS freshness_half_life_days, CAST(CASE WHEN CAST(id AS INTEGER) % 6 = 0 THEN 2.5 WHEN CAST(id AS INTEGER) % 3 = 0 THEN -1 ELSE 1.0 END AS DOUBLE) AS local_weight FROM collections")
@@ -365,6 +418,32 @@ def crawl_frontier(spark: SparkSession, d: str) -> DataFrame:
     return crawl.reached(seeds, fx.links(spark, d).select("source_url", "target_url"))
 
 
+_RUNS_SQL = f"""WITH RECURSIVE {fx.CRAWL_ANSWERS}, nxt AS (SELECT source_id, list(target_id ORDER BY pos) AS l FROM (SELECT source_id, target_id, min(pos) AS pos FROM hops GROUP BY source_id, target_id) GROUP BY source_id),
+f(run, ord, id, queue, seen, fetched, carry, outcome, throttled, waited, dead) AS (SELECT page_id, CAST(-1 AS BIGINT), CAST(NULL AS BIGINT), [page_id], [page_id], CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', CAST(0 AS BIGINT), CAST(0 AS BIGINT), FALSE FROM pages
+ UNION ALL SELECT run, ord + 1, page_id, queue[2:] || more, seen || more, fetched + CASE WHEN good THEN 1 ELSE 0 END, CASE WHEN good THEN 0 ELSE hits END, CASE WHEN over THEN 'aborted' ELSE answer END, least(hits, 4) - carry,
+  CASE WHEN throttled = 0 THEN 0 WHEN retry_after IS NOT NULL THEN (least(hits, 4) - carry) * least(retry_after, 120) ELSE CAST(power(2, least(hits, 4)) - power(2, carry) AS BIGINT) END, over
+ FROM (SELECT *, CASE WHEN good AND answer = 'fresh' THEN list_filter(l, lambda x: NOT list_contains(seen, x)) ELSE [] END AS more FROM (SELECT *, NOT over AND answer IN ('fresh', 'not_modified', 'other_status') AS good FROM (
+  SELECT f.run, f.ord, f.queue, f.seen, f.fetched, f.carry, a.page_id, a.throttled, a.retry_after, a.outcome AS answer, n.l, f.carry + a.throttled AS hits, f.carry + a.throttled >= 5 AS over FROM f JOIN answers a ON a.page_id = f.queue[1] LEFT JOIN nxt n ON n.source_id = a.page_id WHERE NOT f.dead AND f.fetched < 25)))),
+visits AS (SELECT run, ord, url, outcome, throttled, waited FROM f JOIN pages ON page_id = id WHERE ord >= 0)"""
+
+
+@query(f"{_RUNS_SQL} SELECT * FROM visits")
+def crawl_run(spark: SparkSession, d: str) -> DataFrame:
+    """A crawl from every page, of 25 pages at most, with throttled answers, errors, redirects and canonical urls, in order."""
+    return _visits(spark, d).drop("level")
+
+
+def _visits(spark: SparkSession, d: str) -> DataFrame:
+    seeds = fx.table(spark, d, "pages").select(F.col("page_id").alias("run"), "url", F.lit(0).alias("pos"))
+    return crawl.crawl_runs(seeds, fx.crawl_answers(spark, d), fx.crawl_hops(spark, d), 25)
+
+
+@query(f"{_RUNS_SQL}, r AS (SELECT run, count(*) FILTER (outcome IN ('fresh', 'not_modified', 'other_status')) AS fetched, count(*) FILTER (outcome = 'not_html') AS errored, CAST(sum(throttled) AS BIGINT) AS throttled, CAST(sum(waited) AS BIGINT) AS waited, bool_or(outcome = 'aborted') AS gone FROM visits GROUP BY run) SELECT run, fetched, errored, throttled, waited, CASE WHEN gone THEN 'aborted' WHEN fetched >= 25 THEN 'cap' ELSE 'done' END AS ended FROM r")
+def crawl_run_ends(spark: SparkSession, d: str) -> DataFrame:
+    """How each of those crawls went: all pages reached, the cap, or five throttled answers between two pages."""
+    return crawl.run_ends(_visits(spark, d), 25)
+
+
 @query(f"WITH RECURSIVE {fx.REQUESTS}, r AS (SELECT key, id, now, ok, row_number() OVER (PARTITION BY key ORDER BY id) AS n, row_number() OVER (PARTITION BY key, ok ORDER BY id) AS m FROM requests), i AS (SELECT key, id, row_number() OVER (PARTITION BY key, n - m ORDER BY id) AS run FROM r WHERE NOT ok) SELECT key, min(id) AS aborted_at FROM i WHERE run >= 3 GROUP BY key")
 def throttle_abort(spark: SparkSession, d: str) -> DataFrame:
     """Where three throttled answers in a row end a crawl; errors stand in for them."""
@@ -418,23 +497,87 @@ def commit_journal(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {fx.UPSERTS} SELECT collection, url, 'u.example.org' AS host, title, body, indexed_at FROM latest WHERE op = 'upsert'")
 def indexer_microbatch(spark: SparkSession, d: str) -> DataFrame:
     """The events as a file stream through the indexer, which is stopped and started again half-way; then what a reader sees."""
-    root = f"{_scratch(spark)}/{spark.sparkContext.applicationId}-{len(_STREAMS)}"
-    _STREAMS.append(root)
+    return _indexed(spark, d)[0].read()
+
+
+def _indexed(spark: SparkSession, d: str) -> tuple[segments.SegmentStore, indexer.InFlight]:
+    root, inflight = _root(spark), indexer.InFlight()
     rows = fx.upserts(spark, d)
     half = rows.agg(F.max("seq")).first()[0] // 2
-    store = index.SnapshotStore(spark, f"{root}/index")
+    store = segments.SegmentStore(spark, f"{root}/index")
     for part in (rows.filter(F.col("seq") <= half), rows.filter(F.col("seq") > half)):
         part.write.mode("append").parquet(f"{root}/jobs")
-        jobs = spark.readStream.schema(rows.schema).parquet(f"{root}/jobs")
-        indexer.indexer(jobs, store, f"{root}/checkpoint", available_now=True).awaitTermination()
-    return store.read()
+        indexer.indexer(indexer.job_files(spark, f"{root}/jobs", rows.schema), store, f"{root}/checkpoint", available_now=True, inflight=inflight).awaitTermination()
+    return store, inflight
+
+
+@query("SELECT count(*) AS jobs, CAST(0 AS BIGINT) AS inflight FROM events")
+def indexer_drained(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs that commits count, and jobs left in flight, once the queue is empty."""
+    store, inflight = _indexed(spark, d)
+    return spark.createDataFrame([(store.manifest().jobs, inflight.count)], "jobs long, inflight long")
+
+
+_COMMITS = f"""RECURSIVE {fx.REQUESTS}, j AS (SELECT key AS writer, now AS tm, CASE WHEN ok THEN 'upsert' ELSE 'delete' END AS op, row_number() OVER (PARTITION BY key ORDER BY now, id) AS i, count(*) OVER (PARTITION BY key) AS n FROM requests),
+f(writer, i, tm, pending, deadline, commits) AS (SELECT writer, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), min(tm) + 172800, CAST([] AS STRUCT(reason VARCHAR, tm BIGINT, jobs BIGINT, deletes BIGINT)[]) FROM j GROUP BY writer
+ UNION ALL SELECT writer, i, tm, CASE WHEN now_reason IS NULL AND i < n THEN waiting ELSE 0 END, CASE WHEN now_reason IS NOT NULL THEN tm + 172800 ELSE late END,
+  CASE WHEN aged THEN [struct_pack(reason := 'age', tm := deadline, jobs := pending, deletes := CAST(0 AS BIGINT))] ELSE [] END || CASE WHEN now_reason IS NOT NULL THEN [struct_pack(reason := now_reason, tm := tm, jobs := waiting, deletes := CAST(CASE WHEN op = 'delete' THEN 1 ELSE 0 END AS BIGINT))] WHEN i = n THEN [struct_pack(reason := 'closed', tm := tm, jobs := waiting, deletes := CAST(0 AS BIGINT))] ELSE [] END
+ FROM (SELECT *, CASE WHEN op = 'delete' THEN 'delete' WHEN waiting >= 4 THEN 'size' END AS now_reason FROM (SELECT j.writer, j.i, j.tm, j.op, j.n, f.pending, f.deadline, j.tm > f.deadline AND f.pending > 0 AS aged, CASE WHEN j.tm > f.deadline THEN 1 ELSE f.pending + 1 END AS waiting,
+  CASE WHEN j.tm > f.deadline THEN f.deadline + CAST(ceil((j.tm - f.deadline) / 172800) AS BIGINT) * 172800 ELSE f.deadline END AS late FROM f JOIN j ON j.writer = f.writer AND j.i = f.i + 1))),
+u AS (SELECT writer, i, unnest(commits) AS c, generate_subscripts(commits, 1) AS k FROM f),
+commits AS (SELECT writer, row_number() OVER (PARTITION BY writer ORDER BY i, k) AS number, c.reason AS reason, c.tm AS tm, c.jobs AS jobs, c.deletes AS deletes FROM u)"""
+
+
+def _jobs(spark: SparkSession, d: str) -> DataFrame:
+    return fx.requests(spark, d).select(F.col("key").alias("writer"), F.col("now").alias("at"), F.col("id").alias("seq"), F.when(F.col("ok"), "upsert").otherwise("delete").alias("op"))
+
+
+@query(f'WITH {_COMMITS} SELECT writer, number, reason, tm AS "at", jobs, deletes FROM commits')
+def indexer_triggers(spark: SparkSession, d: str) -> DataFrame:
+    """When writers commit that wait for 4 jobs or two days, but for no delete."""
+    return limits.job_commits(_jobs(spark, d), 4, 172_800)
+
+
+@query(f"WITH {_COMMITS}, e AS (SELECT writer, tm, count(*) AS q, 0 AS c FROM j GROUP BY writer, tm UNION ALL SELECT writer, tm, 0, jobs FROM commits), t AS (SELECT writer, tm, sum(q) AS q, sum(c) AS c FROM e GROUP BY writer, tm), r AS (SELECT writer, tm, CAST(sum(q) OVER w AS BIGINT) AS queued, CAST(sum(c) OVER w AS BIGINT) AS committed FROM t WINDOW w AS (PARTITION BY writer ORDER BY tm)) SELECT writer, tm AS \"at\", queued, committed, queued - committed AS inflight FROM r")
+def indexer_inflight(spark: SparkSession, d: str) -> DataFrame:
+    jobs = _jobs(spark, d)
+    return limits.inflight(jobs, limits.job_commits(jobs, 4, 172_800))
+
+
+@query(f"WITH {fx.UPSERTS}, m AS (SELECT max(seq) AS m FROM jobs), p AS (SELECT *, CAST(floor((seq * 6) / (m + 1)) AS BIGINT) + 1 AS commit FROM jobs, m), l AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY commit, url ORDER BY seq DESC) = 1) SELECT commit, (SELECT count(*) FROM p q WHERE q.commit = l.commit) AS jobs, count(*) AS rows, count(*) FILTER (op = 'delete') AS deletes FROM l GROUP BY commit")
+def segment_log(spark: SparkSession, d: str) -> DataFrame:
+    """What six commits wrote: each its own batch's last jobs, whatever the index held."""
+    root, rows = _root(spark), fx.upserts(spark, d)
+    store = segments.SegmentStore(spark, f"{root}/index")
+    top = rows.agg(F.max("seq")).first()[0]
+    numbered = rows.withColumn("commit", F.floor(F.col("seq") * 6 / (top + 1)) + 1)
+    for k in range(1, 7):
+        store.commit(numbered.filter(F.col("commit") == k).drop("commit"), batch=k)
+    counts = spark.createDataFrame([(s.version, s.jobs) for s in store.manifest().segments], "commit long, jobs long")
+    written = store.rows().groupBy(F.col("version").alias("commit")).agg(F.count("*").alias("rows"), F.count_if(F.col("op") == "delete").alias("deletes"))
+    return counts.join(written, "commit")
 
 
 _STREAMS: list[str] = []
 
 
 def _scratch(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarn-")).rstrip("/")
+    """A folder that all executors share; only a local master may have one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if not folder:
+        folder = _LOCAL["folder"] = _LOCAL.get("folder") or tempfile.mkdtemp(prefix="tarn-")
+    return folder.rstrip("/")
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def _root(spark: SparkSession) -> str:
+    root = f"{_scratch(spark)}/{spark.sparkContext.applicationId}-{len(_STREAMS)}"
+    _STREAMS.append(root)
+    return root
 
 
 # ---------------------------------------------------------------- federation
@@ -523,8 +666,7 @@ def auth_lockout(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, rows: DataFrame, parts: int, order: str) -> tuple[DataFrame, str]:
-    root = f"{_scratch(spark)}/{spark.sparkContext.applicationId}-{len(_STREAMS)}"
-    _STREAMS.append(root)
+    root = _root(spark)
     for k, piece in enumerate(rows.randomSplit([1.0])[:1] if parts == 1 else [rows]):
         piece.repartitionByRange(1, order).write.parquet(f"{root}/in")
     return spark.readStream.schema(rows.schema).parquet(f"{root}/in"), root
@@ -590,6 +732,48 @@ def import_report(spark: SparkSession, d: str) -> DataFrame:
     return exchange.import_report(export, known)
 
 
+def _reimported(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The export written as lines, read again and imported where every other collection and peer is known."""
+    tables, path = _tables(spark, d), f"{_root(spark)}/export"
+    lines.write_lines(lines.export_lines(tables, fx.docs(spark, d), "2023-11-14T22:13:20+00:00", "https://self.example.org"), path)
+    known = tables | {"collections": tables["collections"].filter("cast(id as int) % 2 = 0"), "node_peers": tables["node_peers"].filter("cast(id as int) % 2 = 0")}
+    return lines.imported(lines.checked(lines.read_lines(spark, path)), known)
+
+
+_NEW = f"{fx.COLLECTIONS}, {fx.TARGETS}, {fx.CRAWLED}, {fx.DOCS}, {fx.PEERS}, new AS (SELECT * FROM collections WHERE CAST(id AS INTEGER) % 2 = 1)"
+
+
+@query(f"WITH {_NEW} SELECT collection, url, title, sha256(body) AS body_sha256, indexed_at, sha256(body) AS content_hash FROM docs WHERE collection IN (SELECT name FROM new)")
+def import_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents after an export and an import, content and all."""
+    return _reimported(spark, d)["documents"].select("collection", "url", "title", F.sha2("body", 256).alias("body_sha256"), "indexed_at", "content_hash")
+
+
+@query(f"""WITH {_NEW} SELECT 'collection' AS kind, name AS owner, name AS key, description AS value FROM new
+UNION ALL SELECT 'target', new.name, url_prefix, concat_ws(' ', recrawl_interval_s, CASE WHEN enabled THEN 1 ELSE 0 END) FROM targets t JOIN new ON t.collection_id = new.id
+UNION ALL SELECT 'page', new.name, c.url, concat_ws(' ', url_prefix, last_status, content_hash, {NOW}) FROM crawled c JOIN targets t ON t.id = c.target_id JOIN new ON t.collection_id = new.id
+UNION ALL SELECT 'node', url, url, concat_ws(' ', name, CASE WHEN enabled THEN 1 ELSE 0 END) FROM nodes WHERE CAST(id AS INTEGER) % 2 = 1
+UNION ALL SELECT 'peer', local_collection, nodes.url, concat_ws(' ', remote_collection, CAST(source_weight * 10 AS BIGINT), CASE WHEN subs.enabled THEN 1 ELSE 0 END) FROM subs JOIN nodes ON nodes.id = node_peer_id WHERE local_collection IN (SELECT name FROM collections)""")
+def import_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All other rows that the import adds, each with its owner's name."""
+    got, tables = _reimported(spark, d), _tables(spark, d)
+    owner = got["collections"].select(F.col("id").alias("collection_id"), F.col("name").alias("owner"))
+    prefix = got["crawl_targets"].select(F.col("id").alias("target_id"), "url_prefix")
+    every = tables["node_peers"].filter("cast(id as int) % 2 = 0").select("id", "url").unionByName(got["node_peers"].select("id", "url"))
+    text = lambda *c: F.concat_ws(" ", *[F.col(x).cast("string") if isinstance(x, str) else x for x in c]).alias("value")
+    rows = [
+        got["collections"].select(F.lit("collection").alias("kind"), F.col("name").alias("owner"), F.col("name").alias("key"), F.col("description").alias("value")),
+        got["crawl_targets"].join(owner, "collection_id").select(F.lit("target").alias("kind"), "owner", F.col("url_prefix").alias("key"), text("recrawl_interval_s", "enabled")),
+        got["crawled_pages"].join(owner, "collection_id").join(prefix, "target_id").select(F.lit("page").alias("kind"), "owner", F.col("url").alias("key"), text("url_prefix", "last_status", "content_hash", "last_crawled_at")),
+        got["node_peers"].select(F.lit("node").alias("kind"), F.col("url").alias("owner"), F.col("url").alias("key"), text("name", "enabled")),
+        got["collection_peers"].join(every, F.col("node_peer_id") == F.col("id")).select(F.lit("peer").alias("kind"), F.col("local_collection").alias("owner"), F.col("url").alias("key"), text("remote_collection", (F.col("source_weight") * 10).cast("long").cast("string"), "enabled")),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 @query(f"WITH {fx.TARGETS}, {fx.CRAWLED} SELECT 'crawl_targets' AS name, count(*) AS n FROM targets WHERE collection_id NOT IN ('1', '2') UNION ALL SELECT 'crawled_pages', count(*) FROM crawled JOIN targets ON targets.id = target_id WHERE collection_id NOT IN ('1', '2') UNION ALL SELECT 'collections', count(*) - 2 FROM nation")
 def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     tables = _tables(spark, d)
@@ -602,7 +786,7 @@ def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
 def search_events(spark: SparkSession, d: str) -> DataFrame:
     """A federated search as the stream of events that a client gets."""
     peers = federation.active_peers(fx.subscriptions(spark, d), fx.nodes(spark, d))
-    local = search.search(fx.docs(spark, d), " ".join(WORDS), NOW, config=CONFIG)
+    local = _standing(spark, d).search(" ".join(WORDS), NOW, config=CONFIG)
     remote = federation.peer_results(fx.answers(spark, d), peers)
     ends = remote.groupBy("source").agg(F.max("elapsed_ms").alias("elapsed_ms")).withColumn("error", F.lit(None).cast("string"))
     return envelopes.event_stream(local, remote, ends)
@@ -610,7 +794,7 @@ def search_events(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def search_json(spark: SparkSession, d: str) -> DataFrame:
-    return envelopes.json_answer(search.search(fx.docs(spark, d), " ".join(WORDS), NOW, config=CONFIG), 0)
+    return envelopes.json_answer(_standing(spark, d).search(" ".join(WORDS), NOW, config=CONFIG), 0)
 
 
 # ---------------------------------------------------------------- schedules and changes
@@ -642,6 +826,42 @@ def gossip_round(spark: SparkSession, d: str) -> DataFrame:
     return schedule.gossip_round(fx.engines(spark, d, "local"), [inc, inc], 2500)[0]
 
 
+_GOSSIP = f"""WITH RECURSIVE {fx.ENGINES}, {fx.GOSSIP}, heard AS (SELECT a.url, a.name, a.description, a.first_seen, a.last_seen, x.round, x.pos, x.tm FROM told a JOIN asked x USING (round, peer) WHERE x.ok),
+e AS (SELECT url, name, description, first_seen, last_seen, 0 AS round, CAST(0 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS tm FROM lo UNION ALL SELECT * FROM heard), n AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY round, pos) AS i FROM e),
+m(url, i, name, description, first_seen, last_seen, joined_round, joined_pos) AS (SELECT url, i, name, description, first_seen, CASE WHEN tm IS NULL THEN last_seen ELSE greatest(last_seen, tm) END, CASE WHEN tm IS NOT NULL THEN round END, CASE WHEN tm IS NOT NULL THEN pos END FROM n WHERE i = 1
+ UNION ALL SELECT m.url, n.i, CASE WHEN n.last_seen >= m.last_seen THEN n.name ELSE m.name END, CASE WHEN n.last_seen >= m.last_seen THEN n.description ELSE m.description END, least(m.first_seen, n.first_seen), greatest(m.last_seen, n.last_seen, n.tm), m.joined_round, m.joined_pos FROM m JOIN n ON n.url = m.url AND n.i = m.i + 1),
+merged AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY url ORDER BY i DESC) = 1),
+log AS (SELECT x.round, x.pos, x.peer, x.tm, x.ok, CASE WHEN ok THEN (SELECT count(*) FROM lo) + (SELECT count(*) FROM merged g WHERE g.joined_round < x.round OR g.joined_round = x.round AND g.joined_pos < x.pos) ELSE 0 END AS sent, CASE WHEN ok THEN (SELECT count(*) FROM told t WHERE t.round = x.round AND t.peer = x.peer) ELSE 0 END AS received FROM asked x)"""
+
+
+def _gossiped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(exchanges, directory, log) of three rounds with peers of which some fail."""
+    told, lo = fx.gossip_answers(spark, d), fx.engines(spark, d, "local")
+    came = fx.gossip_came(spark, d)
+    peers = fx.nodes(spark, d).withColumn("pos", F.col("id").cast("long"))
+    asked = schedule.exchanges(peers, came, [2500, 4000, 5500])
+    directory = schedule.gossip_heard(lo, asked, told)
+    return asked, directory, schedule.gossip_log(lo, asked, told, directory)
+
+
+@query(f"{_GOSSIP} SELECT url, name, description, first_seen, last_seen FROM merged")
+def gossip_directory(spark: SparkSession, d: str) -> DataFrame:
+    """The directory after three rounds with every enabled peer."""
+    return _gossiped(spark, d)[1].select("url", "name", "description", "first_seen", "last_seen")
+
+
+@query(f"{_GOSSIP} SELECT round, count(*) AS attempted, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed, CAST(sum(sent) AS BIGINT) AS sent, CAST(sum(received) AS BIGINT) AS received FROM log GROUP BY round")
+def gossip_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """What each of those rounds attempted, sent and received, failures counted."""
+    return schedule.gossip_rounds(_gossiped(spark, d)[2])
+
+
+@query(f"{_GOSSIP}, s AS (SELECT *, max(CASE WHEN ok THEN tm END) OVER (PARTITION BY peer) AS last_sync_at FROM log) SELECT peer, last_sync_at, count(*) FILTER (NOT ok AND (last_sync_at IS NULL OR tm > last_sync_at)) AS failures FROM s GROUP BY peer, last_sync_at")
+def gossip_peers(spark: SparkSession, d: str) -> DataFrame:
+    asked, _, log = _gossiped(spark, d)
+    return schedule.peer_sync(log, asked)
+
+
 @query(f"WITH {fx.PEERS}, r AS (SELECT user_id, 'peer' || (user_id % 97) || '.example.org' AS host FROM events) SELECT host, r.user_id, CAST(CASE WHEN n.url IS NULL THEN 30 ELSE 120 END AS INTEGER) AS \"limit\" FROM r LEFT JOIN nodes n ON n.enabled AND n.url = 'https://' || host")
 def request_limit_class(spark: SparkSession, d: str) -> DataFrame:
     hosts = fx.table(spark, d, "events").select("user_id", F.concat(F.lit("peer"), (F.col("user_id") % 97).cast("string"), F.lit(".example.org")).alias("host"))
@@ -730,16 +950,16 @@ def robots_meta(spark: SparkSession, d: str) -> DataFrame:
     return robots.robots_rules(files, "tarn").select("origin", "crawl_delay", "sitemaps")
 
 
-@query("SELECT TRUE AS has_bytes, TRUE AS full_at_size, FALSE AS full_above")
+@query("SELECT count(*) AS documents, TRUE AS as_listed, TRUE AS full_at_size, FALSE AS full_above FROM documents")
 def index_capacity(spark: SparkSession, d: str) -> DataFrame:
-    """The bytes of a committed snapshot against limits on both sides of them."""
-    root = f"{_scratch(spark)}/{spark.sparkContext.applicationId}-{len(_STREAMS)}"
-    _STREAMS.append(root)
-    store = index.SnapshotStore(spark, f"{root}/index")
-    empty = store.size_bytes()
-    store.commit(fx.docs(spark, d).withColumn("host", urls.index_host("url")))
+    """The bytes that a committed index counts, against its files, and limits on both sides of them."""
+    store = segments.SegmentStore(spark, f"{_root(spark)}/index")
+    jobs = fx.docs(spark, d).withColumn("op", F.lit("upsert")).withColumn("seq", F.col("doc_id"))
+    store.commit(jobs)
     size = store.size_bytes()
-    return spark.createDataFrame([(size > empty == 0, index.is_full(size, size), index.is_full(size, size + 1))], "has_bytes boolean, full_at_size boolean, full_above boolean")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{store.root}/segments")
+    listed = files.agg(F.sum("length")).first()[0]
+    return store.read().agg(F.count("*").alias("documents")).select("documents", F.lit(size == listed > 0).alias("as_listed"), F.lit(index.is_full(size, size)).alias("full_at_size"), F.lit(index.is_full(size, size + 1)).alias("full_above"))
 
 
 @query(f"WITH {fx.CRAWL} SELECT k.url, CASE WHEN s.outcome = 'fresh' AND s.old_indexed IS DISTINCT FROM s.content_hash THEN s.content_hash ELSE k.indexed_content_hash END AS indexed_content_hash FROM known k LEFT JOIN seen s ON s.url = k.url")
@@ -855,5 +1075,5 @@ def exported_sets(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT asked, CAST(0 AS BIGINT) AS results FROM (VALUES (''), ('   '), ('rights AND'), ('(from')) v(asked)")
 def search_malformed(spark: SparkSession, d: str) -> DataFrame:
     """Empty and malformed queries have no rows."""
-    found = [search.candidates(fx.docs(spark, d), q).agg(F.count("*").alias("results")).select(F.lit(q).alias("asked"), "results") for q in ("", "   ", "rights AND", "(from")]
+    found = [_standing(spark, d).candidates(q).agg(F.count("*").alias("results")).select(F.lit(q).alias("asked"), "results") for q in ("", "   ", "rights AND", "(from")]
     return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 from tarn.functions import html
-from tarn.operators import crawl, index, outlinks
+from tarn.operators import crawl, outlinks
 from tarn.sources import robots
 
 PAGE = """<html><head><title> A &amp; B </title><style>x</style><link rel="canonical alternate" href="/canon"></head>
@@ -102,18 +102,6 @@ def test_sitemaps(spark):
     assert sorted(map(tuple, robots.sitemap_urls(docs).collect())) == [("i", True, "https://a.b/s"), ("s", False, "https://a.b/1?a=1&b=2")]
 
 
-def test_snapshots_are_whole(spark, tmp_path):
-    store = index.SnapshotStore(spark, str(tmp_path))
-    assert store.read().count() == 0 and store.size_bytes() == 0
-    batch = spark.createDataFrame([("c", "c", "https://a.b/1", "t", "b", 1, "h", 1), ("c", "c", "https://a.b/1", "t2", "b2", 2, "h2", 2)], "collection string, collection_id string, url string, title string, body string, indexed_at long, content_hash string, seq long")
-    before = store.read()
-    assert store.commit(index.upsert(before, batch)) == 1
-    assert before.count() == 0
-    assert [(r.title, r.host) for r in store.read().collect()] == [("t2", "a.b")]
-    assert store.commit(index.delete(store.read(), batch)) == 2 and store.read().count() == 0
-    assert [tuple(r) for r in index.journal(batch).collect()] == [("c", "https://a.b/1", "h2")]
-
-
 def test_raw_text_is_lossy_and_cut(spark):
     from pyspark.sql import functions as F
 

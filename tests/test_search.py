@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tarn.functions.text import highlight_fallback, snippet, tokens
 from tarn.operators import ranking, search
 from tarn.operators.ranking import RankingConfig
+from tarn.operators.standing import StandingIndex
 from tarn.plans.query import Group, QueryError, Term, parse, rewrite_site
 
 SCHEMA = "title string, body string, url string, collection string, indexed_at long"
@@ -102,8 +103,9 @@ def test_rerank_only_sees_the_candidates(spark):
     assert "https://h8.example/" not in [r.url for r in top.collect()]
 
 
-def test_postings_agree_with_the_scan(docs):
-    a = {r.url: round(r.bm25, 6) for r in search.search_postings(search.postings(docs, "body"), search.field_stats(docs, "body"), ["red", "rust"]).collect()}
+def test_postings_agree_with_the_scan(spark, docs, tmp_path):
+    index = StandingIndex(spark, str(tmp_path), buckets=4).build(docs)
+    a = {r.url: round(r.bm25, 6) for r in index.candidates("body:red body:rust").collect()}
     tree = [("body", ("red",), 1.0), ("body", ("rust",), 1.0)]
     b = {r.url: round(r.bm25, 6) for r in search.bm25(search.tokenized(docs), tree).filter("bm25 > 0").collect()}
     assert a == b
