@@ -23,6 +23,7 @@ OPENING = 4
 BLOCK_WINDOWS = 1 << 18
 
 FOUND = "array<struct<item_id:string,start:int,end:int,item_start:int>>"
+_FIELDS = ("item_id", "start", "end", "item_start")
 _FOUND = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("item_start", pa.int32())]))
 
 
@@ -62,6 +63,14 @@ class TestSuffixes:
         self.rows, self.widths = rows_all[new], width_all[new]
         self.first = np.r_[np.flatnonzero(new), len(order)].astype(np.int64)
         self.items, self.places = item_all[order], place_all[order]
+        window_of = np.repeat(np.arange(len(self.rows)), np.diff(self.first))
+        # each window's items, once each, however often the window stands in an item
+        pairs = np.unique(window_of * max(len(ids), 1) + self.items) if len(ids) else np.zeros(0, np.int64)
+        self.item_first = np.searchsorted(pairs, np.arange(len(self.rows) + 1) * max(len(ids), 1))
+        self.item_of = pairs % max(len(ids), 1)
+        # each item as the sequence of its windows; an item shorter than a window is one window of its own width
+        along = np.lexsort((self.places, self.items))
+        self.sequence, self.sequence_first = window_of[along], np.searchsorted(self.items[along], np.arange(len(ids) + 1))
         self.opening = int(min([opening, *self.widths.tolist()])) if len(self.widths) else opening
         flat = self.rows[:, : self.opening].ravel()
         at = np.arange(len(self.rows)) * self.opening
@@ -86,20 +95,20 @@ def _bound(shard: np.ndarray, wanted: np.ndarray, widths: np.ndarray, right: boo
         hi = np.where(open_ & ~less, mid, hi)
 
 
-def search_shard(words: Words, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, item, word in the item) of each occurrence of a test window, with its width known from the item."""
+def search_shard(words: Words, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, test window) of each occurrence of a test window: at most one for each word and width of window."""
     none = np.zeros(0, np.int64)
     n, opening = len(words), tests.opening
     if n < opening or not len(tests.rows):
-        return none, none, none
+        return none, none
     starts = np.arange(n - opening + 1)
     row_end = words.first[1:][words.rows()] if n else none
     starts = starts[starts + opening <= row_end[: len(starts)]]
     if not len(starts):
-        return none, none, none
+        return none, none
     starts = starts[tests.openings.find(span_hash(words.hashes, starts, starts + opening)) >= 0]
     if not len(starts):
-        return none, none, none
+        return none, none
     shard = np.zeros((len(starts), tests.window), np.uint64)
     for k in range(tests.window):
         at = starts + k
@@ -111,28 +120,106 @@ def search_shard(words: Words, tests: TestSuffixes) -> tuple[np.ndarray, np.ndar
     hi = _bound(shard, tests.rows, tests.widths, True)
     hit = np.flatnonzero(hi > lo)
     if not len(hit):
-        return none, none, none
+        return none, none
     counts = hi[hit] - lo[hit]
     which = np.repeat(hit, counts)
     found = suffixes[np.repeat(lo[hit], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
     # a window's end must lie in the same document
     ok = found + tests.widths[which] <= row_end[found]
-    which, found = which[ok], found[ok]
-    uses = tests.first[which + 1] - tests.first[which]
-    use = np.repeat(tests.first[which], uses) + np.arange(uses.sum()) - np.repeat(np.cumsum(uses) - uses, uses)
-    return np.repeat(found, uses), tests.items[use], tests.places[use]
+    order = np.argsort(found[ok], kind="stable")
+    return found[ok][order], which[ok][order]
 
 
-def longest_matches(at: np.ndarray, item: np.ndarray, place: np.ndarray, width: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Windows that follow one another in text and item joined to longest verbatim matches: (row, item, start, end, item start)."""
-    if not len(at):
-        return row, item, at, at, place
-    order = np.lexsort((at, at - place, item, row))
-    at, item, place, width, row = at[order], item[order], place[order], width[order], row[order]
-    new = np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (at[1:] - place[1:] != at[:-1] - place[:-1]) | (at[1:] > at[:-1] + 1)]
-    heads = np.flatnonzero(new)
-    tails = np.r_[heads[1:] - 1, len(at) - 1]
-    return row[heads], item[heads], at[heads], at[tails] + width[tails], place[heads]
+def _expand(first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index into which, place) of all places first[w] to first[w + 1] of each w."""
+    counts = first[which + 1] - first[which]
+    owner = np.repeat(np.arange(len(which)), counts)
+    return owner, np.repeat(first[which], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
+    """The suffixes of a sequence in order of their first `depth` symbols, by prefix doubling."""
+    n = len(symbols)
+    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
+    step = 1
+    while True:
+        after = np.full(n, -1, np.int64)
+        after[: max(n - step, 0)] = rank[step:]
+        order = np.lexsort((after, rank))
+        new = np.r_[0, (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])].cumsum()
+        rank[order] = new
+        step *= 2
+        if step >= depth or new[-1] == n - 1:
+            return order
+
+
+def longest_matches(at: np.ndarray, which: np.ndarray, row: np.ndarray, tests: TestSuffixes, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The longest verbatim matches of a shard: (row, item, start, end, item start), in time and memory of its hits.
+
+    For each word at which a window of full width stands, the longest stretch of windows from there on that some item of
+    `wanted` holds in the same order; those that only cut off the beginning of the one before are left out. Stretches and items are
+    sorted together as suffixes, so each one's longest partner is its nearest item suffix above or below. An item shorter
+    than a window matches as a whole wherever it stands.
+    """
+    full = tests.widths[which] == tests.window
+    short = np.flatnonzero(~full)
+    owner, place = _expand(tests.item_first, which[short])
+    out = [(row[short][owner], tests.item_of[place], at[short][owner], at[short][owner] + tests.widths[which[short]][owner], np.zeros(len(owner), np.int64))]
+    at, which, row = at[full], which[full], row[full]
+    if len(at):
+        breaks = np.r_[True, (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])]
+        heads = np.flatnonzero(breaks)
+        lengths = tests.sequence_first[wanted + 1] - tests.sequence_first[wanted]
+        _, inside = _expand(tests.sequence_first, wanted)
+        item_symbols, item_of, item_place = tests.sequence[inside], np.repeat(wanted, lengths), np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        # one sequence: items and stretches, each closed by a symbol of its own
+        ends = np.cumsum(lengths)
+        sizes = np.diff(np.r_[heads, len(at)])
+        symbols = np.concatenate([np.insert(item_symbols, ends, -1 - np.arange(len(ends))), np.insert(which, heads + sizes, -1 - len(ends) - np.arange(len(heads)))])
+        is_item = np.zeros(len(symbols), bool)
+        is_item[np.insert(np.ones(len(item_symbols), bool), ends, False).nonzero()[0]] = True
+        base = len(item_symbols) + len(ends)
+        text_at = base + np.arange(len(at)) + np.repeat(np.arange(len(heads)), sizes)
+        depth = int(lengths.max()) + 1
+        order = _suffix_order(symbols, depth)
+        # shared symbols of neighbours in the order, by binary search on hashes of spans
+        values, n = symbols.astype(np.uint64) + np.uint64(1 << 32), len(symbols)
+        a, b = order[:-1], order[1:]
+        low, high = np.zeros(n - 1, np.int64), np.minimum(depth, n - np.maximum(a, b))
+        while (open_ := low < high).any():
+            mid = (low + high + 1) // 2
+            same = span_hash(values, a, a + mid) == span_hash(values, b, b + mid)
+            low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
+        best, partner = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+        for lcp, seq in ((low, order), (low[::-1], order[::-1])):
+            # the nearest item before each suffix, and the least of what neighbours share from there on
+            group = np.cumsum(is_item[seq])
+            last = np.maximum.accumulate(np.where(is_item[seq], np.arange(n), -1))
+            shared = _running_least(np.r_[0, lcp], group)
+            found = np.where(last >= 0, seq[np.maximum(last, 0)], -1)
+            better = (last >= 0) & (shared > best[seq])
+            best[seq[better]], partner[seq[better]] = shared[better], found[better]
+        length, mate = best[text_at], partner[text_at]
+        item_at = np.full(base, -1, np.int64)
+        item_at[np.flatnonzero(is_item[:base])] = np.arange(len(item_symbols))
+        new = np.ones(len(at), bool)
+        new[1:] = breaks[1:] | (length[:-1] != length[1:] + 1)
+        keep = np.flatnonzero(new & (mate >= 0))
+        m = item_at[mate[keep]]
+        out.append((row[keep], item_of[m], at[keep], at[keep] + length[keep] + tests.window - 1, item_place[m]))
+    whole = [np.concatenate(c) for c in zip(*out, strict=True)]
+    order = np.lexsort((whole[1], whole[2], whole[0]))
+    return tuple(c[order] for c in whole)
+
+
+def _running_least(values: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The least value from the second element of each group up to each element; groups are runs, their first value is no bound."""
+    big = np.int64(1 << 40)
+    x = values.astype(np.int64).copy()
+    x[np.r_[True, group[1:] != group[:-1]]] = big - 1
+    # later groups lie lower, so a running minimum never looks back past its group
+    down = (group.max() - group) * big
+    return np.minimum.accumulate(x + down) - down
 
 
 def _blocks(benchmark: DataFrame, window: int, opening: int, most: int) -> Iterator[TestSuffixes]:
@@ -150,8 +237,26 @@ def _blocks(benchmark: DataFrame, window: int, opening: int, most: int) -> Itera
         yield TestSuffixes(ids, texts, window, opening)
 
 
+def _unlisted(column: pa.Array, names: tuple[str, ...] | None) -> tuple[np.ndarray, list[pa.Array]]:
+    """(row of each element, its columns) of a column of lists."""
+    flat = column.flatten()
+    row = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy())
+    return row, [flat.field(n) for n in names] if names else [flat]
+
+
+def _listed(n: int, found: list[tuple[np.ndarray, list[pa.Array]]], kind: pa.DataType) -> pa.Array:
+    """A column of n lists from elements that know their rows; the elements of a row stay in order."""
+    if not found:
+        return pa.array([[]] * n, kind)
+    row = np.concatenate([f[0] for f in found])
+    order = np.argsort(row, kind="stable")
+    columns = [pa.concat_arrays([f[1][k] for f in found]).take(pa.array(order)) for k in range(len(found[0][1]))]
+    flat = pa.StructArray.from_arrays(columns, fields=list(kind.value_type)) if pa.types.is_struct(kind.value_type) else columns[0]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32)), flat, type=kind)
+
+
 def _searched(rows: DataFrame, benchmark: DataFrame, window: int, opening: int, most: int) -> DataFrame:
-    """rows (row: a struct that goes through as it is, text) with n_words, n_hit and matches in place of text."""
+    """rows (row: a struct that goes through as it is, text) with n_words, n_hit, matches and items in place of text."""
     spark = rows.sparkSession
     kind = rows.schema["row"].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -164,35 +269,45 @@ def _searched(rows: DataFrame, benchmark: DataFrame, window: int, opening: int,
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, first=first, last=following is None) -> Iterator[pa.RecordBatch]:
             tests = sent.value
-            size = np.zeros(len(tests.ids), np.int64)  # the width of an item's windows: the usual one, or the whole item if it is shorter
-            size[tests.items] = np.repeat(tests.widths, np.diff(tests.first))
             for batch in batches:
-                counts, hits, matches = [], [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)]
+                n, counts = batch.num_rows, []
+                # (row, columns) of intervals hit, of matches, and of items; those of earlier blocks come first
+                hits, matches, items = ([_unlisted(batch.column(k), names)] if not first else [] for k, names in ((2, ("start", "end")), (3, _FIELDS), (4, None)))
+                names = pa.array(tests.ids, pa.string())
                 for i, _, data, offsets in text_parts(batch.column(1)):
                     words = Words(data, offsets, PLAIN, LOWER)
                     counts.append(np.diff(words.first))
-                    at, item, place = search_shard(words, tests)
-                    if len(at):
-                        row = np.searchsorted(words.first, at, side="right") - 1
-                        for r, m, s, e, p in zip(*(x.tolist() for x in longest_matches(at, item, place, size[item], row)), strict=True):
-                            b = int(words.first[r])
-                            hits[i + r].append({"start": s - b, "end": e - b})
-                            matches[i + r].append({"item_id": tests.ids[m], "start": s - b, "end": e - b, "item_start": p})
-                if not first:
-                    hits = [(old.as_py() or []) + new for old, new in zip(batch.column(2), hits, strict=True)]
-                    matches = [(old.as_py() or []) + new for old, new in zip(batch.column(3), matches, strict=True)]
+                    at, which = search_shard(words, tests)
+                    if not len(at):
+                        continue
+                    row = np.searchsorted(words.first, at, side="right") - 1
+                    # one word between documents keeps their intervals apart
+                    s, e = merged(at + row, at + row + tests.widths[which])
+                    own = np.searchsorted(words.first + np.arange(len(words.first)), s, side="right") - 1
+                    first_word = words.first[own] + own
+                    hits.append((i + own, [pa.array((s - first_word).astype(np.int32)), pa.array((e - first_word).astype(np.int32))]))
+                    pairs = np.unique(row * len(tests.rows) + which)
+                    owner, place = _expand(tests.item_first, pairs % len(tests.rows))
+                    held = np.unique((pairs // len(tests.rows))[owner] * len(tests.ids) + tests.item_of[place])
+                    items.append((i + held // len(tests.ids), [names.take(pa.array(held % len(tests.ids)))]))
+                    r, m, s, e, p = longest_matches(at, which, row, tests, np.unique(held % len(tests.ids)))
+                    b = words.first[r]
+                    matches.append((i + r, [names.take(pa.array(m)), *[pa.array(x.astype(np.int32)) for x in (s - b, e - b, p)]]))
+                found = [_listed(n, matches, _FOUND), _listed(n, items, pa.list_(pa.string()))]
                 if not last:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, span), pa.array(matches, _FOUND)], ["row", "text", "hits", "matches"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _listed(n, hits, span), *found], ["row", "text", "hits", "matches", "items"])
                     continue
-                covered = np.zeros(batch.num_rows, np.int64)
-                for k, spans in enumerate(hits):
-                    if spans:
-                        s, e = merged(np.array([x["start"] for x in spans], np.int64), np.array([x["end"] for x in spans], np.int64))
-                        covered[k] = (e - s).sum()
-                n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(covered), pa.array(matches, _FOUND)], ["row", "n_words", "n_hit", "matches"])
-
-        out = out.transform(arrow, run, f"row {kind}, n_words long, n_hit long, matches {FOUND}" if following is None else f"row {kind}, text string, hits array<struct<start:int,end:int>>, matches {FOUND}")
+                covered = np.zeros(n, np.int64)
+                if hits:
+                    row = np.concatenate([h[0] for h in hits])
+                    # the intervals of a row, wherever they come from, beyond those of all rows before it
+                    far = np.int64(1 << 32) * row
+                    s, e = merged(*(far + np.concatenate([h[1][k].to_numpy() for h in hits]).astype(np.int64) for k in (0, 1)))
+                    np.add.at(covered, s >> 32, e - s)
+                sizes = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(covered), *found], ["row", "n_words", "n_hit", "matches", "items"])
+
+        out = out.transform(arrow, run, f"row {kind}, n_words long, n_hit long, matches {FOUND}, items array<string>" if following is None else f"row {kind}, text string, hits array<struct<start:int,end:int>>, matches {FOUND}, items array<string>")
         tests, first = following, False
     return out
 
@@ -201,13 +316,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, o
     """One row for each row of docs: doc_id, n_words, n_hit, items (sorted item ids), matches, longest.
 
     A window is `window` consecutive words of an item, or the whole of a shorter one; words inside any occurrence of a
-    window are hit. `matches` lists the longest verbatim matches with word positions [start, end). A null or empty text
+    window are hit. `matches` lists longest verbatim matches with word positions [start, end): one for each word from
+    which some item's windows go on further than from the word before, whatever item it is; a word repeated a million
+    times is matched in memory of its own length. A null or empty text
     has no words; items without words match nothing; an item whose id is null hits but is not listed among the items.
     Repeated documents each get a row; an id that several items share is listed once. Nothing is shuffled.
     """
     rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("row"), F.col("text").cast("string").alias("text"))
     found = _searched(rows, benchmark, window, opening, block_windows)
-    items = F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda m: m["item_id"]), lambda x: x.isNotNull())))
+    items = F.array_sort(F.array_distinct(F.filter("items", lambda x: x.isNotNull())))
     longest = F.aggregate("matches", F.lit(0), lambda a, m: F.greatest(a, m["end"] - m["start"]))
     return found.select("row.doc_id", "n_words", "n_hit", items.alias("items"), "matches", longest.alias("longest"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -132,3 +133,37 @@ def test_long_matches_join_up(spark, documents):
     bench = spark.createDataFrame([(1, text)], "item_id long, text string")
     r = decontam.contamination(documents([(1, "pre " + text + " post")]), bench).first()
     assert [(m.start, m.end, m.item_start) for m in r.matches] == [(1, 41, 0)] and r.longest == 40
+
+
+@pytest.mark.parametrize("vocabulary", ["ab", "abcde"])
+def test_longest_matches_by_comparing_all_places(spark, documents, vocabulary):
+    """From each word on, the longest stretch that some item holds, unless it only cuts off the one before."""
+    rng = random.Random(len(vocabulary))
+    text = lambda n: [rng.choice(vocabulary) for _ in range(rng.randint(0, n))]
+    items, docs = [text(9) for _ in range(12)], [text(16) for _ in range(40)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = decontam.contamination(documents([(i, " ".join(x)) for i, x in enumerate(docs)]), bench, window=3, opening=2)
+    for r in got.collect():
+        words, long = docs[r.doc_id], [x for x in items if len(x) >= 3]
+        reach = [max((k for x in long for q in range(len(x)) for k in range(3, len(x) - q + 1) if x[q : q + k] == words[p : p + k]), default=0) for p in range(len(words))]
+        want = [(p, p + n) for p, n in enumerate(reach) if n and not (p and reach[p - 1] == n + 1)]
+        assert sorted({(m.start, m.end) for m in r.matches if len(items[int(m.item_id)]) >= 3}) == want
+        assert all(items[int(m.item_id)][m.item_start : m.item_start + m.end - m.start] == words[m.start : m.end] for m in r.matches)
+
+
+def test_a_word_repeated_a_million_times(spark):
+    """A megabyte of one word against an item of a thousand of it: memory in proportion to the text, results by definition."""
+    import resource
+
+    text, item = "0 " * 500_000 + "x", "0 " * 1000
+    tests = decontam.TestSuffixes(["1"], [item], 13, 4)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for _, _, data, offsets in decontam.text_parts(decontam.pa.array([text], decontam.pa.large_string())):
+        words = decontam.Words(data, offsets, decontam.PLAIN, decontam.LOWER)
+        at, which = decontam.search_shard(words, tests)
+        found = decontam.longest_matches(at, which, at * 0, tests, at[:1] * 0)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300 * 1024
+    assert (len(at), len(found[0])) == (499_988, 499_001) and set((found[3] - found[2]).tolist()) == {1000}
+    docs = spark.createDataFrame([(1, text), (2, "1 0"), (3, "0 " * 12)], "doc_id long, text string")
+    got = decontam.contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).select("doc_id", "n_words", "n_hit", "items", "longest")
+    assert sorted(map(tuple, got.collect())) == [(1, 500_001, 500_000, ["1"], 1000), (2, 2, 0, [], 0), (3, 12, 0, [], 0)]
