@@ -159,6 +159,21 @@ def test_toxicity_learns_interactions(spark, documents):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
+def test_toxicity_learns_pairs_of_terms_that_tell_nothing_alone(spark, documents):
+    """Toxic if both of two words stand in a text or neither does: each word alone goes with either label as often."""
+    rng = random.Random(11)
+    words = [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}x" for k in range(100)]
+    rows = []
+    for i in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        body = rng.choices(words, k=8) + ["Alphaword"] * a + ["Bravoword"] * b
+        rng.shuffle(body)
+        rows.append((i, " ".join(body), int(a == b)))
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.toxicity(documents([(i, t) for i, t, _ in rows]), labels).collect()}
+    assert np.mean([(got[i] >= 0.5) == y for i, _, y in rows if held(i)]) > 0.9
+
+
 def test_toxicity_ignores_held_out_labels(spark, documents):
     rows = _toxic(200)
     docs = documents([(i, t) for i, t, _ in rows])
