@@ -43,6 +43,18 @@ def scheme_of(url: Column | str) -> Column:
     return F.lower(_part(_col(url), 1))
 
 
+def _ascii_host(host: Column) -> Column:
+    """A host in lower case, its labels beyond ASCII in their `xn--` form (IDNA 2003); null if it has none."""
+    return F.when(host.rlike(r"[^\x00-\x7F]"), F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host, F.lit(1)))).otherwise(F.lower(host))
+
+
+def _escaped(path: Column) -> Column:
+    """What a path may not hold, and all beyond ASCII, as %XX of its UTF-8 bytes; escapes that are there stay."""
+    odd = r"[^\x21-\x7E]|[\"<>`{}^]"
+    each = F.transform(F.regexp_extract_all(path, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c.rlike(odd), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", r"%$1")).otherwise(c))
+    return F.when(path.rlike(odd), F.array_join(each, "")).otherwise(path)
+
+
 def is_tracking_param(name: Column) -> Column:
     return F.lower(name).isin([p.lower() for p in TRACKING_PARAMS])
 
@@ -75,13 +87,13 @@ def _pair(x: Column, i: Column) -> Column:
 def normalize_url(url: Column | str) -> Column:
     """The canonical form of an absolute URL; null if it is none.
 
-    Scheme and host in lower case; no userinfo, fragment or default port; dot segments resolved, spaces escaped, an
-    empty path is `/`; tracking parameters dropped and the others sorted by name and encoded alike (`?a` becomes `?a=`).
+    Scheme and host in lower case, hosts beyond ASCII as `xn--`; no userinfo, fragment or default port; dot segments
+    resolved, spaces and all beyond ASCII escaped, an empty path is `/`; tracking parameters dropped and the others sorted by name and encoded alike (`?a` becomes `?a=`).
     """
     url = _col(url)
-    scheme, host, port = F.lower(_part(url, 1)), F.lower(_part(url, 2)), _part(url, 3)
+    scheme, host, port = F.lower(_part(url, 1)), _ascii_host(_part(url, 2)), _part(url, 3)
     default = (port == "") | ((scheme == "http") & (port.cast("int") == 80)) | ((scheme == "https") & (port.cast("int") == 443))
-    path = _without_dots(F.regexp_replace(F.regexp_replace(_part(url, 4), r"\\", "/"), " ", "%20"))
+    path = _escaped(_without_dots(F.regexp_replace(_part(url, 4), r"\\", "/")))
     query = _query(_part(url, 5))
     whole = F.concat(
         scheme, F.lit("://"), host,
@@ -105,13 +117,13 @@ def in_prefix(url: Column | str, prefix: Column | str) -> Column:
 def host_of(url: Column | str) -> Column:
     """The host in lower case without one leading `www.`; null if there is none."""
     url = _col(url)
-    return F.when(is_url(url), F.regexp_replace(F.lower(_part(url, 2)), r"^www\.", ""))
+    return F.when(is_url(url), F.regexp_replace(_ascii_host(_part(url, 2)), r"^www\.", ""))
 
 
 def index_host(url: Column | str) -> Column:
     """The host as the index keeps it: in lower case, `www.` kept, no port; empty if there is none."""
     url = _col(url)
-    return F.coalesce(F.when(is_url(url), F.lower(_part(url, 2))), F.lit(""))
+    return F.coalesce(F.when(is_url(url), _ascii_host(_part(url, 2))), F.lit(""))
 
 
 def ranking_domain(url: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn import fixtures as fx
@@ -259,6 +259,17 @@ def normalize_url(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "pages").select("page_id", urls.normalize_url("url").alias("url"))
 
 
+@query("""SELECT page_id, regexp_extract(url, '^(https?)://', 1) || '://' || ['xn--mnchen-3ya', 'xn--bcher-kva', 'xn--wgv71a'][CAST(page_id % 3 + 1 AS INTEGER)] || '.example.org/gr%C3%B6%C3%9Fe/%E6%97%A5%20%22a%22%3Cb%3E%60%7Bc%7D%5E%41/%F0%9F%98%80/' || page_id || '?a=%C3%A9&z=%E6%97%A5' AS url,
+['xn--mnchen-3ya', 'xn--bcher-kva', 'xn--wgv71a'][CAST(page_id % 3 + 1 AS INTEGER)] || '.example.org' AS host FROM pages""")
+def normalize_foreign(spark: SparkSession, d: str) -> DataFrame:
+    """Hosts, paths and queries beyond ASCII, and what a path has to escape; what is escaped stays as it is."""
+    k = F.col("page_id")
+    label = F.when(k % 3 == 0, "MÜNCHEN").when(k % 3 == 1, "Bücher").otherwise("日本")
+    url = F.concat(F.regexp_extract("url", "^(https?)://", 1), F.lit("://www."), label, F.lit('.Example.org/größe/日 "a"<b>`{c}^%41/😀/'), k.cast("string"), F.lit("?z=日&utm_term=ü&a=é#ü"))
+    bare = F.replace(url, F.lit("://www."), F.lit("://"))
+    return fx.table(spark, d, "pages").select("page_id", urls.normalize_url(bare).alias("url"), urls.host_of(url).alias("host"))
+
+
 _LISTED = "[" + ", ".join(f"'{h}'" for h in urls.BLACKLISTED_HOSTS) + "]"
 
 
@@ -471,7 +482,29 @@ def sitemap_seeds(spark: SparkSession, d: str) -> DataFrame:
     parent = maps.select(F.concat("origin", F.lit("/sitemap.xml")).alias("sitemap"), F.concat(F.lit("<sitemapindex><sitemap><loc>"), "origin", F.lit("/pages.xml</loc></sitemap></sitemapindex>")).alias("body"))
     targets = maps.select(F.concat("origin", F.lit("/")).alias("url_prefix"))
     rules = robots.robots_rules(maps.select("origin", F.lit("User-agent: *\nAllow: /").alias("body")), "tarn")
-    return robots.sitemap_seeds(robots.sitemap_candidates(targets, rules), child.unionByName(parent), rules)
+    return robots.sitemap_seeds(robots.sitemap_candidates(targets, rules), child.unionByName(parent), rules).drop("ord")
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS o FROM pages), u AS (SELECT o, o || '/p/' || page_id AS url, page_id FROM p),
+l AS (SELECT o, url, 1 AS round, 0 AS doc, -page_id AS pos FROM u WHERE page_id % 2 = 0 UNION ALL SELECT o, url, 1, 2, page_id FROM u WHERE page_id % 5 < 3 UNION ALL SELECT o, url, 2, page_id % 3, page_id FROM u WHERE page_id % 3 < 2),
+f AS (SELECT o, url, min((round, doc, pos)) AS k FROM l GROUP BY o, url), n AS (SELECT o, url, row_number() OVER (PARTITION BY o ORDER BY k) - 1 AS ord FROM f)
+SELECT o || '/' AS url_prefix, url, CAST(ord AS INTEGER) AS ord FROM n WHERE ord < 3""")
+def sitemap_caps(spark: SparkSession, d: str) -> DataFrame:
+    """Three pages and four documents at most: two lists and an index that names a list read before, and three of which two still fit."""
+    p = fx.table(spark, d, "pages").select("page_id", urls.origin_of("url").alias("o"))
+    k, loc = F.col("page_id"), F.concat(F.lit("<url><loc>"), "o", F.lit("/p/"), F.col("page_id").cast("string"), F.lit("</loc></url>"))
+
+    def listing(name: str, rows: DataFrame, order: Column) -> DataFrame:
+        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("a"), loc.alias("b")))), lambda x: x["b"]), "")
+        return rows.groupBy("o").agg(body.alias("x")).select(F.concat("o", F.lit(f"/{name}.xml")).alias("sitemap"), F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).alias("body"))
+
+    o = p.select("o").distinct()
+    names = [F.lit("<sitemapindex>"), *[x for n in ("even", "c0", "c1", "c2") for x in (F.lit("<sitemap><loc>"), F.col("o"), F.lit(f"/{n}.xml</loc></sitemap>"))], F.lit("</sitemapindex>")]
+    docs = o.select(F.concat("o", F.lit("/index.xml")).alias("sitemap"), F.concat(*names).alias("body"))
+    for name, rows, order in (("even", p.filter(k % 2 == 0), -k), ("sitemap", p.filter(k % 5 < 3), k), ("c0", p.filter(k % 3 == 0), k), ("c1", p.filter(k % 3 == 1), k), ("c2", p.filter(k % 3 == 2), k)):
+        docs = docs.unionByName(listing(name, rows, order))
+    rules = robots.robots_rules(o.select(F.col("o").alias("origin"), F.concat(F.lit("Sitemap: "), "o", F.lit("/even.xml\nSitemap: "), "o", F.lit("/index.xml")).alias("body")), "tarn")
+    return robots.sitemap_seeds(robots.sitemap_candidates(o.select(F.concat("o", F.lit("/")).alias("url_prefix")), rules), docs, rules, 3, 4)
 
 
 # ---------------------------------------------------------------- index

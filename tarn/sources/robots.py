@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.urls import default_sitemap, in_prefix, normalize_url, origin_of
@@ -58,7 +58,7 @@ def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
-    """(sitemap, is_index, loc): every loc of each document (sitemap, body), trimmed, empty ones dropped.
+    """(sitemap, is_index, loc, pos): every loc of each document (sitemap, body) in order, trimmed, empty ones dropped.
 
     Namespaces are ignored. A body that is not well-formed is read by pattern instead of by XPath.
     """
@@ -66,30 +66,37 @@ def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
     locs = F.regexp_extract_all(body, F.lit(r"(?is)<(?:[\w.-]+:)?loc(?:\s[^>]*)?>(.*?)</(?:[\w.-]+:)?loc\s*>"), F.lit(1))
     root = F.regexp_extract(body, r"(?s)^(?:\s|﻿|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>)*<(?:[\w.-]+:)?([\w.-]+)", 1)
     entity = lambda c: F.replace(F.replace(F.replace(F.regexp_replace(c, r"^<!\[CDATA\[|\]\]>$", ""), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
-    return sitemaps.select("sitemap", (root == "sitemapindex").alias("is_index"), F.explode(locs).alias("loc")).withColumn("loc", F.trim(entity(F.trim("loc")))).filter("loc <> ''")
+    return sitemaps.select("sitemap", (root == "sitemapindex").alias("is_index"), F.posexplode(locs).alias("pos", "loc")).withColumn("loc", F.trim(entity(F.trim("loc")))).filter("loc <> ''")
 
 
 def sitemap_candidates(targets: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url_prefix, sitemap): those robots.txt lists, and the default place if it is not among them."""
+    """(url_prefix, pos, sitemap): those robots.txt lists in order, then the default place if it is not among them."""
     base = targets.select("url_prefix", origin_of("url_prefix").alias("origin"), default_sitemap("url_prefix").alias("_d"))
     listed = base.join(rules.select("origin", "sitemaps"), "origin", "left")
     every = F.array_distinct(F.concat(F.coalesce("sitemaps", F.array().cast("array<string>")), F.array("_d")))
-    return listed.select("url_prefix", F.explode(every).alias("sitemap"))
+    return listed.select("url_prefix", F.posexplode(every).alias("pos", "sitemap"))
 
 
 def sitemap_seeds(candidates: DataFrame, documents: DataFrame, rules: DataFrame, most: int = 10_000, most_documents: int = SITEMAP_DOCUMENTS) -> DataFrame:
-    """(url_prefix, url): pages that sitemaps name for each prefix. One level of index documents is followed.
+    """(url_prefix, url, ord): the first `most` pages that sitemaps name for each prefix, in the order in which they are found.
 
-    documents: (sitemap, body) as fetched. URLs are normalized, kept in prefix and by robots.txt, and each once.
+    documents: (sitemap, body) as fetched. The first `most_documents` candidates are read in order; then those that their
+    index documents name, one level deep, while no more than `most_documents` are read or waiting in all. URLs are
+    normalized, kept in prefix and by robots.txt, and each once. A prefix's documents are few, and a document's size is
+    bounded, so windows by prefix are too.
     """
-    from pyspark.sql import Window
-
     locs = sitemap_urls(documents)
-    first = candidates.join(locs, "sitemap")
-    second = first.filter("is_index").select("url_prefix", F.col("loc").alias("sitemap")).join(locs.filter("not is_index"), "sitemap")
-    order = Window.partitionBy("url_prefix").orderBy("sitemap")
-    used = first.filter("not is_index").select("url_prefix", "sitemap", "loc").unionByName(second.select("url_prefix", "sitemap", "loc"))
-    few = used.withColumn("_k", F.dense_rank().over(order)).filter(F.col("_k") <= most_documents)
-    urls = few.select("url_prefix", normalize_url("loc").alias("url")).filter("url is not null").filter(in_prefix("url", "url_prefix")).distinct()
-    fine = allowed(urls, rules).filter("allowed").drop("allowed")
-    return fine.withColumn("_k", F.row_number().over(Window.partitionBy("url_prefix").orderBy("url"))).filter(F.col("_k") <= most).drop("_k")
+    nth = lambda *order: F.row_number().over(Window.partitionBy("url_prefix").orderBy(*order))
+    once = lambda df, key, order: df.groupBy("url_prefix", key).agg(F.min(order).alias("_o"))
+    first = once(candidates, "sitemap", "pos").withColumn("at", nth("_o") - 1).filter(F.col("at") < most_documents).select("url_prefix", "sitemap", "at")
+    readable = lambda df: allowed(df.withColumnRenamed("sitemap", "url"), rules).filter("allowed").drop("allowed").withColumnRenamed("url", "sitemap")
+    read = readable(first).join(locs, "sitemap")
+    # a child counts against the limit even where it is a candidate that comes later; then it is read as that
+    seen = first.select("url_prefix", F.col("sitemap").alias("loc"), F.col("at").alias("_seen"))
+    children = read.filter("is_index").select("url_prefix", "at", "pos", "loc").join(seen, ["url_prefix", "loc"], "left").filter("_seen is null or _seen > at")
+    waiting = children.withColumn("_n", nth("at", "pos")).filter(F.col("_n") + F.col("at") < most_documents).filter("_seen is null")
+    second = once(waiting, "loc", "_n").select("url_prefix", F.col("loc").alias("sitemap"), F.col("_o").alias("at"))
+    found = [df.filter("not is_index").select("url_prefix", F.lit(k).alias("round"), "at", "pos", "loc") for k, df in ((1, read), (2, readable(second).join(locs, "sitemap")))]
+    urls = found[0].unionByName(found[1]).select("url_prefix", normalize_url("loc").alias("url"), F.struct("round", "at", "pos").alias("_o"))
+    fine = allowed(once(urls.filter("url is not null").filter(in_prefix("url", "url_prefix")), "url", "_o"), rules).filter("allowed")
+    return fine.withColumn("ord", nth("_o") - 1).filter(F.col("ord") < most).select("url_prefix", "url", "ord")
