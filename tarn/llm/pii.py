@@ -2,8 +2,10 @@
 
 A term t discloses an entity e by PMI(t; e) / IC(e): the share of the entity's information content, -log p(e), that
 seeing t removes. Probabilities are document frequencies over the whole corpus; every term of a document that holds an
-entity is a candidate, whatever its count. A term whose share reaches the threshold for some entity is generalised (or
-removed) wherever it stands.
+entity is a candidate, whatever its count. p(e given t) is n_both / (n_term + 1), as if one document more held the term
+without the entity: that two rare things met once proves nothing, that they always meet proves more the oftener they do.
+A term is generalised (or removed) wherever it stands if its share reaches the threshold for some entity and it makes
+that entity likelier than not; the second is what remains of the rule as the corpus grows and any entity becomes rare.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 @dataclass(frozen=True)
 class Policy:
-    """share: disclosure from which a term goes; discount: taken off the documents that term and entity share, so that
-    few say less than many; generalise: put the kind in place, else remove."""
+    """share: disclosure from which a term goes; certainty: p(e given t) that it needs; held_back: documents of each term
+    that are assumed to lack the entity; generalise: put the kind in place, else remove."""
 
     share: float = 0.9
-    discount: float = 0.5
+    certainty: float = 0.6
+    held_back: float = 1.0
     generalise: bool = True
 
 
@@ -138,8 +141,9 @@ def disclosing(one: DataFrame, policy: Policy = Policy(), bits: int = KEY_BITS)
     """(term): the hashes of the terms that disclose some entity; one: rid, entities, terms (arrays of hashes) of each document.
 
     PMI(t; e) >= share * IC(e) says that p(e | t) >= p(e) ^ (1 - share). As a term meets an entity in no more documents
-    than the entity stands in, n_e, this can hold only for terms of at most n_e * (n / n_e) ^ (1 - share) documents, which
-    grows with n_e: a term commoner than that for the commonest entity it meets is left out before anything is paired.
+    than the entity stands in, n_e, this and the certainty can hold only for terms of at most n_e * (n / n_e) ^ (1 - share)
+    and n_e / certainty documents, which grow with n_e: a term commoner than that for the commonest entity it meets is
+    left out before anything is paired.
     Entities that stand in the same documents disclose alike, so one of them is paired. Counts are of the whole corpus,
     summed up before they are shuffled.
     """
@@ -153,12 +157,13 @@ def disclosing(one: DataFrame, policy: Policy = Policy(), bits: int = KEY_BITS)
     tops = checkpointed(held.select("rid", "terms").join(commonest, "rid").select(F.explode("terms").alias("term"), "top").groupBy("term").agg(F.max("top").alias("top")))
     counts = maybe(one.select(F.explode("terms").alias("term")), "term", tops.select("term"), bits).groupBy("term").agg(F.count("*").alias("n_term"))
     total = F.lit(float(max(n, 1)))
-    rare = checkpointed(counts.join(tops, "term").filter(F.col("n_term") <= F.col("top") * F.pow(total / F.col("top"), F.lit(1 - policy.share)) * (1 + 1e-9)).select("term", "n_term"))
+    rare = checkpointed(counts.join(tops, "term").filter(F.col("n_term") + policy.held_back <= F.col("top") * F.least(F.pow(total / F.col("top"), F.lit(1 - policy.share)), F.lit(1 / policy.certainty)) * (1 + 1e-9)).select("term", "n_term"))
     words = maybe(held.select("rid", F.explode("terms").alias("term")), "term", rare.select("term"), bits).join(rare, "term")
     pairs = paired.join(words, "rid").groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
     information = F.log(total / F.col("n_entity"))
-    pmi = F.log((F.col("n_both") - policy.discount) * total / (F.col("n_entity") * F.col("n_term")))
-    return pairs.filter((information > 0) & (pmi >= policy.share * information)).select("term").distinct()
+    among = F.col("n_term") + F.lit(policy.held_back)
+    pmi = F.log(F.col("n_both") * total / (F.col("n_entity") * among))
+    return pairs.filter((information > 0) & (F.col("n_both") / among >= policy.certainty) & (pmi >= policy.share * information)).select("term").distinct()
 
 
 def find(docs: DataFrame, policy: Policy = Policy(), bits: int = KEY_BITS) -> DataFrame:  # noqa: B008

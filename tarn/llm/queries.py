@@ -104,7 +104,7 @@ trm AS (SELECT DISTINCT doc_id, term FROM word),
 ne AS (SELECT entity, count(*) AS ne FROM ent GROUP BY entity),
 nt AS (SELECT term, count(*) AS nt FROM trm GROUP BY term),
 nb AS (SELECT entity, term, count(*) AS nb FROM ent JOIN trm USING (doc_id) GROUP BY entity, term),
-risky AS (SELECT DISTINCT term FROM nb JOIN ne USING (entity) JOIN nt USING (term), (SELECT count(*) AS n FROM d) WHERE ne < n AND ln((nb - CAST(0.5 AS DOUBLE)) * n / CAST(ne * nt AS DOUBLE)) >= CAST(0.9 AS DOUBLE) * ln(CAST(n AS DOUBLE) / CAST(ne AS DOUBLE))),
+risky AS (SELECT DISTINCT term FROM nb JOIN ne USING (entity) JOIN nt USING (term), (SELECT count(*) AS n FROM d) WHERE ne < n AND nb / CAST(nt + 1 AS DOUBLE) >= CAST(0.6 AS DOUBLE) AND ln(nb * CAST(n AS DOUBLE) / CAST(ne * (nt + 1) AS DOUBLE)) >= CAST(0.9 AS DOUBLE) * ln(CAST(n AS DOUBLE) / CAST(ne AS DOUBLE))),
 terms AS (SELECT doc_id, e - l AS b, e FROM word SEMI JOIN risky USING (term)),
 every AS (SELECT doc_id, kind, k, b, e FROM base UNION ALL SELECT doc_id, 'term', 5, b, e FROM terms q WHERE NOT EXISTS (SELECT 1 FROM base z WHERE z.doc_id = q.doc_id AND z.b < q.e AND q.b < z.e)),
 out AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.BASE)}, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY k, b) FILTER (k < 5) AS own, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY k, b) AS spans FROM every GROUP BY doc_id)
