@@ -23,10 +23,11 @@ def import_hash(body: Column | str) -> Column:
 
 
 def fetch_outcome(status: Column | str, content_type: Column | str) -> Column:
-    """fresh, not_modified, rate_limited, other_status or not_html."""
+    """fresh, not_modified, rate_limited, other_status or not_html; error where there is no status."""
     status, kind = _c(status), F.coalesce(_c(content_type), F.lit(""))
     return (
-        F.when(status == 304, "not_modified")
+        F.when(status.isNull(), "error")
+        .when(status == 304, "not_modified")
         .when(status == 429, "rate_limited")
         .when(~status.between(200, 299), "other_status")
         .when(~F.contains(F.lower(kind), F.lit("html")), "not_html")

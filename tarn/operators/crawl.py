@@ -61,12 +61,12 @@ def needs_index(seen: DataFrame) -> DataFrame:
 
 
 def run_stats(seen: DataFrame) -> DataFrame:
-    """One row: fetched (any answer but throttling and errors), indexed, not_modified, errored."""
+    """One row: fetched (any answer but throttling and errors), indexed, not_modified, errored (no HTML, no answer, or not allowed)."""
     return seen.agg(
         F.count_if(F.col("outcome").isin("fresh", "not_modified", "other_status")).alias("fetched"),
         F.count_if((F.col("outcome") == "fresh") & ~F.col("old_indexed_content_hash").eqNullSafe(F.col("content_hash"))).alias("indexed"),
         F.count_if(F.col("outcome") == "not_modified").alias("not_modified"),
-        F.count_if(F.col("outcome") == "not_html").alias("errored"),
+        F.count_if(F.col("outcome").isin("not_html", "error", "disallowed")).alias("errored"),
     )
 
 

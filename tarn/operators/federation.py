@@ -15,13 +15,13 @@ MAX_DEPTH = 2
 
 
 class PeerClient(Protocol):
-    """What a peer must answer; results and collections come as DataFrames."""
+    """How peers are asked: peers (peer_url, remote_collection) go in, answers and failures come as rows. See `sources.http`."""
 
-    def search(self, query: str, collection: str, depth: int) -> DataFrame: ...
+    def search(self, peers: DataFrame, query: str, depth: int) -> DataFrame: ...
 
-    def list_collections(self) -> DataFrame: ...
+    def list_collections(self, peers: DataFrame) -> DataFrame: ...
 
-    def health_check(self) -> DataFrame: ...
+    def health_check(self, peers: DataFrame) -> DataFrame: ...
 
 
 def active_peers(subscriptions: DataFrame, nodes: DataFrame) -> DataFrame:
