@@ -214,15 +214,20 @@ def run_ends(visits: DataFrame, max_pages: int = PAGES_PER_RUN) -> DataFrame:
 def reached(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """(url, level): every page that the seeds (url) lead to by links (source_url, target_url), until no page is new.
 
-    Each level is one join and one anti-join, as in `frontier`; without an order of visits no page has to be numbered.
+    Each level is one join and one anti-join; the links are partitioned by source once, for all levels. Without an order
+    of visits no page has to be numbered.
     """
-    at, level = checkpointed(seeds.select("url", F.lit(0).alias("level")).distinct()), 0
-    seen = at
-    while not at.isEmpty():
-        level += 1
-        out = links.join(at.select(F.col("url").alias("source_url")), "source_url").select(F.col("target_url").alias("url"))
-        at = checkpointed(out.join(seen, "url", "left_anti").distinct().select("url", F.lit(level).alias("level")))
-        seen = seen.unionByName(at)
+    outgoing = links.select("source_url", F.col("target_url").alias("url")).repartition("source_url").persist()
+    try:
+        at, level = checkpointed(seeds.select("url", F.lit(0).alias("level")).distinct()), 0
+        seen = at
+        while not at.isEmpty():
+            level += 1
+            out = outgoing.join(at.select(F.col("url").alias("source_url")), "source_url").select("url").distinct()
+            at = checkpointed(out.join(seen, "url", "left_anti").select("url", F.lit(level).alias("level")))
+            seen = seen.unionByName(at)
+    finally:
+        outgoing.unpersist()
     return seen
 
 

@@ -698,10 +698,10 @@ def auth_lockout(spark: SparkSession, d: str) -> DataFrame:
     return limits.lockouts(fx.requests(spark, d), 2, 86400)
 
 
-def _stream(spark: SparkSession, rows: DataFrame, parts: int, order: str) -> tuple[DataFrame, str]:
+def _stream(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, str]:
+    """rows as a file stream, which the state of a key takes in order whatever file they come in."""
     root = _root(spark)
-    for k, piece in enumerate(rows.randomSplit([1.0])[:1] if parts == 1 else [rows]):
-        piece.repartitionByRange(1, order).write.parquet(f"{root}/in")
+    rows.write.parquet(f"{root}/in")
     return spark.readStream.schema(rows.schema).parquet(f"{root}/in"), root
 
 
@@ -713,13 +713,13 @@ def _drained(spark: SparkSession, out: DataFrame, root: str) -> DataFrame:
 @query(_SQL["rate_limit_decisions"])
 def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same decisions by the stateful stream."""
-    stream, root = _stream(spark, fx.requests(spark, d).select("key", "now", "id"), 1, "now")
+    stream, root = _stream(spark, fx.requests(spark, d).select("key", "now", "id"))
     return _drained(spark, limiter.rate_limiter(stream, 3, 86400, (86400, 172800, 345600), 604800), root)
 
 
 @query(f"WITH {_RUNS} SELECT key AS peer, id AS seq, failures, max(failures) OVER (PARTITION BY key ORDER BY id) >= 3 AS disabled FROM runs")
 def peer_health_stream(spark: SparkSession, d: str) -> DataFrame:
-    stream, root = _stream(spark, fx.requests(spark, d).select(F.col("key").alias("peer"), F.col("id").alias("seq"), "ok"), 1, "seq")
+    stream, root = _stream(spark, fx.requests(spark, d).select(F.col("key").alias("peer"), F.col("id").alias("seq"), "ok"))
     return _drained(spark, limiter.health(stream, 3), root)
 
 

@@ -9,36 +9,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tarn.operators.federation import FAILURES
-from tarn.operators.limits import CLEAN_SECONDS, COOLOFF_LADDER, LIMIT, WINDOW_SECONDS
+from tarn.operators.limits import CLEAN_SECONDS, COOLOFF_LADDER, LIMIT, WINDOW_SECONDS, RateLimit
 
 
 def rate_limiter(requests: DataFrame, limit: int = LIMIT, window: int = WINDOW_SECONDS, ladder: tuple[int, ...] = COOLOFF_LADDER, clean: int = CLEAN_SECONDS) -> DataFrame:
     """(key, now, id, allowed, seconds_remaining) of a stream of requests (key string, now long, id long).
 
-    Within a batch a key's requests are taken in order of now and id. The state is the log of at most 2 x limit times,
-    the violations, the end of the cool-off and the last violation.
+    Within a batch a key's requests are taken in order of now and id. The state is that of `limits.RateLimit`: the log of at
+    most `limit` times, the violations, the end of the cool-off and the last violation.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        log, violations, until, last = state.get if state.exists else ([], 0, 0, 0)
-        log = list(log)
+        machine = RateLimit(limit, window, ladder, clean)
+        if state.exists:
+            log, machine.violations, machine.until, machine.last = state.get
+            machine.log.extend(log)
         rows = pd.concat(list(frames)).sort_values(["now", "id"])
-        out = []
-        for now, rid in zip(rows["now"].tolist(), rows["id"].tolist(), strict=True):
-            if last > 0 and now - last > clean and until <= now:
-                violations = 0
-            if until > now:
-                out.append((key[0], now, rid, False, until - now))
-                continue
-            log = [t for t in log if t > now - window]
-            if len(log) >= limit:
-                wait = ladder[min(violations, len(ladder) - 1)]
-                violations, until, last = violations + 1, now + wait, now
-                out.append((key[0], now, rid, False, wait))
-            else:
-                log = [*log, now][-2 * limit :]
-                out.append((key[0], now, rid, True, 0))
-        state.update((log, violations, until, last))
+        out = [(key[0], now, rid, *machine.decide(now)) for now, rid in zip(rows["now"].tolist(), rows["id"].tolist(), strict=True)]
+        state.update((list(machine.log), machine.violations, machine.until, machine.last))
         yield pd.DataFrame(out, columns=["key", "now", "id", "allowed", "seconds_remaining"])
 
     return requests.groupBy("key").applyInPandasWithState(run, "key string, now long, id long, allowed boolean, seconds_remaining long", "log array<long>, violations long, until long, last long", "append", GroupStateTimeout.NoTimeout)
