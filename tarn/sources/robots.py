@@ -58,6 +58,11 @@ def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
+    """(sitemap, is_index, loc): every loc of each document (sitemap, body)."""
+    return _located(sitemaps).drop("pos")
+
+
+def _located(sitemaps: DataFrame) -> DataFrame:
     """(sitemap, is_index, loc, pos): every loc of each document (sitemap, body) in order, trimmed, empty ones dropped.
 
     Namespaces are ignored. A body that is not well-formed is read by pattern instead of by XPath.
@@ -85,7 +90,7 @@ def sitemap_seeds(candidates: DataFrame, documents: DataFrame, rules: DataFrame,
     normalized, kept in prefix and by robots.txt, and each once. A prefix's documents are few, and a document's size is
     bounded, so windows by prefix are too.
     """
-    locs = sitemap_urls(documents)
+    locs = _located(documents)
     nth = lambda *order: F.row_number().over(Window.partitionBy("url_prefix").orderBy(*order))
     once = lambda df, key, order: df.groupBy("url_prefix", key).agg(F.min(order).alias("_o"))
     first = once(candidates, "sitemap", "pos").withColumn("at", nth("_o") - 1).filter(F.col("at") < most_documents).select("url_prefix", "sitemap", "at")
