@@ -50,7 +50,7 @@ def _ascii_host(host: Column) -> Column:
 
 def _escaped(path: Column) -> Column:
     """What a path may not hold, and all beyond ASCII, as %XX of its UTF-8 bytes; escapes that are there stay."""
-    odd = r"[^\x21-\x7E]|[\"<>`{}^]"
+    odd = r"[^\x21-\x7E]|[\x22<>\x60{}^]"
     each = F.transform(F.regexp_extract_all(path, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c.rlike(odd), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", r"%$1")).otherwise(c))
     return F.when(path.rlike(odd), F.array_join(each, "")).otherwise(path)
 
