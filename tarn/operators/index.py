@@ -30,10 +30,13 @@ def journal(batch: DataFrame, order: str = "seq") -> DataFrame:
     return last_of_each(batch, ["url"], order).select("collection_id", "url", "content_hash")
 
 
-def mark_indexed(pages: DataFrame, entries: DataFrame) -> DataFrame:
-    """crawled_pages with indexed_content_hash set from the journal, which is written after the commit; safe to repeat."""
-    new = entries.groupBy("collection_id", "url").agg(F.max("content_hash").alias("_new"))
-    return pages.join(new, ["collection_id", "url"], "left").withColumn("indexed_content_hash", F.coalesce("_new", "indexed_content_hash")).drop("_new").select(*pages.columns)
+def mark_indexed(pages: DataFrame, entries: DataFrame, keys: tuple[str, ...] | list[str] = ("collection_id", "url")) -> DataFrame:
+    """crawled_pages with indexed_content_hash set from the journal, which is written after the commit; safe to repeat.
+
+    Rows whose `keys` are equal are marked alike; further keys tell apart what shares a url.
+    """
+    new = entries.groupBy(*keys).agg(F.max("content_hash").alias("_new"))
+    return pages.join(new, list(keys), "left").withColumn("indexed_content_hash", F.coalesce("_new", "indexed_content_hash")).drop("_new").select(*pages.columns)
 
 
 def merged(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
