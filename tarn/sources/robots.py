@@ -82,8 +82,8 @@ def sitemap_candidates(targets: DataFrame, rules: DataFrame) -> DataFrame:
     return listed.select("url_prefix", F.posexplode(every).alias("pos", "sitemap"))
 
 
-def sitemap_seeds(candidates: DataFrame, documents: DataFrame, rules: DataFrame, most: int = 10_000, most_documents: int = SITEMAP_DOCUMENTS) -> DataFrame:
-    """(url_prefix, url, ord): the first `most` pages that sitemaps name for each prefix, in the order in which they are found.
+def sitemap_seeds(candidates: DataFrame, documents: DataFrame, rules: DataFrame, most: int | None = 10_000, most_documents: int = SITEMAP_DOCUMENTS) -> DataFrame:
+    """(url_prefix, url, ord): the first `most` pages (None: all) that sitemaps name for each prefix, in the order in which they are found.
 
     documents: (sitemap, body) as fetched. The first `most_documents` candidates are read in order; then those that their
     index documents name, one level deep, while no more than `most_documents` are read or waiting in all. URLs are
@@ -104,4 +104,5 @@ def sitemap_seeds(candidates: DataFrame, documents: DataFrame, rules: DataFrame,
     found = [df.filter("not is_index").select("url_prefix", F.lit(k).alias("round"), "at", "pos", "loc") for k, df in ((1, read), (2, readable(second).join(locs, "sitemap")))]
     urls = found[0].unionByName(found[1]).select("url_prefix", normalize_url("loc").alias("url"), F.struct("round", "at", "pos").alias("_o"))
     fine = allowed(once(urls.filter("url is not null").filter(in_prefix("url", "url_prefix")), "url", "_o"), rules).filter("allowed")
-    return fine.withColumn("ord", nth("_o") - 1).filter(F.col("ord") < most).select("url_prefix", "url", "ord")
+    numbered = fine.withColumn("ord", nth("_o") - 1).select("url_prefix", "url", "ord")
+    return numbered if most is None else numbered.filter(F.col("ord") < most)
