@@ -1,19 +1,23 @@
 """Search over a standing inverted index: a query reads its own terms' postings and the documents that it returns.
 
 On disk, as Parquet:
-    postings/bucket=b/   field, term, url, tf, length, positions, collection; b is a hash of the term; files are sorted by
-                         (field, term), so that a term's or a range's row groups are found by their statistics
-    terms/               field, term, df, cf: the dictionary, in order
-    documents/part=p/    the documents by a hash of their url
+    postings/bucket=b/   field, term, url, tf, length, positions, collection; b is a hash of the term; each file is sorted by
+                         (field, term), so that a term's or a range's pages are found by their statistics
+    terms/               field, term, df, cf: the dictionary
+    documents/           the documents as they came
     fields/              field, n_docs, avg_len
-Besides title and body, hosts, urls and collections are fields of one term a document. A common term's postings are dealt
-over several files by url ranges; no term is gathered in one task, neither to build the index nor to search it.
+Besides title and body, hosts, urls and collections are fields of one term a document. Documents are inverted where they
+are read, each split by itself as a segment, and neither texts nor postings are shuffled: what the index takes on disk is
+what it holds. No term is gathered in one task, neither to build the index nor to search it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,19 +27,50 @@ from tarn.operators.ranking import RankingConfig
 from tarn.operators.search import K1, LIMIT, OVERFETCH, B, answers, spread
 from tarn.plans.query import BOOSTS, DEFAULT_FIELDS, Group, Node, QueryError, Range, Term, parse
 
-BUCKETS = 64
+BUCKETS = 16
 TEXT_FIELDS = ("title", "body")
 WHOLE_FIELDS = ("host", "url", "collection")
+_POSTINGS = "field string, term string, url string, collection string, length int, tf int, positions array<int>"
+#: Words that are inverted at once, in whole documents.
+_WORDS = 1 << 20
+
+
+def _inverted(words: pa.ListArray) -> tuple[np.ndarray, pa.Array, pa.Array, pa.Array]:
+    """(row, term, tf, positions) of every distinct term of every row of token lists."""
+    sizes = words.value_lengths().to_numpy(zero_copy_only=False)
+    coded = words.flatten().dictionary_encode()
+    code, row = coded.indices.to_numpy(), np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    key = row * max(len(coded.dictionary), 1) + code
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    positions = pa.ListArray.from_arrays(pa.array(np.r_[first, len(key)].astype(np.int32)), pa.array(place[order].astype(np.int32)))
+    return row[order][first], coded.dictionary.take(pa.array(code[order][first])), pa.array(np.diff(np.r_[first, len(key)]).astype(np.int32)), positions
+
+
+def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in _POSTINGS.split(", ")]
+    for batch in batches:
+        n = np.cumsum(sum(batch.column(f).value_lengths().to_numpy(zero_copy_only=False) for f in TEXT_FIELDS))
+        cuts = [0, *(np.flatnonzero(np.diff(n // _WORDS)) + 1).tolist(), batch.num_rows]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            part = batch.slice(i, j - i)
+            url, collection = part.column("url"), part.column("collection")
+            for f in TEXT_FIELDS:
+                row, term, tf, positions = _inverted(part.column(f))
+                length = part.column(f).value_lengths().cast(pa.int32())
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array([f] * len(row), pa.string()), term, url.take(at), collection.take(at), length.take(at), tf, positions], names)
+            for f in WHOLE_FIELDS:
+                at = pa.array(np.flatnonzero(part.column(f).is_valid().to_numpy(zero_copy_only=False)))
+                one = pa.array(np.ones(len(at), np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([f] * len(at), pa.string()), part.column(f).take(at), url.take(at), collection.take(at), one, one, pa.nulls(len(at), pa.list_(pa.int32()))], names)
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(field, term, url, tf, length, positions, collection) of documents (collection, url, title, body)."""
-    rows = spread(docs).select("url", "collection", index_host("url").alias("host"), *[tokens(f).alias(f) for f in TEXT_FIELDS])
-    each = [rows.select("url", "collection", F.lit(f).alias("field"), F.size(f).alias("length"), F.posexplode(f).alias("pos", "term")) for f in TEXT_FIELDS]
-    text = each[0].unionByName(each[1]).groupBy("field", "term", "url", "collection", "length").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    whole = rows.select("url", "collection", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("term")) for f in WHOLE_FIELDS])).alias("w"))
-    whole = whole.select("w.field", "w.term", "url", "collection", F.lit(1).alias("length"), F.lit(1).alias("tf"), F.lit(None).cast("array<int>").alias("positions"))
-    return text.select(*whole.columns).unionByName(whole.filter("term is not null"))
+    """(field, term, url, collection, length, tf, positions) of documents (collection, url, title, body); no row is moved."""
+    rows = spread(docs.select("url", "collection", *TEXT_FIELDS)).select("url", "collection", index_host("url").alias("host"), *[tokens(f).alias(f) for f in TEXT_FIELDS])
+    return rows.mapInArrow(_invert, _POSTINGS)
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -51,11 +86,11 @@ class StandingIndex:
     def build(self, docs: DataFrame) -> StandingIndex:
         """Writes the index of documents (collection, url, title, body, indexed_at)."""
         rows = postings(docs).withColumn("bucket", _bucket(F.col("term"), self.buckets))
-        rows.repartitionByRange("bucket", "field", "term", "url").sortWithinPartitions("bucket", "field", "term", "url").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings")
+        packed = lambda df: df.write.mode("overwrite").option("compression", "zstd")
+        packed(rows.sortWithinPartitions("bucket", "field", "term", "url")).partitionBy("bucket").parquet(f"{self.root}/postings")
         terms = self.postings().groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-        terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{self.root}/terms")
-        placed = docs.select("collection", "url", "title", "body", "indexed_at", _bucket(F.col("url"), self.buckets).alias("part"))
-        placed.repartition("part", F.pmod(F.xxhash64(F.lit(1), "url"), F.lit(4))).write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/documents")
+        packed(terms.sortWithinPartitions("field", "term")).parquet(f"{self.root}/terms")
+        packed(docs.select("collection", "url", "title", "body", "indexed_at")).parquet(f"{self.root}/documents")
         n = self.documents().agg(F.count("*").alias("n_docs"))
         sizes = self.terms().filter(F.col("field").isin(*TEXT_FIELDS)).groupBy("field").agg(F.sum("cf").alias("n_tokens"))
         sizes.crossJoin(F.broadcast(n)).select("field", "n_docs", "n_tokens", (F.col("n_tokens") / F.col("n_docs")).alias("avg_len")).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/fields")
@@ -68,7 +103,7 @@ class StandingIndex:
         return self.spark.read.schema("field string, term string, df long, cf long").parquet(f"{self.root}/terms")
 
     def documents(self) -> DataFrame:
-        return self.spark.read.schema("collection string, url string, title string, body string, indexed_at long, part int").parquet(f"{self.root}/documents")
+        return self.spark.read.schema("collection string, url string, title string, body string, indexed_at long").parquet(f"{self.root}/documents")
 
     def fields(self) -> DataFrame:
         return self.spark.read.schema("field string, n_docs long, n_tokens long, avg_len double").parquet(f"{self.root}/fields")
@@ -116,12 +151,11 @@ class StandingIndex:
         """The documents that match with `bm25`, the `limit` best (all if None), ties by url."""
         found = self.scores(query, collection)
         if found is None:
-            return self.documents().drop("part").withColumn("bm25", F.lit(0.0)).filter(F.lit(False))
+            return self.documents().withColumn("bm25", F.lit(0.0)).filter(F.lit(False))
         if limit is None:
-            return self.documents().join(found, "url").drop("part")
+            return self.documents().join(found, "url")
         # `limit` rows, whatever the index
-        top = found.orderBy(F.desc("bm25"), "url").limit(limit).withColumn("part", _bucket(F.col("url"), self.buckets))
-        return self.documents().join(F.broadcast(top), ["part", "url"]).drop("part")
+        return self.documents().join(F.broadcast(found.orderBy(F.desc("bm25"), "url").limit(limit)), "url")
 
     def search(self, query: str, now: int, collection: str | None = None, config: RankingConfig = RankingConfig(), limit: int = LIMIT, source: str = "local") -> DataFrame:  # noqa: B008
         """title, url, snippet_html, source, timestamp, score: as `search.search`, from the index."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tarn.operators import index, limits, search
 from tarn.operators.ranking import RankingConfig
 from tarn.operators.segments import SegmentStore
-from tarn.operators.standing import StandingIndex
+from tarn.operators.standing import StandingIndex, postings
 from tarn.streaming import indexer
 
 JOB = "op string, collection string, collection_id string, url string, title string, body string, indexed_at long, content_hash string, seq long"
@@ -215,6 +215,14 @@ def test_index_reads_its_terms_only(standing):
     assert "GreaterThanOrEqual(term,house)" in standing[1].scores("body:[house TO run]")._jdf.queryExecution().toString()
 
 
+def test_index_is_built_without_a_shuffle(spark):
+    """Documents are inverted where they are read: what a build takes on disk is the index."""
+    docs = spark.range(0, 40, 1, 8).selectExpr("concat('https://one.example/', id) AS url", "'tech' AS collection", "'Red house' AS title", "concat('a red red house ', id) AS body")
+    rows = postings(docs)
+    assert "Exchange" not in rows._jdf.queryExecution().toString()
+    assert {(r.tf, tuple(r.positions)) for r in rows.filter("field = 'body' and term = 'red'").collect()} == {(2, (1, 2))}
+
+
 def test_upsert_helpers_agree_with_the_log(spark, tmp_path):
     jobs = spark.createDataFrame([job("upsert", "1", 1), job("upsert", "1", 2), job("delete", "2", 3), job("upsert", "3", 4), job("delete", "3", 5)], JOB)
     store = SegmentStore(spark, str(tmp_path))
