@@ -101,9 +101,13 @@ def import_tables(export: DataFrame, tables: dict[str, DataFrame]) -> dict[str,
 
 def import_report(export: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """One row: what was applied and what was skipped."""
-    added = import_tables(export, tables)
     total = export.select(F.coalesce(F.size("collections"), F.lit(0)).cast("long").alias("n"))
-    one = total.agg(F.sum("n").alias("collections_total"))
+    return report(total.agg(F.sum("n").alias("collections_total")), import_tables(export, tables))
+
+
+def report(total: DataFrame, added: dict[str, DataFrame]) -> DataFrame:
+    """One row of counts: all collections (total), the rows added to each table, the collections skipped."""
+    one = total
     for name in ("collections", "crawl_targets", "crawled_pages", "documents", "node_peers", "collection_peers"):
         one = one.crossJoin(added[name].agg(F.count("*").alias(f"{name}_added")))
     return one.withColumn("collections_skipped", F.col("collections_total") - F.col("collections_added"))

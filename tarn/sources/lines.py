@@ -17,11 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.scalars import import_hash
+from tarn.operators.crawl import checkpointed
 from tarn.schemas import FORMAT_VERSION
-from tarn.sources.exchange import FormatError
+from tarn.sources.exchange import FormatError, report
 
 #: What an import accepts, packed or not.
 BODY_BYTES = 512 * 1024 * 1024
+#: Lines of one part file: an import holds a file's packed bytes.
+FILE_LINES = 2000
 #: Where a line stands: head, collections, tail; the collection; its part; the key in the part; a target's page.
 _ORDER = ["top", "name", "part", "key", "sub", "page"]
 
@@ -41,8 +44,12 @@ def _json(kind: str, **columns: Column | str) -> Column:
 
 
 def _after_first(rows: DataFrame, owner: list[str], key: str) -> DataFrame:
-    """rows (with `item`) as list elements: a comma before all but the first of each owner; the least key is found by a combined aggregate."""
+    """rows (with `item`) as list elements: a comma before all but the first of each owner; the least key is found by a combined aggregate.
+
+    Where collections own the rows, their first keys are broadcast, so that no collection's rows come together in a task.
+    """
     first = rows.groupBy(*[F.col(c).alias(f"_own_{c}") for c in owner]).agg(F.min(key).alias("_first"))
+    first = F.broadcast(first) if owner == ["name"] else first
     joined = rows.join(first, [F.col(c).eqNullSafe(F.col(f"_own_{c}")) for c in owner]) if owner else rows.crossJoin(F.broadcast(first))
     comma = F.when(F.col(key) == F.col("_first"), "").otherwise(",")
     return joined.select(*[c for c in rows.columns if c != "item"], F.concat(comma, "item").alias("item"))
@@ -101,7 +108,7 @@ def export_lines(tables: dict[str, DataFrame], docs: DataFrame, exported_at: str
 def write_lines(lines: DataFrame, path: str, gzip: bool = True) -> None:
     """The document in part files at path; joined in order of their names they are one (gzipped or plain) file."""
     ranged = lines.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).select("line")
-    ranged.write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(path)
+    ranged.write.mode("overwrite").option("maxRecordsPerFile", FILE_LINES).option("compression", "gzip" if gzip else "none").text(path)
 
 
 # ---------------------------------------------------------------- import
@@ -111,32 +118,34 @@ def read_lines(spark: SparkSession, path: str, most: int = BODY_BYTES) -> DataFr
     """(line): the lines of the files at path, gzipped or not as their first two bytes say, whatever their names.
 
     A file larger than `most` bytes, packed or unpacked, is refused (FormatError, from the task that meets its end). Files
-    are unpacked piece by piece; only the packed bytes of one are held.
+    are unpacked piece by piece, straight from the batch that holds their packed bytes.
     """
     files = spark.read.format("binaryFile").load(path)
     if not files.select("length").filter(F.col("length") > most).isEmpty():
         raise FormatError(f"a file of more than {most} bytes")
 
-    def unpacked(content: bytes) -> Iterator[bytes]:
-        view = memoryview(content)
-        if content[:2] != b"\x1f\x8b":
-            for i in range(0, len(view), 1 << 20):
-                yield bytes(view[i : i + (1 << 20)])
-            return
+    def unpacked(content: pa.Buffer) -> Iterator[bytes]:
+        view, step = memoryview(content), 1 << 18
+        packed = bytes(view[:2]) == b"\x1f\x8b"
         inflate = zlib.decompressobj(31)
-        left = content
-        while left:
-            yield inflate.decompress(left, 1 << 20)
-            left = inflate.unconsumed_tail
-            if inflate.eof and not left and inflate.unused_data:  # files joined to one
-                left, inflate = inflate.unused_data, zlib.decompressobj(31)
-        yield inflate.flush()
+        for i in range(0, len(view), step):
+            left = bytes(view[i : i + step])
+            if not packed:
+                yield left
+                continue
+            while left:
+                if inflate.eof:  # files joined to one
+                    inflate = zlib.decompressobj(31)
+                yield inflate.decompress(left, 1 << 20)
+                left = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
+        if packed:
+            yield inflate.flush()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 rest, size = b"", 0
-                for piece in unpacked(content.as_py()):
+                for piece in unpacked(content.as_buffer()):
                     size += len(piece)
                     if size > most:
                         raise FormatError(f"a document of more than {most} bytes")
@@ -160,11 +169,15 @@ _KINDS = {
 }
 
 
-def elements(lines: DataFrame, kind: str) -> DataFrame:
+def _is(kind: str) -> Column:
+    return F.startswith(F.ltrim(F.col("line"), F.lit(",")), F.lit(f'{{"kind":"{kind}",'))
+
+
+def _elements(lines: DataFrame, kind: str) -> DataFrame:
     """The elements of one kind as columns."""
     text = F.ltrim(F.col("line"), F.lit(","))
     whole = F.when(F.endswith(text, F.lit("[")), F.concat(text, F.lit("]}"))).otherwise(text)
-    return lines.filter(F.startswith(text, F.lit(f'{{"kind":"{kind}",'))).select(F.from_json(whole, _KINDS[kind]).alias("e")).select("e.*").drop("kind")
+    return lines.filter(_is(kind)).select(F.from_json(whole, _KINDS[kind]).alias("e")).select("e.*").drop("kind")
 
 
 def checked(lines: DataFrame) -> DataFrame:
@@ -177,16 +190,19 @@ def checked(lines: DataFrame) -> DataFrame:
 def imported(lines: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The rows that an import adds to each table, and to `documents` (with their import hash), as `exchange.import_tables`.
 
-    A collection whose name is taken is skipped with all it holds; ids follow from names.
+    A collection whose name is taken is skipped with all it holds; ids follow from names. The files are read twice: once for
+    all lines but the documents', which are kept for every table, and once for the documents.
     """
+    rest = checkpointed(lines.filter(~_is("document")))
+    elements = lambda kind: _elements(lines if kind == "document" else rest, kind)
     ident = lambda *c: F.sha2(F.concat_ws("\n", *c), 256)
-    new = elements(lines, "collection").join(tables["collections"].select("name"), "name", "left_anti")
+    new = elements("collection").join(tables["collections"].select("name"), "name", "left_anti")
     names = new.select(F.col("name").alias("collection"))
-    of = lambda kind: elements(lines, kind).join(names, "collection", "left_semi").withColumn("collection_id", ident("collection"))
-    nodes = elements(lines, "node").join(tables["node_peers"].select("url"), "url", "left_anti").withColumn("id", ident("url"))
+    of = lambda kind: elements(kind).join(names, "collection", "left_semi").withColumn("collection_id", ident("collection"))
+    nodes = elements("node").join(tables["node_peers"].select("url"), "url", "left_anti").withColumn("id", ident("url"))
     every = tables["node_peers"].select("id", "url").unionByName(nodes.select("id", "url"))
     known = tables["collections"].select("name").unionByName(new.select("name"))
-    asked = elements(lines, "peer").join(known.withColumnRenamed("name", "local_collection"), "local_collection", "left_semi")
+    asked = elements("peer").join(known.withColumnRenamed("name", "local_collection"), "local_collection", "left_semi")
     return {
         "collections": new.select(ident("name").alias("id"), "name", "description", "created_at", "updated_at"),
         "crawl_targets": of("target").withColumn("id", ident("collection_id", "url_prefix")).drop("collection"),
@@ -195,5 +211,10 @@ def imported(lines: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFr
         "outlink_host_suggestions": of("outlink").drop("collection"),
         "node_peers": nodes,
         "collection_peers": asked.join(every.select(F.col("id").alias("node_peer_id"), F.col("url").alias("node_peer_url")), "node_peer_url").select("local_collection", "node_peer_id", "remote_collection", "source_weight", "enabled"),
-        "documents": elements(lines, "document").join(names, "collection", "left_semi").withColumn("content_hash", import_hash("body")),
+        "documents": elements("document").join(names, "collection", "left_semi").withColumn("content_hash", import_hash("body")),
     }
+
+
+def import_report(lines: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """One row, as `exchange.import_report`, from lines."""
+    return report(lines.filter(_is("collection")).agg(F.count("*").alias("collections_total")), imported(lines, tables))

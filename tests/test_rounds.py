@@ -178,6 +178,26 @@ def test_import_gives_back_what_was_exported(spark, tables, tmp_path, gz, rename
     assert {r.collection for r in skipped["documents"].collect()} == {"b]}"}
 
 
+def test_the_report_needs_no_whole_document(spark, tables, tmp_path):
+    """Counts of lines in many files, as of the one document."""
+    written(tables, f"{tmp_path}/out", True)
+    known = {k: spark.createDataFrame([], v) for k, v in TABLES.items()} | {"collections": tables[0]["collections"].filter("name = 'a'")}
+    got = lines.import_report(lines.read_lines(spark, f"{tmp_path}/out"), known)
+    assert got.first().asDict() == exchange.import_report(exchange.envelope(*tables, "now", "self"), known).first().asDict()
+
+
+def test_files_joined_or_cut_anywhere_unpack(spark, tmp_path):
+    """Gzip members of all sizes in one file, and members larger than a piece; part files hold a bounded number of lines."""
+    rng = random.Random(3)
+    want = [f"{i} {rng.random()} {'x' * rng.randrange(3000)}" for i in range(3000)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_bytes(b"".join(gzip.compress("".join(f"{w}\n" for w in want[i:j]).encode(), k) for i, j, k in ((0, 1, 9), (1, 2500, 0), (2500, 2600, 9), (2600, 3000, 1))))
+    assert [r.line for r in lines.read_lines(spark, f"{tmp_path}/in").collect()] == want
+    keys = dict.fromkeys(("name", "key", "page"), "''") | dict.fromkeys(("top", "part", "sub"), "0")
+    lines.write_lines(spark.range(5000).selectExpr("cast(id as string) as line", *[f"{v} as {k}" for k, v in keys.items()]), f"{tmp_path}/out")
+    assert len(list((tmp_path / "out").glob("part-*"))) >= 5000 / lines.FILE_LINES
+
+
 def test_refused_imports(spark, tmp_path):
     (tmp_path / "x").write_bytes(gzip.compress(b'{"format_version":2,"collections":[\n'))
     with pytest.raises(FormatError):
