@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import SortedHashes, arrow, held_out, remainder, segment_sums, text_parts
+from tarn.llm.common import SortedHashes, arrow, held_out, segment_sums, text_parts
 
 #: Characters in a gram: four of 16 bits make a 64-bit key, so keys are exact. Letters beyond the BMP count as one letter.
 ORDER = 4
-#: Documents that the score and the rejection limits are calibrated on, those with the smallest hashes of their ids.
-CALIBRATION = 2000
+#: Scales of the score that calibration chooses from, and in how many parts it counts a nat of entropy and of loss.
+SCALES = 2.0 ** np.arange(-6, 5, 0.5)
+ENTROPY_PARTS, LOSS_PARTS = 1 << 10, 10_000
 UNKNOWN = "und"
 _ALL = (1 << 64) - 1
 
@@ -199,10 +200,10 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return rows.select(F.col("lang").cast("string"), F.col("text").cast("string")).transform(arrow, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, calibration: int = CALIBRATION) -> Models:
+def train(docs: DataFrame) -> Models:
     """Counts cover every document that may teach; each model holds all of its grams, so its statistics are those of the corpus.
 
-    The scale of the score and each language's rejection limit come from a bounded sample of those documents.
+    The scale of the score and each language's rejection limit come from all of those documents, too.
     """
     got = count_grams(docs).select("lang", "gram", "n").toArrow()
     langs = got.column("lang").to_pandas().to_numpy()
@@ -213,42 +214,45 @@ def train(docs: DataFrame, calibration: int = CALIBRATION) -> Models:
         tables[x] = keys[langs == x][order], counts[langs == x][order]
     models = Models.build(tables)
     models.limits = np.full(len(models.langs), np.inf)
-    if not models.langs:
-        return models
-    known = docs.filter((remainder("doc_id") != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # by id and text, so that repeated ids and rows change neither which documents are taken nor how many
-    picked = known.select(F.col("lang").cast("string"), F.col("text").cast("string"), F.struct(F.xxhash64(F.col("doc_id").cast("long")).alias("id"), F.xxhash64("lang", "text").alias("row")).alias("o"))
-    edge = picked.select("o").distinct().orderBy("o").limit(calibration).agg(F.max("o")).first()[0]
-    if edge is None:
-        return models
+    return calibrated(docs, models) if models.langs else models
+
+
+def calibrated(docs: DataFrame, models: Models) -> Models:
+    """models with the scale of least loss, and limits from the quantile and the deviation of each language's own entropies.
+
+    Every document that may teach is scored. Entropies are counted in steps of 1/1024 nat (rounded up) and losses summed
+    in whole parts, so that sums are exact in any order and the driver gets counts by language and step, not documents.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(models)
+    index = {x: k for k, x in enumerate(models.langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            true = np.array([index.get(x, -1) for x in batch.column(0).to_pylist()], np.int64)
             for i, j, data, offsets in text_parts(batch.column(1)):
                 mean, n = sent.value.score(data, offsets)
-                flat = pa.ListArray.from_arrays(pa.array((np.arange(j - i + 1) * mean.shape[1]).astype(np.int32)), pa.array(mean.ravel().astype(np.float64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), flat], ["lang", "n", "mean"])
-
-    last = F.struct(F.lit(edge["id"]).alias("id"), F.lit(edge["row"]).alias("row"))
-    sample = picked.filter(F.col("o") <= last).dropDuplicates(["o"]).sort("o")
-    rows = sample.select("lang", "text").transform(arrow, run, "lang string, n long, mean array<double>").filter("n > 0").toArrow()
-    if not len(rows):
+                ok = (n > 0) & (true[i:j] >= 0)
+                own, mean, n = true[i:j][ok], mean[ok].astype(np.float64), n[ok]
+                rows = np.arange(len(own))
+                z = np.sqrt(n)[:, None] * (mean - mean.max(axis=1, keepdims=True))
+                loss = [int(np.rint(LOSS_PARTS * (np.log(np.exp(x * z).sum(axis=1)) - x * z[rows, own])).sum()) for x in SCALES]
+                steps, times = np.unique(np.stack([own, np.ceil(-mean[rows, own] * ENTROPY_PARTS).astype(np.int64)]), axis=1, return_counts=True)
+                columns = np.r_[np.full(len(loss), -1), steps[0]], np.r_[np.arange(len(loss)), steps[1]], np.r_[np.array(loss, np.int64), times]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["lang", "step", "n"])
+
+    known = docs.filter(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counted = known.select(F.col("lang").cast("string"), F.col("text").cast("string")).transform(arrow, run, "lang long, step long, n long").groupBy("lang", "step").agg(F.sum("n").alias("n")).toArrow()
+    lang, step, n = (counted.column(c).to_numpy() for c in ("lang", "step", "n"))
+    if not (lang >= 0).any():
         return models
-    index = {x: k for k, x in enumerate(models.langs)}
-    true = np.array([index.get(x, -1) for x in rows.column("lang").to_pylist()])
-    mean, n = np.array(rows.column("mean").to_pylist()), rows.column("n").to_numpy()
-    ok = true >= 0
-    true, mean, n = true[ok], mean[ok], n[ok]
-    loss = {}
-    for scale in 2.0 ** np.arange(-6, 5, 0.5):
-        z = scale * np.sqrt(n)[:, None] * (mean - mean.max(axis=1, keepdims=True))
-        loss[scale] = -np.mean(z[np.arange(len(z)), true] - np.log(np.exp(z).sum(axis=1)))
-    models.scale = min(loss, key=loss.get)
+    loss = dict(zip(step[lang < 0].tolist(), n[lang < 0].tolist(), strict=True))
+    models.scale = float(SCALES[min(sorted(loss), key=loss.get)])
     for k in range(len(models.langs)):
-        own = -mean[true == k, k]
-        if len(own) >= 20:
-            models.limits[k] = np.quantile(own, 0.995) + own.std()
+        order = np.argsort(step[lang == k])
+        own, times = step[lang == k][order] / ENTROPY_PARTS, n[lang == k][order]
+        if times.sum() >= 20:
+            deviation = np.sqrt(max(np.average(own**2, weights=times) - np.average(own, weights=times) ** 2, 0.0))
+            models.limits[k] = own[np.searchsorted(np.cumsum(times), 0.995 * times.sum())] + deviation
     return models
 
 

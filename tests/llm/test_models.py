@@ -123,6 +123,18 @@ def test_language_id_learns_from_the_right_rows(documents):
     assert pick(a) == pick(b)
 
 
+def test_language_limits_come_from_every_document(documents):
+    """Limits against all documents that may teach, of more than were once sampled."""
+    rows = _languages(5400)
+    rows = [(i, " ".join(t.split()[: 1 + i % 9]), x) for i, t, x in rows]
+    lang = {i: x for i, _, x in rows}
+    models = langid.train(documents([(i, t) for i, t, _ in rows], lambda i, t: lang[i]))
+    for k, x in enumerate(models.langs):
+        own = np.array([-models.score(*_chunk(t))[0][0, k] for i, t, y in rows if y == x and not held(i)])
+        assert len(own) > 1000
+        assert abs(models.limits[k] - np.quantile(own, 0.995, method="inverted_cdf") - own.std()) < 2 / langid.ENTROPY_PARTS
+
+
 def test_language_id_of_nothing(documents):
     empty = documents([]).limit(0)
     models = langid.train(empty)
